@@ -61,6 +61,15 @@ def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches again, cut so that a text column has about ``limit`` bytes; at least a row each."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)])
+        for first, last in chunks(ends, limit):
+            yield batch.slice(first, last - first)
+
+
 def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts of about ``limit`` bytes; a longer text is a range of its own."""
     first, n = 0, len(offsets) - 1

@@ -25,3 +25,21 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from taleweave.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
+@query
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's ids by the public ranks, and their bytes decoded again, as digests."""
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from taleweave.llm.bpe import decode, encode, load_ranks
+
+    codec = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rows = decode(encode(table(spark, sf_dir, "documents"), codec), codec, text=False)
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
