@@ -43,3 +43,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens in as few sequences of 2048 as the reduction and best fit find."""
+    return packed_documents(table(spark, sf_dir, "documents"))
+
+
+def packed_documents(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from taleweave.llm.packing import pack, token_pieces
+
+    pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return pack(digests, 2048, ["doc_id", "piece", "start", "ids_crc32"])
