@@ -60,3 +60,11 @@ def packed_documents(docs: DataFrame) -> DataFrame:
     pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
     digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(digests, 2048, ["doc_id", "piece", "start", "ids_crc32"])
+
+
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record per page, equal payloads as revisits, written to archives and read back."""
+    from taleweave.llm.warc_pages import archived_pages
+
+    return archived_pages(table(spark, sf_dir, "pages"))
