@@ -68,3 +68,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from taleweave.llm.warc_pages import archived_pages
 
     return archived_pages(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, their likeness, and block-table searches."""
+    from taleweave.llm.simhash import edited_likeness
+
+    return edited_likeness(table(spark, sf_dir, "documents"))
