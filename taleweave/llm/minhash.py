@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from taleweave.llm import bytetext
 from taleweave.llm.components import connected_components
@@ -24,8 +23,8 @@ from taleweave.llm.scratch import stored
 #: Places of the permutations (a power of two).
 PLACES = 1 << 20
 #: Signature bands and coordinates in each. A pair of similarity 0.8 shares no band with
-#: probability (1 - 0.8**5)**40, about 1.3e-7; one of 0.85 with 7e-11.
-BANDS, ROWS = 40, 5
+#: probability (1 - 0.8**6)**50, about 2.5e-7; one of 0.85 with 5e-11.
+BANDS, ROWS = 50, 6
 #: Shingles whose slices are reduced at once.
 _SLICE = 2048
 _tables: dict = {}
@@ -109,6 +108,65 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return stored(rows.mapInArrow(_verify(size, percent), "a long, b long").distinct(), "links")
 
 
+#: Counters of shingles, in which rare ones are told from frequent ones; the size of a broadcast.
+COUNTERS = 1 << 20
+
+
+def _count_shingles(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for s in bytetext.shingle_sets(*bytetext.raw_bytes(batch.column("text")), size):
+                np.add.at(counts, (s >> np.uint64(44)).astype(np.int64), 1)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["counter", "n"])
+
+    return run
+
+
+def _rare_shingles(size: int, percent: int, shipped):
+    """Of each set, in the order from rare to frequent, the first that a similar set must share.
+
+    A set of n similar to a smaller one shares 2p/(1+p) of n with it at least, one of
+    another size p of n; so the first n less that many (and one) hold a shared shingle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shipped.value
+        for batch in batches:
+            reps, labels = batch.column("rep").to_numpy(), batch.column("label").to_numpy()
+            sets = list(bytetext.shingle_sets(*bytetext.raw_bytes(batch.column("text")), size))
+            tokens, rows, close = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+            for i, s in enumerate(sets):
+                n = len(s)
+                far, near = n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+                order = np.lexsort((s, counts[(s >> np.uint64(44)).astype(np.int64)]))[:far]
+                tokens.append(s[order])
+                rows.append(np.full(len(order), i))
+                close.append(np.arange(len(order)) < near)
+            row = np.concatenate(rows)
+            n = np.array([len(s) for s in sets], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(reps[row]), pa.array(labels[row]), pa.array(n[row]), pa.array(np.concatenate(close))], names=["token", "rep", "label", "n", "near"])
+
+    return run
+
+
+def _rare_pairs(rest: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """``rest(rep, label)`` -> ``(a, b)``: the pairs of different labels that share a rare shingle."""
+    rows = rest.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    counted = rows.select("text").mapInArrow(_count_shingles(size), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    counts = np.zeros(COUNTERS, np.int32)
+    for counter, n in counted.collect():  # at most COUNTERS rows
+        counts[counter] = min(n, 2**31 - 1)
+    shipped = rest.sparkSession.sparkContext.broadcast(counts)
+    tokens = rows.mapInArrow(_rare_shingles(size, percent, shipped), "token long, rep long, label long, n long, near boolean")
+    often = tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    tokens = stored(tokens.join(often.select("token"), "token"), "tokens")
+    other = tokens.where("near").select("token", F.col("rep").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
+    sized = f"(n > n_b or (n = n_b and rep > b)) and 100 * n_b >= {percent} * n and label <> label_b"
+    return tokens.join(other, "token").where(sized).select(F.col("rep").alias("a"), "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, n_shingles, component_id, kept)``, a row for each row.
 
@@ -121,9 +179,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     has a null component and is kept. Other columns, whatever their names, are not read.
 
     Documents with equal sets are one class before any pair is formed, so a group of copies
-    costs one row. A bucket of classes is compared with its smallest member first; only
-    buckets that then still hold several components are gone through further, with ever more
-    of their members as pivots, until each pair of a bucket is compared or in one component.
+    costs one row. A bucket of classes is compared with its best connected member first.
+    Members of buckets that then still hold several components are told apart further by
+    their rarest shingles: sets similar enough share one among those, so pairs that share
+    none are ruled out without being formed, and no pair that is a link is lost.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(texts.mapInArrow(_sign(size, percent), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signed")
@@ -131,39 +190,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = stored(usable.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "classes")
 
     members = classes.select(F.explode("bands").alias("bucket"), "rep", "n_shingles")
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("b"), F.min_by("n_shingles", "rep").alias("n_b")).where("n > 1")
-    members = stored(members.join(shared, "bucket").select("bucket", "rep", "n_shingles", "b", "n_b"), "members")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = stored(members.join(shared, "bucket"), "members")
+    # those with the most neighbours first: the original of many copies is compared before the copies are
+    ranks = members.groupBy("rep").agg(F.struct((-F.sum("n")).alias("score"), F.col("rep").alias("id")).alias("rank"))
+    members = stored(members.join(ranks, "rep"), "members")
+    star = members.groupBy("bucket").agg(F.min("rank").alias("first"), F.min_by("n_shingles", "rank").alias("n_b"))
     fits = f"100 * least(n_shingles, n_b) >= {percent} * greatest(n_shingles, n_b)"
-    checked = stored(members.where("rep <> b").where(fits).select(F.col("rep").alias("a"), "b").distinct(), "pairs")
+    pairs = members.join(star, "bucket").where("rep <> first.id").where(fits).select(F.col("rep").alias("a"), F.col("first.id").alias("b"))
+    checked = stored(pairs.distinct(), "pairs")
     links = _links(checked, texts, size, percent)
     labels = connected_components(links)
 
-    lowest, highest = 0, 8
-    while True:
-        # members of the buckets that still hold several components
-        named = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("label"))
-        mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").where(F.col("n") > lowest + 1)
-        open_ = stored(
-            named.join(mixed.select("bucket", "n"), "bucket")
-            .withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("rep")) - 1),
-            "open",
-        )
-        size_of = open_.agg(F.max("n")).first()[0]
-        if size_of is None:
-            break
-        pivots = open_.where(f"place > {lowest} and place < {highest}")
-        pivots = pivots.select("bucket", F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("label").alias("label_b"), F.col("place").alias("place_b"))
-        pairs = open_.join(pivots, "bucket").where("place > place_b and label <> label_b").where(fits).select(F.col("rep").alias("a"), "b").distinct()
-        pairs = stored(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            checked = stored(checked.union(pairs), "checked")
-            new = _links(pairs, texts, size, percent)
-            if not new.isEmpty():
-                links = links.union(new)
-                labels = connected_components(links)
-        if highest >= size_of:
-            break
-        lowest, highest = highest - 1, highest * 4
+    # members of the buckets that still hold several components
+    named = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
+    several = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    rest = stored(named.where("n > 2").join(several.select("bucket"), "bucket").select("rep", "label").distinct(), "open")
+    pairs = _rare_pairs(rest, texts, size, percent)
+    new = _links(stored(pairs.join(checked, ["a", "b"], "left_anti"), "pairs"), texts, size, percent)
+    if not new.isEmpty():
+        labels = connected_components(links.union(new))
     whole = classes.select("k1", "k2", "n_shingles", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     whole = whole.select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     found = usable.select("doc_id", "n_shingles", "k1", "k2").join(whole, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", "component")
