@@ -73,7 +73,7 @@ def _opened(codec: dict) -> tuple:
 
         table = codec["bytes"]
         ends = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(t) for t in table])])
-        _loaded[key] = Tokenizer.from_str(codec["tokenizer"]), np.frombuffer(b"".join(table), np.uint8), ends
+        _loaded[key] = Tokenizer.from_str(codec["tokenizer"]), np.frombuffer(b"".join(table), np.uint8), ends, ragged.Known()
     return _loaded[key]
 
 
@@ -130,12 +130,12 @@ def _encode_pieces(tokenizer, sizes: np.ndarray, data: np.ndarray, starts, ends,
 
 def encode_batch(codec: dict, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For ranges of texts in turn: flat ids, their ends per text, and each id's first byte in its text."""
-    tokenizer, table, table_ends = _opened(codec)
+    tokenizer, _, table_ends, known = _opened(codec)
     sizes = np.diff(table_ends)
     data, offsets = bytetext.raw_bytes(column)
     starts, ends, single = _cut(data, offsets)
-    first, which = ragged.distinct_spans(data, starts, ends)
-    flat, flat_ends = _encode_pieces(tokenizer, sizes, data, starts[first], ends[first], single[first])
+    hashes, first, which = ragged.distinct_spans(data, starts, ends)
+    flat, flat_ends = known.results(hashes, lambda new: _encode_pieces(tokenizer, sizes, data, starts[first[new]], ends[first[new]], single[first[new]]))
     bounds = np.searchsorted(starts, offsets)
     for a, b in bytetext.chunks(offsets):
         ids, piece_ends = ragged.gather(flat, flat_ends, which[bounds[a] : bounds[b]])
@@ -196,7 +196,7 @@ def decode(encoded: DataFrame, codec: dict, text: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, table, table_ends = _opened(shipped.value)
+            _, table, table_ends, _ = _opened(shipped.value)
             lists = batch.column(1)
             values = lists.values.to_numpy(zero_copy_only=False)
             ends = lists.offsets.to_numpy()

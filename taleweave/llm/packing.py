@@ -183,7 +183,7 @@ def _tokenizer(text: str):
         whole = tokenizer.encode(f"a {_BETWEEN} a", add_special_tokens=False).ids
         if len(mark) != 1 or whole.count(mark[0]) != 1:
             raise ValueError("this tokenizer doesn't keep words apart")
-        _loaded[key] = tokenizer, mark[0]
+        _loaded[key] = tokenizer, mark[0], ragged.Known()
     return _loaded[key]
 
 
@@ -220,12 +220,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bytetext.slices(batches, 1):
-            tokenizer, mark = _tokenizer(shipped.value)
+            tokenizer, mark, known = _tokenizer(shipped.value)
             data, offsets = bytetext.raw_bytes(batch.column(1))
             starts, ends, text = bytetext.words(data, offsets)
-            first, which = ragged.distinct_spans(data, starts, ends)
+            hashes, first, which = ragged.distinct_spans(data, starts, ends)
             raw = data.tobytes()
-            flat, flat_ends = _word_ids(tokenizer, mark, [raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())])
+            cut = lambda new: [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]  # noqa: B023, E731
+            flat, flat_ends = known.results(hashes, lambda new: _word_ids(tokenizer, mark, cut(new)))  # noqa: B023
             bounds = np.searchsorted(text, np.arange(len(offsets)))
             rows: tuple[list, ...] = ([], [], [], [], [])
             keys = batch.column(0).to_pylist()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 from taleweave.llm import bytetext
@@ -16,8 +18,35 @@ def gather(flat: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.nda
     return flat[at], out
 
 
-def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first occurrence of each distinct byte span, number of each span's class), by 64-bit hash."""
+class Known:
+    """Ragged results of spans seen before in this worker, by hash; started anew when it would grow too large."""
+
+    def __init__(self, most: int = 1 << 20):
+        self.most = most
+        self.hashes, self.flat, self.ends = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def results(self, hashes: np.ndarray, missing: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ragged results of ascending ``hashes``; ``missing`` makes those of the places it is given."""
+        at = np.searchsorted(self.hashes, hashes)
+        at[at == len(self.hashes)] = 0
+        known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        new = np.flatnonzero(~known)
+        flat, ends = missing(new)
+        row = np.where(known, at, 0)
+        row[new] = len(self.hashes) + np.arange(len(new))
+        flat, ends = np.concatenate([self.flat, flat]), np.concatenate([self.ends, self.ends[-1] + ends[1:]])
+        out = gather(flat, ends, row)
+        if len(self.hashes) + len(new) > self.most:
+            self.hashes, (self.flat, self.ends) = hashes, out
+        else:
+            both = np.concatenate([self.hashes, hashes[new]])
+            order = np.argsort(both, kind="stable")
+            self.hashes, (self.flat, self.ends) = both[order], gather(flat, ends, order)
+        return out
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ascending 64-bit hashes of the distinct byte spans, a place of each, number of each span's class)."""
     h = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -25,5 +54,4 @@ def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
         lo, hi = starts[i], ends[j - 1]
         h[i:j] = bytetext.span_hash(bytetext.prefix_hash(data[lo:hi], False), starts[i:j] - lo, ends[i:j] - lo)
         i = j
-    _, first, which = np.unique(h, return_index=True, return_inverse=True)
-    return first, which
+    return np.unique(h, return_index=True, return_inverse=True)
