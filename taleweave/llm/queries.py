@@ -76,3 +76,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from taleweave.llm.simhash import edited_likeness
 
     return edited_likeness(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts, the base rules, and the verdict of risk-controlled cutoffs."""
+    from taleweave.llm.quality import judged
+
+    rows = judged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum")
