@@ -85,3 +85,33 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = judged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum")
+
+
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that many documents of its source have."""
+    from pyspark.sql import functions as F
+
+    from taleweave.llm.lines import without_boilerplate
+
+    rows = without_boilerplate(table(spark, sf_dir, "documents"))
+    return rows.select("row.doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
+ORACLES["op4_line_dedup"] = r"""
+with lines as (select doc_id, source, string_split(text, chr(10)) as parts from documents where text is not null),
+flat as (select doc_id, source, unnest(parts) as line, generate_subscripts(parts, 1) as pos from lines),
+solid as (select *, length(translate(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) > 0 as has_word from flat),
+pages as (select source, count(*) as pages from documents group by source),
+counted as (select source, line, count(*) as n from (select distinct doc_id, source, line from solid where has_word) group by source, line),
+often as (select source, line from counted join pages using (source) where n >= 5 and n > 0.08 * pages),
+marked as (select s.doc_id, s.line, s.pos, o.line is not null as gone from solid s left join often o on o.source = s.source and o.line = s.line),
+kept as (
+  select doc_id, sum(gone::bigint)::bigint as n_dropped, count(*) as n_lines,
+         coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '') as text
+  from marked group by doc_id
+)
+select d.doc_id, case when coalesce(d.text, '') = '' then 0 else k.n_lines end as n_lines, coalesce(k.n_dropped, 0)::bigint as n_dropped,
+       length(coalesce(k.text, ''))::bigint as n_chars_left, sha256(coalesce(k.text, '')) as text_sha256
+from documents d left join kept k using (doc_id)
+"""
