@@ -115,3 +115,14 @@ select d.doc_id, case when coalesce(d.text, '') = '' then 0 else k.n_lines end a
        length(coalesce(k.text, ''))::bigint as n_chars_left, sha256(coalesce(k.text, '')) as text_sha256
 from documents d left join kept k using (doc_id)
 """
+
+
+@query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the bytes of 200-byte strings that start at two places or more."""
+    from pyspark.sql import functions as F
+
+    from taleweave.llm.suffix import without_repeats
+
+    rows = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 200)
+    return rows.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
