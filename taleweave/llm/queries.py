@@ -126,3 +126,17 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 200)
     return rows.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's language, learned from four fifths of the documents."""
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from taleweave.llm.langid import learn_from, load_pieces, predict
+
+    docs = table(spark, sf_dir, "documents")
+    remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5
+    model = learn_from(docs.where(remainder != 0), load_pieces(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    return predict(docs, model).select("doc_id", (remainder == 0).alias("held_out"), "lang_pred", "score")
