@@ -136,7 +136,7 @@ def _rare_shingles(size: int, percent: int, shipped):
         for batch in batches:
             reps, labels = batch.column("rep").to_numpy(), batch.column("label").to_numpy()
             sets = list(bytetext.shingle_sets(*bytetext.raw_bytes(batch.column("text")), size))
-            tokens, rows, close = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+            tokens, rows, close, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, np.int64)]
             for i, s in enumerate(sets):
                 n = len(s)
                 far, near = n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
@@ -144,9 +144,10 @@ def _rare_shingles(size: int, percent: int, shipped):
                 tokens.append(s[order])
                 rows.append(np.full(len(order), i))
                 close.append(np.arange(len(order)) < near)
+                place.append(np.arange(len(order)))
             row = np.concatenate(rows)
             n = np.array([len(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(reps[row]), pa.array(labels[row]), pa.array(n[row]), pa.array(np.concatenate(close))], names=["token", "rep", "label", "n", "near"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(reps[row]), pa.array(labels[row]), pa.array(n[row]), pa.array(np.concatenate(close)), pa.array(np.concatenate(place))], names=["token", "rep", "label", "n", "near", "at"])
 
     return run
 
@@ -159,11 +160,12 @@ def _rare_pairs(rest: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     for counter, n in counted.collect():  # at most COUNTERS rows
         counts[counter] = min(n, 2**31 - 1)
     shipped = rest.sparkSession.sparkContext.broadcast(counts)
-    tokens = rows.mapInArrow(_rare_shingles(size, percent, shipped), "token long, rep long, label long, n long, near boolean")
+    tokens = rows.mapInArrow(_rare_shingles(size, percent, shipped), "token long, rep long, label long, n long, near boolean, at long")
     often = tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
     tokens = stored(tokens.join(often.select("token"), "token"), "tokens")
-    other = tokens.where("near").select("token", F.col("rep").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
-    sized = f"(n > n_b or (n = n_b and rep > b)) and 100 * n_b >= {percent} * n and label <> label_b"
+    other = tokens.where("near").select("token", F.col("rep").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+    # the first shingle that two sets share leaves no more for the rest than the shorter remainder
+    sized = f"(n > n_b or (n = n_b and rep > b)) and 100 * n_b >= {percent} * n and label <> label_b and {100 + percent} * least(n - at, n_b - at_b) >= {percent} * (n + n_b)"
     return tokens.join(other, "token").where(sized).select(F.col("rep").alias("a"), "b").distinct()
 
 
