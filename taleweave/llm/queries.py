@@ -140,3 +140,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5
     model = learn_from(docs.where(remainder != 0), load_pieces(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
     return predict(docs, model).select("doc_id", (remainder == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text by a recurrent block labeller."""
+    from pyspark.sql import functions as F
+
+    from taleweave.llm.htmltext import learn_from, main_text
+
+    pages = table(spark, sf_dir, "pages")
+    return main_text(pages, learn_from(pages)).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_kept")
