@@ -232,7 +232,7 @@ def _cut_stretches(length: int):
     return run
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _remove(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = bytetext.raw_bytes(batch.column(1))
         removed, runs, kept = [], [], []
@@ -250,7 +250,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 removed.append(0)
                 runs.append(0)
                 kept.append(own.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], names=["row", "n_bytes", "n_removed", "n_spans", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], names=["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def repeated_spans(texts: DataFrame, length: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -285,8 +285,10 @@ def repeated_spans(texts: DataFrame, length: int, block_bytes: int = BLOCK_BYTES
     return marked.select("id", "hash", (F.col("start") + F.col("r.first")).alias("a"), (F.col("start") + F.col("r.stop") + length - 1).alias("b"))
 
 
-def without_repeats(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> ``(row, n_bytes, n_removed, n_spans, kept binary)``; ``row`` is the input row.
+def without_repeats(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_BYTES, as_text: bool = False) -> DataFrame:
+    """``docs(doc_id, text, ...)`` -> ``(row, n_bytes, n_removed, n_spans, kept)``; ``row`` is the input row.
+
+    ``kept`` is binary, or with ``as_text`` a string without the bytes of characters cut in two.
 
     Texts are taken as UTF-8 bytes; every byte is removed that is covered by a string of
     ``length`` bytes that starts at another place too, in the same or another text, as the
@@ -299,4 +301,5 @@ def without_repeats(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK
     lists = spans.groupBy("id", "hash").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     joined = keyed.join(lists, ["id", "hash"], "left").select("row", "text", "spans")
     kind = docs.select(F.struct(*docs.columns).alias("row")).dtypes[0][1]
-    return joined.mapInArrow(_remove, f"row {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    rest = "string" if as_text else "binary"
+    return joined.mapInArrow(lambda batches: _remove(batches, as_text), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept {rest}")
