@@ -1,15 +1,69 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, suffix dedup, packing."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, suffix dedup, packing.
+
+Every stage takes ``(spark, docs, sf_dir)``, works on all rows that its predecessor kept, and
+returns the columns of ``documents``; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from taleweave.llm.lines import dropped
+from taleweave.llm.minhash import near_duplicates
+from taleweave.llm.quality import passing
+from taleweave.llm.queries import packed_documents
+from taleweave.llm.scratch import new_folder
+from taleweave.llm.suffix import without_repeats
+
+#: Word shingles and similarity of the near-dedup stage; bytes of a repeated passage.
+SHINGLE_WORDS, SIMILAR_PERCENT, PASSAGE_BYTES = 5, 80, 200
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the risk-controlled cutoffs keep."""
+    return passing(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without their source's boilerplate lines."""
+    return _counted(dropped(docs, "source"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest doc_id."""
+    gone = near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT).where("not kept").select(F.col("doc_id").alias("gone_id"))
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without passages that occur more than once; cut characters go as a whole."""
+    rows = without_repeats(docs, PASSAGE_BYTES, as_text=True)
+    text = F.when(F.col("row.text").isNotNull(), F.col("kept"))
+    return _counted(rows.select(*[text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens in sequences of 2048."""
+    return packed_documents(docs)
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` as the text now is, where the documents have that column."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near dedup", near_dedup), ("suffix dedup", suffix_dedup), ("packing", packing)]
 
-STAGES: list = []
+#: Similarity groups and tokenizers are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each one's rows written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        out = new_folder(spark, name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
+    return STAGES[-1][1](spark, docs, sf_dir)
