@@ -1,3 +1,3 @@
 """The registered queries, by area."""
 
-from taleweave.plans import checking  # noqa: F401
+from taleweave.plans import checking, state  # noqa: F401
