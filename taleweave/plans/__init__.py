@@ -1,3 +1,3 @@
 """The registered queries, by area."""
 
-from taleweave.plans import checking, recorded, state  # noqa: F401
+from taleweave.plans import checking, measured, recorded, state  # noqa: F401
