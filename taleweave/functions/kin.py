@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: Fixed values: (relation, label, generations of A above B, link, side, sex of A, sex of B, is A older).
 RELATIONS = [
     ("father", "父亲", 1, "parent", None, "M", None, None),
@@ -33,3 +36,81 @@ RELATIONS = [
     ("tang_cousin", "堂兄弟姐妹", 0, "cousin", "堂", None, None, None),
     ("biao_cousin", "表兄弟姐妹", 0, "cousin", "表", None, None, None),
 ]
+
+#: The words for each relation.
+TERMS = {
+    "father": "父亲 父 爹 爹爹 阿爹 爸 爸爸 老爸 家父 生父 先父 令尊 父王 父皇 爹地",
+    "mother": "母亲 母 娘 娘亲 阿娘 妈 妈妈 老妈 家母 生母 先母 令堂 母后 母妃 额娘",
+    "son": "儿子 儿 犬子 长子 次子 幼子 独子 令郎 世子",
+    "daughter": "女儿 闺女 长女 次女 幼女 独女 小女 令爱 千金",
+    "elder_brother": "哥哥 哥 兄长 兄 胞兄 家兄 王兄 皇兄",
+    "younger_brother": "弟弟 弟 胞弟 舍弟 王弟 皇弟",
+    "elder_sister": "姐姐 姐 胞姐 家姐 阿姐",
+    "younger_sister": "妹妹 妹 胞妹 舍妹",
+    "brother": "兄弟",
+    "sister": "姐妹",
+    "paternal_grandfather": "爷爷 爷 祖父 家祖 阿爷 皇爷爷",
+    "paternal_grandmother": "奶奶 祖母 阿奶",
+    "maternal_grandfather": "外公 外祖父 姥爷 外祖",
+    "maternal_grandmother": "外婆 外祖母 姥姥",
+    "grandson": "孙子 孙儿 孙",
+    "granddaughter": "孙女",
+    "daughters_son": "外孙",
+    "daughters_daughter": "外孙女",
+    "paternal_uncle": "伯父 伯伯 伯 叔叔 叔父 叔",
+    "paternal_aunt": "姑姑 姑妈 姑母 姑",
+    "maternal_uncle": "舅舅 舅父 舅",
+    "maternal_aunt": "姨妈 姨母 姨娘 姨",
+    "nephew": "侄子 侄儿 侄",
+    "niece": "侄女",
+    "sisters_son": "外甥",
+    "sisters_daughter": "外甥女",
+    "tang_cousin": "堂兄 堂哥 堂弟 堂姐 堂妹 堂兄弟 堂姐妹",
+    "biao_cousin": "表兄 表哥 表弟 表姐 表妹 表兄弟 表姐妹",
+}
+#: Words for two people at once; words that only look like kin; ranks before a word.
+COLLECTIVE = "父子 父女 母子 母女 兄弟俩 姐弟 兄妹 姐妹俩 夫妇 夫妻 爹娘 父母 爸妈 双亲 祖孙 叔侄 舅甥 兄弟们 姐妹们".split()
+NOT_KIN = "小姐 老子 老弟 老兄 兄台 贤弟 贤兄 大姐头 老爷 少爷 王爷 姑娘 大娘".split()
+RANK = "大二三四五六七八九十小老亲胞皇族幺"
+
+
+def compositions() -> dict[str, str]:
+    """"first|second" -> the relation of a relative's relative, from what the relations say.
+
+    A parent's sibling is an uncle or aunt of the parent's side, a parent's parent a grandparent,
+    a sibling's child a nephew or niece by the sibling's sex, a child's child a grandchild by the
+    child's sex, and an uncle's or aunt's child a cousin, of the own clan only for the father's brother.
+    """
+    sex = {r[0]: r[5] for r in RELATIONS}
+    siblings = [r[0] for r in RELATIONS if r[3] == "sibling"]
+    out = {}
+    for parent, side in (("father", "paternal"), ("mother", "maternal")):
+        out |= {f"{parent}|{s}": f"{side}_{'uncle' if sex[s] == 'M' else 'aunt'}" for s in siblings}
+        out |= {f"{parent}|{p}": f"{side}_grand{p}" for p in ("father", "mother")}
+    for child in ("son", "daughter"):
+        boy = child == "son"
+        out |= {f"{s}|{child}": ("nephew" if boy else "niece") if sex[s] == "M" else f"sisters_{child}" for s in siblings}
+        out |= {f"son|{child}": f"grand{child}", f"daughter|{child}": f"daughters_{child}", f"paternal_uncle|{child}": "tang_cousin"}
+        out |= {f"{x}|{child}": "biao_cousin" for x in ("paternal_aunt", "maternal_uncle", "maternal_aunt")}
+    return out
+
+
+def _as_map(pairs: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+
+
+def term_relation(term: Column) -> Column:
+    """The blood relation that a word names, chains ("母亲的哥哥") composed step by step; else null."""
+    words = _as_map({w: r for r, ws in TERMS.items() for w in ws.split()})
+    composed = _as_map(compositions())
+
+    def one(word: Column) -> Column:
+        word = F.regexp_replace(F.regexp_replace(word, "大人$", ""), "们$", "")
+        bare = F.ltrim(word, F.lit(RANK))
+        return F.coalesce(words[word], F.when(~(bare.isin("儿", "孙") & (bare != word)), words[bare]))
+
+    trimmed = F.regexp_replace(term, r"(?U)^\s+|\s+$", "")
+    steps = F.transform(F.split(trimmed, "的", -1), one)
+    chain = F.aggregate(F.slice(steps, 2, 99), F.element_at(steps, 1), lambda a, x: composed[F.concat_ws("|", F.coalesce(a, F.lit("?")), F.coalesce(x, F.lit("?")))])
+    known = (F.length(trimmed) > 0) & ~trimmed.rlike("|".join(NOT_KIN + COLLECTIVE))
+    return F.when(known, chain)
