@@ -57,7 +57,7 @@ def as_of(snapshots: DataFrame, asked: DataFrame, before: bool = False) -> DataF
 def numbered(stored: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
     """New events of each book with the numbers that follow the stored ones."""
     last = stored.groupBy("book").agg(F.max("seq").alias("last"))
-    n = F.row_number().over(Window.partitionBy("book").orderBy(*order))
+    n = F.row_number().over(Window.partitionBy("book").orderBy(*order)).cast("bigint")
     return new.withColumn("n", n).join(last, "book", "left").withColumn("seq", F.coalesce("last", F.lit(0)) + F.col("n")).drop("n", "last")
 
 

@@ -78,9 +78,9 @@ def planned(candidates: DataFrame, quota: int, per_book: int, seed: int) -> Data
     The order is a hash of seed and id, so it is the same wherever it runs. Sampling is the feature.
     """
     draw = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("id").cast("string")))
-    turn = F.row_number().over(Window.partitionBy("kind", "book").orderBy("draw", "id"))
+    turn = F.row_number().over(Window.partitionBy("kind", "book").orderBy("draw", "id")).cast("bigint")
     rows = candidates.withColumn("draw", draw).withColumn("turn", turn).where(F.col("turn") <= per_book)
-    place = F.row_number().over(Window.partitionBy("kind").orderBy("turn", "draw", "id"))
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("turn", "draw", "id")).cast("bigint")
     return rows.withColumn("place", place).where(F.col("place") <= quota).select("id", "kind", "book", "turn", "place")
 
 

@@ -22,7 +22,7 @@ def dot(a: str, b: str) -> Column:
 
 def _top(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
     """The first ``k`` of each query. The rank limit is taken in each task before the shuffle."""
-    place = F.row_number().over(Window.partitionBy("query").orderBy(*order))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(*order)).cast("bigint")
     return rows.withColumn("place", place).where(F.col("place") <= k)
 
 
@@ -66,13 +66,13 @@ def fused(rankings: dict[str, DataFrame], exact: DataFrame | None = None, k: int
         rows = ranking.select("query", "passage", F.lit(name).alias("by"), F.lit(i).alias("order"), "place")
         both = rows if both is None else both.unionByName(rows)
     if exact is not None:
-        both = both.unionByName(exact.select("query", "passage", F.lit("exact").alias("by"), F.lit(9).alias("order"), F.lit(None).cast("int").alias("place")))
+        both = both.unionByName(exact.select("query", "passage", F.lit("exact").alias("by"), F.lit(9).alias("order"), F.lit(None).cast("bigint").alias("place")))
     scores = both.groupBy("query", "passage").agg(
         F.round(F.sum(F.when(F.col("place").isNull(), 0.0).otherwise(1 / (RRF_K + F.col("place")))), 6).alias("score"), F.array_sort(F.collect_set("by")).alias("matched_by"),
         F.min(F.struct("order", "place")).alias("first"),
     )
     order = [F.array_contains("matched_by", "exact").desc(), F.col("score").desc(), F.col("first"), F.col("passage")]
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(*order))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(*order)).cast("bigint")
     return scores.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "passage", "score", "matched_by", "rank")
 
 

@@ -1,3 +1,3 @@
 """The registered queries, by area."""
 
-from taleweave.plans import checking, measured, recorded, searching, state  # noqa: F401
+from taleweave.plans import checking, measured, recorded, searching, state, texts  # noqa: F401
