@@ -27,6 +27,9 @@ GRID = {
 #: Part of a stratum's good documents that each cutoff may reject, and the chance that any
 #: of all cutoffs taken rejects more.
 MOST_REJECTED, ERROR = 0.02, 0.05
+#: A cutoff is only used where it rejects so many times the part of bad documents that it
+#: rejects of good ones.
+WORTH = 4
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
 
@@ -94,24 +97,29 @@ def binomial_tail(rejected: str, n: str, rate: float) -> Column:
 def cutoffs(measured: DataFrame, labels: DataFrame, most_rejected: float = MOST_REJECTED, error: float = ERROR) -> DataFrame:
     """``measured(doc_id, stratum, shares...)``, ``labels(doc_id, quality)`` -> ``(stratum, measure, cutoff)``.
 
-    The holdout is all good (quality 1) labelled documents that pass the base rules. For
+    The holdout is all labelled documents that pass the base rules, good being quality 1. For
     each stratum and measure the cutoff taken is the strictest for which the hypothesis "it
     rejects more than ``most_rejected`` of good documents" is refuted, the p-value times the
     number of strata and measures being at most ``error``, for it and all more lenient ones
-    (so cutoffs of one measure are tested in a fixed order and need no further correction).
+    (so cutoffs of one measure are tested in a fixed order and need no further correction),
+    and that is worth its false rejections by the labelled bad (quality 0) documents.
     A measure without such a cutoff, as with too few labels, has no row: it rejects nothing.
     Repeated labels of a document count once; a null or other quality doesn't count.
     """
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select(F.col("doc_id").alias("good_id"))
+    label = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).select(F.col("doc_id").alias("labelled_id"), "quality")
     grid = F.array(*[F.struct(F.lit(m).alias("measure"), F.lit(i).alias("rank"), F.lit(float(c)).alias("cutoff"), F.col(m).alias("value")) for m, cs in GRID.items() for i, c in enumerate(cs)])
-    held = measured.join(good, F.col("doc_id") == F.col("good_id"), "left_semi")
-    tested = held.select("stratum", F.explode(grid).alias("g")).select("stratum", "g.*")
-    counted = tested.groupBy("stratum", "measure", "rank", "cutoff").agg(F.count("*").alias("n"), F.count_if(F.col("value") > F.col("cutoff")).alias("rejected"))
+    held = measured.join(label, F.col("doc_id") == F.col("labelled_id")).where("quality in (0, 1)")
+    tested = held.select("stratum", "quality", F.explode(grid).alias("g")).select("stratum", "quality", "g.*")
+    good, above = F.col("quality") == 1, F.col("value") > F.col("cutoff")
+    counted = tested.groupBy("stratum", "measure", "rank", "cutoff").agg(
+        F.count_if(good).alias("n"), F.count_if(good & above).alias("rejected"), F.count_if(~good).alias("n_bad"), F.count_if(~good & above).alias("bad_rejected"),
+    )
     tests = 3 * len(GRID)
-    refuted = counted.withColumn("ok", binomial_tail("rejected", "n", most_rejected) * tests <= error)
+    refuted = counted.where("n > 0").withColumn("ok", binomial_tail("rejected", "n", most_rejected) * tests <= error)
     lenient_first = Window.partitionBy("stratum", "measure").orderBy(F.desc("rank"))
     run = refuted.withColumn("all_ok", F.min("ok").over(lenient_first))
-    return run.where("all_ok").groupBy("stratum", "measure").agg(F.min("cutoff").alias("cutoff"))
+    worth = F.col("bad_rejected") * F.col("n") > WORTH * F.col("rejected") * F.col("n_bad")
+    return run.where(F.col("all_ok") & worth).groupBy("stratum", "measure").agg(F.min("cutoff").alias("cutoff"))
 
 
 def judged(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) -> DataFrame:
