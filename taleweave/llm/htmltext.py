@@ -73,8 +73,12 @@ def learn_from(pages: DataFrame, n: int = SAMPLE_PAGES) -> dict:
     The classes come from the pages' structure where they have an article or main element.
     Pages without text train nothing; with none at all only composed pages are used.
     """
-    draw = F.xxhash64(F.col("page_id"), F.lit(29))
-    rows = pages.where("html is not null and length(html) < 100000").select("page_id", "html").orderBy(draw, "page_id").limit(n).collect()
+    usable = pages.where("html is not null and length(html) < 100000")
+    total = usable.count()
+    draw = F.pmod(F.xxhash64(F.col("page_id"), F.lit(29)), F.lit(1 << 40))
+    # about twice as many as wanted leave their tasks, however many tasks there are
+    drawn = usable.select("page_id", "html", draw.alias("draw")).where(F.col("draw") <= min(1 << 40, (1 << 40) * 2 * n // max(total, 1)))
+    rows = drawn.orderBy("draw", "page_id").limit(n).collect()
     own = [blocks(r["html"]) for r in sorted(rows, key=lambda r: (r["page_id"] is None, r["page_id"]))]
     own = [p for p in own if any(structural_label(b) for b in p)]
     texts = [b.text for p in own for b in p if structural_label(b) and len(b.text) > 20] or ["some words of a page that has a story to tell"]

@@ -156,9 +156,9 @@ def _rare_pairs(rest: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     """``rest(rep, label)`` -> ``(a, b)``: the pairs of different labels that share a rare shingle."""
     rows = rest.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
     counted = rows.select("text").mapInArrow(_count_shingles(size), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    found = counted.toArrow()  # at most COUNTERS rows
     counts = np.zeros(COUNTERS, np.int32)
-    for counter, n in counted.collect():  # at most COUNTERS rows
-        counts[counter] = min(n, 2**31 - 1)
+    counts[found["counter"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**31 - 1)
     shipped = rest.sparkSession.sparkContext.broadcast(counts)
     tokens = rows.mapInArrow(_rare_shingles(size, percent, shipped), "token long, rep long, label long, n long, near boolean, at long")
     often = tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
