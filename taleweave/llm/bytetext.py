@@ -118,6 +118,14 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mixed(h ^ ((ends - starts).astype(np.uint64) << np.uint64(40)))
 
 
+def rolling_hash(prefix: np.ndarray, size: int) -> np.ndarray:
+    """``span_hash`` of the ``size`` bytes from every place on, without gathering."""
+    h = prefix[size:] - prefix[:-size]
+    h *= _powers(len(prefix))[1][: len(h)]
+    h ^= np.uint64(size << 40)
+    return mixed(h)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:
     """For each text in turn, the sorted distinct 64-bit hashes of its ``size``-word shingles.
 

@@ -38,8 +38,8 @@ def _stretches(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.n
     if len(data) < length:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
     prefix = bytetext.prefix_hash(data, False)
-    at = np.arange(len(data) - gram + 1)
-    h = bytetext.span_hash(prefix, at, at + gram)
+    h = bytetext.rolling_hash(prefix, gram)
+    at = np.arange(len(h))
     bits = max(1, int(len(h) - 1).bit_length())
     low = np.uint64((1 << bits) - 1)
     least = (h & ~low) | at.astype(np.uint64)  # the leftmost of equal hashes is the least
@@ -50,7 +50,7 @@ def _stretches(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.n
     if reach < width:
         least = np.minimum(least[: len(least) - (width - reach)], least[width - reach :])
     start = np.arange(len(least))
-    inside = start + length <= offsets[np.searchsorted(offsets, start, "right")]
+    inside = start + length <= np.repeat(offsets[1:], np.diff(offsets))[: len(start)]
     start, anchor = start[inside], (least[inside] & low).astype(np.int64)
     if not len(start):
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
@@ -86,19 +86,24 @@ def _anchors(length: int, full: bool):
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
     """Suffix array of distinct-ended symbols by prefix doubling; only tied suffixes are sorted again."""
     n = len(symbols)
-    order = np.argsort(symbols, kind="stable")
-    ordered = symbols[order]
+    # as many symbols as fit in one number are sorted at once
+    base, step = int(symbols.max()) + 2, 1
+    key = symbols + 1
+    while step < 8 and base ** (2 * step) < 1 << 62:
+        key = key * base**step + np.append(key[step:], np.zeros(min(step, n), np.int64))
+        step *= 2
+    order = np.argsort(key)
+    ordered = key[order]
     begin = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     group = np.maximum.accumulate(np.where(begin, np.arange(n), 0))
     rank = np.empty(n, np.int64)
     rank[order] = group
     tied = np.flatnonzero(~(begin & np.append(begin[1:], True)))
-    step = 1
     while len(tied):
         rows = order[tied]
         second = np.where(rows + step < n, rank[np.minimum(rows + step, n - 1)] + 1, 0)
         key = rank[rows] * np.int64(n + 1) + second
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         rows, key = rows[by], key[by]
         order[tied] = rows
         begin = np.concatenate([[True], key[1:] != key[:-1]])
@@ -109,6 +114,20 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     return order
 
 
+def _interval_ends(known: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """The next known border after each; ``known`` has one more at its end."""
+    if len(found) * 64 < len(known):  # few: most intervals are short, so step on
+        ends = found + 1
+        open_ = np.flatnonzero(~known[ends])
+        for _ in range(256):
+            if not len(open_):
+                return ends
+            ends[open_] += 1
+            open_ = open_[~known[ends[open_]]]
+    borders = np.flatnonzero(known)
+    return borders[np.searchsorted(borders, found) + 1]
+
+
 def repeated_starts(symbols: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, whether each suffix shares ``least`` symbols or more with the one before it).
 
@@ -124,14 +143,13 @@ def repeated_starts(symbols: np.ndarray, least: int) -> tuple[np.ndarray, np.nda
     back = rank[order - 1]  # LF mapping; the suffix of place 0 gets the last one
     ahead = rank[(order + 1) % n]
     head = symbols[order]
-    known = np.concatenate([[True], head[1:] != head[:-1]])
-    found = np.flatnonzero(known)
+    known = np.concatenate([[True], head[1:] != head[:-1], [True]])
+    found = np.flatnonzero(known[:-1])
     whole = order != 0
     for _ in range(least - 1):
         if not len(found):
             break
-        borders = np.flatnonzero(known)
-        ends = np.append(borders[1:], n)[np.searchsorted(borders, found)]
+        ends = _interval_ends(known, found)
         sizes = ends - found
         base = np.repeat(found, sizes)
         inner = np.arange(len(base)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -144,7 +162,7 @@ def repeated_starts(symbols: np.ndarray, least: int) -> tuple[np.ndarray, np.nda
         to = to[first]
         found = np.unique(to[~known[to]])
         known[found] = True
-    return order, ~known
+    return order, ~known[:-1]
 
 
 def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
