@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from taleweave.llm import bytetext, ragged
@@ -22,6 +23,8 @@ from taleweave.llm import bytetext, ragged
 _loaded: dict = {}
 #: Characters of distinct pieces that are encoded as one string.
 _STRING = 1 << 14
+#: Bytes of text, or ids, that a task holds decoded or encoded at once.
+_SLICE = 6 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -73,7 +76,7 @@ def _opened(codec: dict) -> tuple:
 
         table = codec["bytes"]
         ends = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(t) for t in table])])
-        _loaded[key] = Tokenizer.from_str(codec["tokenizer"]), np.frombuffer(b"".join(table), np.uint8), ends, ragged.Known()
+        _loaded[key] = Tokenizer.from_str(codec["tokenizer"]), np.frombuffer(b"".join(table), np.uint8), ends, ragged.Known(1 << 18)
     return _loaded[key]
 
 
@@ -165,7 +168,7 @@ def encode(docs: DataFrame, codec: dict, offsets: bool = False) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(codec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bytetext.slices(batches, 1):
+        for batch in bytetext.slices(batches, 1, _SLICE):
             ids, places = [], []
             data, bounds = bytetext.raw_bytes(batch.column(1))
             begun = 0
@@ -186,6 +189,11 @@ def encode(docs: DataFrame, codec: dict, offsets: bool = False) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>" + ", char_starts array<int>" * offsets)
 
 
+def _list_ends(lists: pa.Array) -> np.ndarray:
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)])
+
+
 def decode(encoded: DataFrame, codec: dict, text: bool = True) -> DataFrame:
     """``encoded(doc_id, ids, ...)`` -> ``(doc_id, ids, decoded binary[, decoded_text])``.
 
@@ -195,7 +203,8 @@ def decode(encoded: DataFrame, codec: dict, text: bool = True) -> DataFrame:
     shipped = encoded.sparkSession.sparkContext.broadcast(codec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        parts = (batch.slice(a, b - a) for batch in batches for a, b in bytetext.chunks(_list_ends(batch.column(1)), _SLICE // 4))
+        for batch in parts:
             _, table, table_ends, _ = _opened(shipped.value)
             lists = batch.column(1)
             values = lists.values.to_numpy(zero_copy_only=False)

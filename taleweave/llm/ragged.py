@@ -21,7 +21,7 @@ def gather(flat: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.nda
 class Known:
     """Ragged results of spans seen before in this worker, by hash; started anew when it would grow too large."""
 
-    def __init__(self, most: int = 1 << 20, kind: type = np.int32):
+    def __init__(self, most: int = 1 << 19, kind: type = np.int32):
         self.most = most
         self.hashes, self.flat, self.ends = np.zeros(0, np.uint64), np.zeros(0, kind), np.zeros(1, np.int64)
 
