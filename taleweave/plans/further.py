@@ -13,6 +13,7 @@ from taleweave.plans.checking import BASE_SQL, ages, spans
 from taleweave.plans.projections import table
 from taleweave.plans.state import _FOLD, facts
 
+
 @query(f"""with {p.STATEMENTS_SQL}, m as (select user_id as from_id, min(user_id % 40) as into_id from events where event_type = 'signup' and event_id % 3 = 0 group by 1)
 select s.pos, s.book, coalesce(m.into_id, s.character) as character from statements s left join m on m.from_id = s.character""")
 def merged_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,12 +22,14 @@ def merged_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = s.where("event_type = 'signup' and char_start % 3 = 0").groupBy(F.col("character").alias("from_id")).agg(F.min(F.col("character") % 40).alias("into_id"))
     return s.join(m, F.col("from_id") == F.col("character"), "left").select("pos", "book", F.coalesce("into_id", "character").alias("character"))
 
+
 @query(f"with {p.CHAPTERS_SQL} select d.doc_id as passage, c.number as chapter from documents d left join (select doc_id, number from chapters where number > 3) c using (doc_id)")
 def passages_renumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages with their chapters' present numbers."""
     numbers = p.chapters(spark, sf_dir).where("number > 3").select("doc_id", "number")
     return table(spark, sf_dir, "documents").select("doc_id").join(numbers, "doc_id", "left").select(F.col("doc_id").alias("passage"), F.col("number").alias("chapter"))
 
+
 @query("""with q as (select unnest([1, 2, 3]) as n), f as (select doc_id, n, string_split(text, 'the ') as parts from documents, q where text is not null)
 select doc_id, n, case when len(parts) > n then length(array_to_string(list_slice(parts, 1, n), 'the ')) when len(parts) > 1 then length(parts[1]) end as at_start from f""")
 def quote_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +39,7 @@ def quote_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     times = F.size(F.split("text", "the ", -1)) - 1
     return d.select("doc_id", "n", F.when(times >= F.col("n"), place("n")).when(times > 0, place("1")).cast("bigint").alias("at_start"))
 
+
 @query("""with k as (select l_returnflag as book, l_suppkey % 30 as a, l_partkey % 30 as b, l_orderkey as pos, l_linenumber % 7 as relation, l_partkey * 1000000 + l_suppkey as tie from lineitem)
 select book, a, b, max(pos) as pos, arg_max(relation, pos * 100000000000 + tie % 100000000000) as relation from k where pos < 40000 group by all""")
 def last_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +47,7 @@ def last_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = table(spark, sf_dir, "lineitem").selectExpr("l_returnflag as book", "l_suppkey % 30 as a", "l_partkey % 30 as b", "l_orderkey as pos", "l_linenumber % 7 as relation", "l_partkey * 1000000 + l_suppkey as tie")
     return k.where("pos < 40000").groupBy("book", "a", "b").agg(F.max("pos").alias("pos"), F.max_by("relation", F.expr("pos * 100000000000 + tie % 100000000000")).alias("relation"))
 
+
 @query(f"""with {p.STATEMENTS_SQL}, d as (select book, character, min(pos) as died from statements where {p.IS_DEATH} and not is_speculative group by all)
 select s.book, s.character, count(*) as alive from statements s left join d on d.book = s.book and d.character = s.character where died is null or s.pos < died group by all""")
 def alive_places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +56,7 @@ def alive_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = s.where(p.IS_DEATH).where("not is_speculative").groupBy("book", "character").agg(F.min("pos").alias("died"))
     return s.join(d, ["book", "character"], "left").where("died is null or pos < died").groupBy("book", "character").agg(F.count("*").alias("alive"))
 
+
 @query(f"""with {BASE_SQL}, exact as (select * from ages where low = high and low between 1 and 60 and not is_flashback and not is_speculative),
 nxt as (select book, character, pos, lead(pos) over (partition by book, character order by pos) as other from ages where not is_flashback and not is_speculative)
 select e.book, e.character, e.pos, e.low from exact e where not exists (select 1 from nxt n join ages b on b.pos = n.other and b.book = n.book where n.book = e.book and n.pos = e.pos and b.high < e.low)""")
@@ -62,11 +68,13 @@ def usable_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = a.withColumn("next_high", F.lead("high").over(Window.partitionBy("book", "character").orderBy("pos"))).where("next_high < low").select("book", "pos")
     return a.where("low = high and low between 1 and 60").join(back, ["book", "pos"], "left_anti").select("book", "character", "pos", "low")
 
+
 @query("select c_nationkey as book, count(*) as items, count(*) > 40 as too_many from customer group by 1")
 def capped_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists that a tool refuses as too long."""
     return table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("book")).agg(F.count("*").alias("items"), (F.count("*") > 40).alias("too_many"))
 
+
 @query("select doc_id, case when length(text) > 4000 then substr(text, 1, 4000) || '…(' || length(text) || ')' else text end as shown from documents")
 def cut_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tool results cut with a note of their length (O9); the limit is the feature."""
@@ -75,6 +83,7 @@ def cut_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WINDOWS = (("甲来了。甲走了。乙来了。", 0, 1), ("甲来了。甲走了。乙来了。", 8, 9), ("aaaaaaaaaaaaaaaaaaaaab", 3, 4))
 
+
 @query("select * from (values ('甲来了。甲走了。乙来了。', 0, 5), ('甲来了。甲走了。乙来了。', 8, 0), ('aaaaaaaaaaaaaaaaaaaaab', 3, 10)) t(text, start, pad)")
 def unique_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far a span must grow before its text occurs once."""
@@ -86,6 +95,7 @@ def unique_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: category, attribute -> how a fact may change (fixed values).
 CHANGE_RULES = [("age", "absolute_age", "temporal"), ("age", "life_stage", "temporal"), ("appearance", "eye_color", "fixed"), ("appearance", "hair_color", "fixed"), ("appearance", "mark", "fixed"), ("kinship", "father", "fixed"), ("life", "died", "monotonic"), ("life", "present", "mutable")]
 
+
 @query(f"with {p.STATEMENTS_SQL} select case when {p.IS_AGE} then 'temporal' when {p.IS_STAGE} then 'temporal' when {p.IS_TRAIT} then 'fixed' when {p.IS_DEATH} then 'monotonic' end as rule, count(*) as n from statements where ({p.IS_AGE}) or ({p.IS_STAGE}) or ({p.IS_TRAIT}) or ({p.IS_DEATH}) group by 1")
 def change_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts by the rule of their category and attribute."""
@@ -93,6 +103,7 @@ def change_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = facts(spark, sf_dir).where("attribute is not null")
     return rows.join(F.broadcast(rules), "attribute").groupBy("rule").agg(F.count("*").alias("n"))
 
+
 @query("select l_orderkey, l_linenumber, l_partkey, abs(l_discount - l_tax) <= 0.01 + 1e-9 and (l_returnflag is not distinct from case when l_linestatus = 'F' then 'A' end) as same from lineitem")
 def tolerant_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values alike within a hundredth, flags alike with nulls."""
@@ -101,23 +112,27 @@ def tolerant_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ERRORS = (("Error 429: rate limit", "rate_limit"), ("503 overloaded", "server"), ("401 bad API key", "auth"), ("connection reset", "network"), ("content_filter triggered", "content_filter"), ("400 bad", "bad_request"))
 
+
 @query("select * from (values " + ", ".join(f"('{m}', '{k}')" for m, k in _ERRORS) + ") t(message, kind)")
 def error_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Provider errors by class."""
     return spark.createDataFrame([(m,) for m, _ in _ERRORS], "message string").select("message", ledger.error_kind().alias("kind"))
 
+
 @query("with e as (select d.doc_id, text, greatest(0, doc_id % 700 - 220) as a, least(length(text), doc_id % 700 + 240) as b from documents d where length(text) > 10) select doc_id, substr(text, (a + 1)::bigint, greatest(b - a, 0)::bigint) as context from e")
 def review_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text around a place, for reading a report."""
     d = table(spark, sf_dir, "documents").where("length(text) > 10").selectExpr("doc_id", "text", "cast(greatest(0, doc_id % 700 - 220) as int) as a", "cast(least(length(text), doc_id % 700 + 240) as int) as b")
     return d.select("doc_id", F.expr("substring(text, a + 1, greatest(b - a, 0))").alias("context"))
 
+
 @query("with " + _FOLD.replace("said as (select * from statements where", "said as (select * from statements where chapter <= 3 and") + " select book, character, age_low, life_stage, eye_color, hair_color, died_chapter from folded")
 def character_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters as known at the end of a chapter."""
     upto = facts(spark, sf_dir).where("chapter <= 3")
     return core.fold(upto, spans(spark, sf_dir)).select("book", "character", "age_low", "life_stage", "eye_color", "hair_color", "died_chapter")
 
+
 @query("""with s as (select l_orderkey * 10 + l_linenumber as id, l_returnflag as book, l_suppkey % 20 as chapter, l_partkey as b, l_partkey + l_quantity::bigint as e, l_linenumber as line, l_suppkey from lineitem),
 pairs as (select distinct x.id as expected, o.id as observed from s x join s o on o.book = x.book and o.chapter = x.chapter and x.b < o.e and o.b < x.e where x.line = 1 and x.l_suppkey % 5 = 0 and o.line = 2 and o.l_suppkey % 3 = 0),
 f as (select expected, min(observed) as observed from pairs group by 1) select min(expected) as expected, observed from f group by observed""")
@@ -127,12 +142,14 @@ def one_to_one_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return evaluation.one_to_one(span_matches(spark, sf_dir))
 
+
 @query(f"with {p.STATEMENTS_SQL} select pos, '第 ' || chapter || ' 章：' || case when age_value = floor(age_value) then cast(cast(age_value as bigint) as varchar) else cast(age_value as varchar) end || ' 岁' as phrase from statements where {p.IS_AGE}")
 def described_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ages as phrases."""
     a = p.statements(spark, sf_dir).where(p.IS_AGE)
     return a.select("pos", F.concat(F.lit("第 "), F.col("chapter").cast("string"), F.lit(" 章："), text.years_text(F.col("age_value")), F.lit(" 岁")).alias("phrase"))
 
+
 @query("select source, count(distinct doc_id) as chapters, count(*) as examined, count(*) filter (where starts_with(lower(line), 'the')) as flagged from (select source, doc_id, unnest(string_split(text, chr(10))) as line from documents) where length(trim(line)) > 0 group by 1")
 def note_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs examined and flagged, by book."""
