@@ -93,3 +93,11 @@ def test_plans_have_no_nested_loops(spark):
     for name in ("age_pairs", "age_life_stage", "appearance_check", "kinship_check", "issue_sync", "core_fold", "usage_ledger", "span_matches", "keyword_ranking"):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_scratch_tables_are_cleared(spark):
+    from taleweave import scratch
+
+    scratch.clear(spark)
+    assert scratch.stored(spark.range(5).toDF("id"), "five").count() == 5
+    assert scratch.clear(spark) == 1 and scratch.clear(spark) == 0
