@@ -220,7 +220,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
         if names and key not in _loaded:
             _loaded.clear()
             _loaded[key] = ragged.Known(1 << 19, np.float64)
-        for batch in bytetext.slices(batches, 1):
+        for batch in bytetext.slices(batches, 1, 6 << 20):
             data, offsets = bytetext.raw_bytes(batch.column(1))
             languages, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             if names:
