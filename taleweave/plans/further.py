@@ -155,3 +155,46 @@ def note_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs examined and flagged, by book."""
     lines = table(spark, sf_dir, "documents").select("source", "doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).where(F.length(F.trim("line")) > 0)
     return lines.groupBy("source").agg(F.countDistinct("doc_id").alias("chapters"), F.count("*").alias("examined"), F.count_if(F.lower("line").startswith("the")).alias("flagged"))
+
+
+@query(f"""with {p.CHAPTERS_SQL}, r as (select doc_id, unnest([0, 30]) as a, unnest([12, 45]) as b from documents where doc_id % 5 = 0)
+select c.book, c.number, r.a as start, substr(content, (r.a + 1)::bigint, (r.b - r.a)::bigint) as note from chapters c join r using (doc_id) where length(content) > 50""")
+def note_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Author's notes with their text, from each chapter's ranges."""
+    ranges = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 12), (30, 45))])
+    notes = table(spark, sf_dir, "documents").where("doc_id % 5 = 0").select("doc_id", F.explode(ranges).alias("r")).select("doc_id", "r.*")
+    rows = p.chapters(spark, sf_dir).where("length(content) > 50").join(notes, "doc_id")
+    return rows.select("book", "number", F.col("a").alias("start"), F.expr("substring(content, a + 1, b - a)").alias("note"))
+
+
+@query("""with t as (select l_suppkey as who, l_partkey % 6 as trait, max(l_orderkey) as v from lineitem where l_linenumber = 1 group by all), s as (select l_suppkey as who, l_partkey % 6 as trait, max(l_orderkey) as v from lineitem where l_linenumber = 2 and l_orderkey % 5 = 0 group by all)
+select coalesce(t.who, s.who) as who, coalesce(t.trait, s.trait) as trait, coalesce(t.v, s.v) as v from t full join s on s.who = t.who and s.trait = t.trait""")
+def merged_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trait maps of a merged pair of characters, the target's values first (U8)."""
+    rows = table(spark, sf_dir, "lineitem")
+    side = lambda w, n: rows.where(w).groupBy(F.col("l_suppkey").alias("who"), (F.col("l_partkey") % 6).alias("trait")).agg(F.max("l_orderkey").alias(n))
+    both = side("l_linenumber = 1", "t").join(side("l_linenumber = 2 and l_orderkey % 5 = 0", "s"), ["who", "trait"], "full_outer")
+    return both.select("who", "trait", F.coalesce("t", "s").alias("v"))
+
+
+@query("select doc_id, len(list_filter(string_split(text, ' '), lambda w: w in ('thereon', 'the'))) as uses from documents where contains(text, 'thereon') or contains(text, 'ation the ')")
+def retokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only passages that contain a new name have their tokens cut again."""
+    touched = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("thereon")) | F.contains("text", F.lit("ation the ")))
+    return touched.select("doc_id", F.size(F.filter(F.split("text", " "), lambda w: w.isin("thereon", "the"))).cast("bigint").alias("uses"))
+
+
+@query("select l_orderkey as issue, count(*) as verdicts, arg_max(l_returnflag, l_linenumber * 100000000000 + l_partkey * 10000 + l_suppkey) as latest from lineitem group by 1")
+def verdict_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts are only appended; the latest of each issue counts."""
+    order = F.col("l_linenumber") * 100000000000 + F.col("l_partkey") * 10000 + F.col("l_suppkey")
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("issue")).agg(F.count("*").alias("verdicts"), F.max_by("l_returnflag", order).alias("latest"))
+
+
+@query("""with i as (select o_orderkey as id, [o_custkey % 20, o_custkey % 13] as subjects from orders), c as (select 'golden' as source, id, subjects from i where id % 3 = 0 union all select 'injected', id, subjects from i where id % 7 = 0)
+select source, id, list_has_any(subjects, [3::bigint, 5, 7]) as ours from c""")
+def verdict_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases of several sources, and whether they name our characters."""
+    i = table(spark, sf_dir, "orders").selectExpr("o_orderkey as id", "array(o_custkey % 20, o_custkey % 13) as subjects")
+    cases = i.where("id % 3 = 0").withColumn("source", F.lit("golden")).unionByName(i.where("id % 7 = 0").withColumn("source", F.lit("injected")))
+    return cases.select("source", "id", F.arrays_overlap("subjects", F.array(*[F.lit(x).cast("bigint") for x in (3, 5, 7)])).alias("ours"))
