@@ -276,6 +276,7 @@ def repeated_spans(texts: DataFrame, length: int, block_bytes: int = BLOCK_BYTES
     kinds = dict(texts.dtypes)
     source = texts.select("text", "id", "hash")
     seen = source.select("text").mapInArrow(_anchors(length, False), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    seen = stored(seen, "seen")  # an aggregate in the join's stage would keep Spark from splitting a hot anchor
     places = source.mapInArrow(_anchors(length, True), f"anchor long, whole long, id {kinds['id']}, hash long, start long, starts int")
     places = stored(places.join(seen, "anchor"), "places")
     # equal stretches repeat each other throughout; different ones are compared, one row of each
