@@ -13,7 +13,7 @@ from taleweave.llm.lines import dropped
 from taleweave.llm.minhash import near_duplicates
 from taleweave.llm.quality import passing
 from taleweave.llm.queries import packed_documents
-from taleweave.llm.scratch import new_folder
+from taleweave.llm.scratch import new_folder, stored
 from taleweave.llm.suffix import without_repeats
 
 #: Word shingles and similarity of the near-dedup stage; bytes of a repeated passage.
@@ -31,9 +31,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest doc_id."""
-    gone = near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT).where("not kept").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """One row of each group of near-duplicates, that with the smallest doc_id; a null one comes last.
+
+    A node is what has one doc_id and text, by 64-bit hash: rows that only share a doc_id, or
+    have none, are told apart, and of rows with both equal one (the least) stays. Texts without
+    a word are linked with nothing and all stay.
+    """
+    text = F.col("text").cast("string")
+    solid = F.coalesce(F.length(F.translate(text, " \t\n\x0b\f\r", "")) > 0, F.lit(False))
+    keyed = docs.select(F.xxhash64("doc_id", text).alias("node"), F.struct(*docs.columns).alias("row"), solid.alias("solid"))
+    solids = keyed.where("solid").select("node", "row")
+    again = stored(solids.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "again")
+    single = stored(solids.join(again, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")), "single")
+    rows = solids.join(again, "node", "left_anti").union(single)
+    near = near_duplicates(rows.select(F.col("node").alias("doc_id"), F.col("row.text").alias("text")), SHINGLE_WORDS, SIMILAR_PERCENT)
+    others = stored(near.where("not kept").select(F.col("doc_id").alias("node"), "component_id"), "others")
+    members = others.union(others.select(F.col("component_id").alias("node"), "component_id").distinct())
+    ranked = rows.select("node", F.struct(F.col("row.doc_id").isNull().alias("none"), "row.doc_id", "node").alias("rank")).join(members, "node")
+    ranked = stored(ranked.select("node", "component_id", "rank"), "ranked")
+    best = ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank.node")
+    gone = ranked.select("node").join(best, "node", "left_anti")
+    return rows.join(gone, "node", "left_anti").select("row.*").union(keyed.where("not solid").select("row.*"))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -440,3 +440,31 @@ def test_pipeline_stages_by_brute_force(spark):
     assert cut.columns == names and {r.doc_id: r.text for r in cut.collect()} == brute
     packed = pipeline.packing(spark, cut, SF)
     assert packed.select("doc_id").distinct().count() == cut.count()
+
+
+def test_near_dedup_keeps_one_row_of_repeated_and_null_ids(spark):
+    import corpus_pipeline as pipeline
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    ids = [5, 5, None, None, 7, 7, 3, None, 9, None, None]
+    values = [a, a, b, b, c, d, d, c + " z", "a b", " ", None]
+    got = pipeline.near_dedup(spark, texts(spark, values, ids), SF).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(5, a), (0, b), (7, c), (3, d), (9, "a b"), (0, " "), (0, "")])
+
+
+def test_pipeline_run_with_repeated_and_null_ids(spark, tmp_path):
+    import corpus_pipeline as pipeline
+    from taleweave.llm.minhash import near_duplicates
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    lengths = lambda df: {r.doc_id: r.n for r in df.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    once = lengths(pipeline.run(spark, SF))
+    alone = near_duplicates(docs, 5, 80).groupBy("component_id").agg(F.count("*").alias("n")).where("n = 1")
+    some = sorted(r.component_id for r in alone.collect() if once.get(r.component_id, 0) > 150)
+    same, lost = some[:3], some[3]
+    rows, bare = docs.where(F.col("doc_id").isin(same)), docs.where(F.col("doc_id") == lost).withColumn("doc_id", F.lit(None).cast("long"))
+    docs.where(F.col("doc_id") != lost).union(rows).union(bare).union(bare).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    got = lengths(pipeline.run(spark, str(tmp_path)))
+    assert set(got) == set(once) - {lost} | {None}
+    assert {i: got[i] for i in same} == {i: once[i] for i in same} and got[None] == once[lost]
