@@ -317,15 +317,21 @@ def repeats(values, length):
 
 
 def test_transform_finds_repeated_starts():
-    from taleweave.llm.suffix import _block
+    from taleweave.llm.suffix import repeated_starts
 
     rng = np.random.default_rng(1)
     for _ in range(100):
         parts = [bytes(rng.integers(97, 100, rng.integers(12, 40)).astype(np.uint8)) for _ in range(rng.integers(1, 30))]
         parts += parts[:2] if rng.random() < 0.5 else []
         often = Counter(s[i : i + 9] for s in parts for i in range(len(s) - 8))
-        for s, mask in zip(parts, _block(parts, 9)[0]):
-            assert [often[s[i : i + 9]] > 1 for i in range(len(s) - 8)] == mask.tolist()
+        symbols = np.concatenate([np.append(np.frombuffer(s, np.uint8).astype(np.int32), 256 + i) for i, s in enumerate(parts)])
+        order, same = repeated_starts(symbols, 9)
+        mask = np.zeros(len(symbols), bool)
+        mask[order[same]] = mask[order[np.flatnonzero(same) - 1]] = True
+        at = 0
+        for s in parts:
+            assert [often[s[i : i + 9]] > 1 for i in range(len(s) - 8)] == mask[at : at + len(s) - 8].tolist()
+            at += len(s) + 1
 
 
 @pytest.mark.parametrize("length,block", [(20, 1 << 20), (20, 500)])
@@ -343,6 +349,22 @@ def test_suffix_dedup_removes_all_repeats(spark, monkeypatch, length, block):
     assert suffix.without_repeats(texts(spark, []), length).count() == 0
 
 
+def test_suffix_dedup_of_equal_rows_and_of_a_text_over_many_windows(spark, monkeypatch):
+    from taleweave.llm import suffix
+
+    monkeypatch.setattr(suffix, "WINDOW", 700)
+    random.seed(4)
+    some = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n))
+    shared, often = some(400), some(90)
+    long = some(3000) + shared + some(5000) + shared[50:350] + some(2000)
+    values = [some(1500)] * 300 + [long, some(100) + shared, "é" * 99] + [some(150) + often + some(150) for _ in range(40)]
+    ids = [7] * 300 + list(range(100, 143))
+    spans = suffix.repeated_spans(texts(spark, values[299:], ids[299:]).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text"), 200)
+    assert spans.where("id = 7").count() == 0
+    got = Counter((r.row["doc_id"], r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in suffix.without_repeats(texts(spark, values, ids), 200, 2000).collect())
+    assert got == Counter((i, *x) for i, x in zip(ids, repeats(values, 200)))
+
+
 def test_suffix_dedup_on_the_supplied_documents(spark):
     from taleweave.llm.queries import op8_suffix_dedup
 
