@@ -2,7 +2,7 @@
 
 The rank file is turned into a vocabulary and merges over the byte alphabet (each byte has a
 printable stand-in character). A text is cut before single spaces, where no match of the
-pre-token pattern can cross, and only the distinct pieces of a batch are encoded; as token
+pre-token pattern can cross, and only the distinct pieces of a batch, equal byte for byte, are encoded; as token
 ids have known byte lengths, the pieces' ids are found again in one long encoding and spread
 over all texts. Decoding looks every id up in the byte table.
 """
@@ -90,45 +90,44 @@ def _blank(data: np.ndarray) -> np.ndarray:
     return blank
 
 
-def _cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the pieces, and whether each starts with a single space (not a text)."""
+def _cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the pieces, and whether each can follow another: one space, then no white space to its end."""
     if not len(data):
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool),)
+        return np.zeros(0, np.int64), np.zeros(0, bool)
     blank = _blank(data)
+    space = data == 0x20
     cut = np.zeros(len(data), bool)
-    cut[1:-1] = (data[1:-1] == 0x20) & ~blank[:-2] & ~blank[2:]
+    cut[1:-1] = space[1:-1] & ~blank[:-2] & ~blank[2:]
     edges = offsets[:-1][offsets[:-1] < offsets[1:]]
     lasts = offsets[1:][offsets[:-1] < offsets[1:]] - 1
-    cut[edges] = cut[lasts] = False
-    single = cut.copy()
+    cut[lasts] = False
     cut[edges] = True
     starts = np.flatnonzero(cut)
-    return starts, np.append(starts[1:], len(data)), single[starts]
+    ends = np.append(starts[1:], len(data))
+    return starts, space[starts] & (ends - starts > 1) & ~blank[np.minimum(starts + 1, len(data) - 1)] & ~blank[ends - 1]
 
 
-def _encode_pieces(tokenizer, sizes: np.ndarray, data: np.ndarray, starts, ends, single) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of each piece as a ragged array. Pieces with a leading space are encoded joined."""
-    raw = data.tobytes()
+def _encode_pieces(tokenizer, sizes: np.ndarray, pieces: list[bytes], single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of each piece as a ragged array. Pieces that can follow others are encoded joined."""
     order = np.concatenate([np.flatnonzero(single), np.flatnonzero(~single)])
     strings, have = [], 0
     part: list[bytes] = []
     for i in order[: int(single.sum())].tolist():
-        part.append(raw[starts[i] : ends[i]])
+        part.append(pieces[i])
         have += len(part[-1])
         if have >= _STRING:
             strings.append(b"".join(part).decode())
             part, have = [], 0
-    strings += [b"".join(part).decode()] * bool(part) + [raw[starts[i] : ends[i]].decode() for i in order[int(single.sum()) :].tolist()]
+    strings += [b"".join(part).decode()] * bool(part) + [pieces[i].decode() for i in order[int(single.sum()) :].tolist()]
     ids = [np.array(e.ids, np.int32) for k in range(0, len(strings), 64) for e in tokenizer.encode_batch_fast(strings[k : k + 64], add_special_tokens=False)]
     flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
     at = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes[flat])])  # bytes before each id
-    piece_at = np.concatenate([np.zeros(1, np.int64), np.cumsum((ends - starts)[order])])
+    lengths = np.array([len(p) for p in pieces], np.int64)
+    piece_at = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths[order])])
     borders = np.searchsorted(at, piece_at)
     if not np.array_equal(at[borders], piece_at):
         raise ValueError("the ids' bytes don't follow the text")
-    back = np.argsort(order)
-    flat, out = ragged.gather(flat, borders, back)
-    return flat, out
+    return ragged.gather(flat, borders, np.argsort(order))
 
 
 def encode_batch(codec: dict, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -136,9 +135,11 @@ def encode_batch(codec: dict, column: pa.Array) -> Iterator[tuple[np.ndarray, np
     tokenizer, _, table_ends, known = _opened(codec)
     sizes = np.diff(table_ends)
     data, offsets = bytetext.raw_bytes(column)
-    starts, ends, single = _cut(data, offsets)
-    hashes, first, which = ragged.distinct_spans(data, starts, ends)
-    flat, flat_ends = known.results(hashes, lambda new: _encode_pieces(tokenizer, sizes, data, starts[first[new]], ends[first[new]], single[first[new]]))
+    starts, single = _cut(data, offsets)
+    pieces, which = ragged.distinct_spans(data, np.append(starts, len(data)))
+    joined = np.zeros(len(pieces), bool)
+    joined[which] = single  # the same for equal pieces
+    flat, flat_ends = known.results(pieces, lambda new: _encode_pieces(tokenizer, sizes, [pieces[i] for i in new.tolist()], joined[new]))
     bounds = np.searchsorted(starts, offsets)
     for a, b in bytetext.chunks(offsets):
         ids, piece_ends = ragged.gather(flat, flat_ends, which[bounds[a] : bounds[b]])

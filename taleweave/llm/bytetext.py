@@ -12,8 +12,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes handled at once; the 64-bit working arrays take some 60 times as much memory.
-CHUNK_BYTES = 1 << 20
+from taleweave.llm import ragged
+
+#: Bytes handled at once, so that the 64-bit working arrays stay in a core's cache.
+CHUNK_BYTES = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -126,29 +128,75 @@ def rolling_hash(prefix: np.ndarray, size: int) -> np.ndarray:
     return mixed(h)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    """For each text in turn, the sorted distinct 64-bit hashes of its ``size``-word shingles.
+def word_classes(data: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words, A-Z lower-cased, and each word's number among them, compared byte by byte."""
+    spans, which = ragged.distinct_words(_LOWER[data], starts)
+    numbers: dict[bytes, int] = {}
+    again = np.array([numbers.setdefault(x, len(numbers)) for x in spans], np.int64)
+    return list(numbers), again[which] if len(which) else which
+
+
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each word, mixed anew for every eight bytes."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    sizes = ends - starts
+    one, two = mixed(sizes.astype(np.uint64), 11), mixed(sizes.astype(np.uint64), 12)
+    rows, done = np.arange(len(starts)), 0
+    while len(rows):
+        chunk = eight[starts[rows] + done] & _KEPT[np.minimum(sizes[rows] - done, 8)]
+        one[rows] = mixed(one[rows] * np.uint64(0x9FB21C651E98DF25) + chunk, 13)
+        two[rows] = mixed((two[rows] ^ chunk) * np.uint64(0xC2B2AE3D27D4EB4F), 14)
+        done += 8
+        rows = rows[sizes[rows] > done]
+    return one, two
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text in turn, its set of distinct ``size``-word shingles: (ascending 64-bit hashes, a second hash of each).
 
     A-Z is lower-cased. A text of fewer words than ``size`` has its whole sequence as the one
     shingle; a text without words has the empty set.
     """
     for first, last in chunks(offsets):
-        part = data[offsets[first] : offsets[last]]
+        part = _LOWER[data[offsets[first] : offsets[last]]]
         off = offsets[first : last + 1] - offsets[first]
         starts, ends, text = words(part, off)
+        h = word_hashes(part, starts, ends)
         bounds = np.searchsorted(text, np.arange(last - first + 1))
-        if not len(starts):
-            yield from (np.zeros(0, np.uint64) for _ in range(last - first))
-            continue
-        h = span_hash(prefix_hash(part, True), starts, ends)
-        rolled = _sequence_hash([h[i : len(h) - size + 1 + i] for i in range(size)]) if len(h) >= size else h[:0]
+        one, two = (_sequence_hash([x[i : len(x) - size + 1 + i] for i in range(size)]) if len(x) >= size else x[:0] for x in h)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             if b - a >= size:
-                yield np.unique(rolled[a : b - size + 1])
+                own, at = np.unique(one[a : b - size + 1], return_index=True)
+                yield own, two[a + at]
             elif b > a:
-                yield _sequence_hash([h[i : i + 1] for i in range(a, b)])
+                yield tuple(_sequence_hash([x[i : i + 1] for i in range(a, b)]) for x in h)
             else:
-                yield h[:0]
+                yield h[0][:0], h[1][:0]
+
+
+def shingle_numbers(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
+    """The sets of ``shingle_sets`` as ascending numbers, equal within the call for equal words and for no others."""
+    starts, _, text = words(data, offsets)
+    distinct, which = word_classes(data, starts)
+    n, out = len(text), []
+    bounds = np.searchsorted(text, np.arange(len(offsets)))
+    count, code = len(distinct), which
+    for i in range(1, size if n >= size else 1):  # runs of words are numbered anew for each word more
+        _, code = np.unique(code[: n - i] * np.int64(len(distinct)) + which[i:], return_inverse=True)
+        count = max(count, int(code.max()) + 1 if len(code) else 0)
+    short: dict[tuple, int] = {}
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if b - a >= size:
+            out.append(np.unique(code[a : b - size + 1]))
+        elif b > a:
+            out.append(np.array([count + short.setdefault(tuple(which[a:b].tolist()), len(short))], np.int64))
+        else:
+            out.append(np.zeros(0, np.int64))
+    return out
 
 
 def _sequence_hash(columns: list[np.ndarray]) -> np.ndarray:

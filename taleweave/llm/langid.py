@@ -18,21 +18,25 @@ from pyspark.sql import functions as F
 
 from taleweave.llm import bytetext, ragged
 
-#: Longer words are cut into parts of so many bytes, each scored as a word.
+#: Words of the sample above so many bytes are not learned from; longer ones are scored with a
+#: scale of their own at each byte.
 MOST_BYTES = 32
-#: Probabilities are scaled by exp(SCALE) a byte, which keeps the sums within a double's range.
+#: Probabilities are scaled by exp(SCALE) a byte, which keeps the sums of words that are not
+#: longer within a double's range.
 SCALE = 2.5
+#: Bytes of long words whose pieces are looked up at once.
+_WINDOW = 64
 #: Documents of each language, about and at most, that the probabilities are learned from.
 SAMPLE_DOCS, MOST_SAMPLE_DOCS = 200, 400
 ROUNDS = 4
 _loaded: dict = {}
 
 
-def load_pieces(path: str, longest: int = 12) -> list[bytes]:
+def load_pieces(path: str) -> list[bytes]:
     """The vocabulary's pieces without inner white space, in lower case, and all single bytes."""
     with open(path, "rb") as lines:
         tokens = {base64.b64decode(x.split()[0]) for x in lines}
-    kept = {t.lower() for t in tokens if len(t) <= longest and not any(c in t[1:] for c in b" \t\n\x0b\f\r") and t[:1] not in (b"\t", b"\n", b"\x0b", b"\f", b"\r")}
+    kept = {t.lower() for t in tokens if not any(c in t[1:] for c in b" \t\n\x0b\f\r") and t[:1] not in (b"\t", b"\n", b"\x0b", b"\f", b"\r")}
     return sorted(kept | {bytes([b]) for b in range(256)})
 
 
@@ -92,15 +96,59 @@ def word_scores(model: dict, data: np.ndarray, starts: np.ndarray, ends: np.ndar
     pieces, scaled = model["pieces"], model["scaled"]
     out = np.empty((len(starts), scaled.shape[1]))
     usable = scaled.max(axis=1) > 0
-    for size, rows in _by_length(ends - starts):
+    sizes = ends - starts
+    short = np.flatnonzero(sizes <= MOST_BYTES)
+    for size, rows in _by_length(sizes[short]):
         for k in range(0, len(rows), 20_000):
-            part = rows[k : k + 20_000]
+            part = short[rows[k : k + 20_000]]
             symbols = _symbols(pieces, data, starts[part], size)
             forward = np.zeros((size + 2, len(part), scaled.shape[1]))
             forward[0] = 1
             for start, stop, at, node in pieces.walk(symbols, usable):
                 forward[stop, at] += forward[start, at] * scaled[node]
             out[part] = np.log(forward[size + 1]) - SCALE * (size + 1)
+    long = np.flatnonzero(sizes > MOST_BYTES)
+    long = long[np.argsort(sizes[long], kind="stable")]
+    most = max(1, (1 << 21) // (_WINDOW * pieces.longest * scaled.shape[1]))
+    for k in range(0, len(long), most):
+        out[long[k : k + most]] = _long_scores(pieces, scaled, data, starts[long[k : k + most]], ends[long[k : k + most]])
+    return out
+
+
+def _long_scores(pieces: Pieces, scaled: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``word_scores`` of words of any length: the sums of the last places only are held, and scaled at each byte."""
+    n, longest, languages = len(starts), pieces.longest, scaled.shape[1]
+    sizes = ends - starts + 1  # with the space before each
+    recent = np.zeros((longest, n, languages))  # the sums before the last ``longest`` places, by place modulo longest
+    recent[0] = 1
+    scale, out = np.zeros((n, languages)), np.empty((n, languages))
+    rows = np.arange(n)
+    # probability of the piece that ends at a place of the window, by its length
+    ending = np.zeros((_WINDOW + longest, longest + 1, n, languages))
+    for begin in range(0, int(sizes.max()), _WINDOW):
+        ending[:longest] = ending[_WINDOW:]
+        ending[longest:] = 0
+        for start in range(begin, min(begin + _WINDOW, int(sizes.max()))):
+            alive, node = rows[sizes > start], np.ones(int((sizes > start).sum()), np.int64)
+            for length in range(1, longest + 1):
+                there = start + length <= sizes[alive]
+                alive, node = alive[there], node[there]
+                at = starts[alive] + start + length - 2
+                symbol = np.where(at < starts[alive], pieces.classes[32], pieces.classes[bytetext._LOWER[data[np.maximum(at, 0)]]])
+                node = pieces.step[node, symbol]
+                alive, node = alive[node > 0], node[node > 0]
+                if not len(alive):
+                    break
+                ending[start + length - 1 - begin, length, alive] = scaled[node]
+        for stop in range(begin + 1, min(begin + _WINDOW, int(sizes.max())) + 1):
+            back = np.arange(1, min(longest, stop) + 1)
+            new = (recent[(stop - back) % longest] * ending[stop - 1 - begin, back]).sum(axis=0)
+            top = np.where(new > 0, new, 1)
+            scale += np.where((sizes >= stop)[:, None], np.log(top), 0)
+            recent /= top
+            recent[stop % longest] = new / top
+            done = sizes == stop
+            out[done] = np.where(new[done] > 0, scale[done], -np.inf) - SCALE * stop
     return out
 
 
@@ -163,23 +211,21 @@ def learn_from(docs: DataFrame, pieces: list[bytes], per_language: int = SAMPLE_
     """Learns from ``docs(doc_id, text, lang)`` with neither text nor lang null.
 
     ``per_language`` documents of each language, about, and never more than ``most``, are taken by
-    the hash of their doc_id: the model is a classifier fitted on a bounded sample. Only their
-    words' counts come to the driver. A language without words isn't learned.
+    the hash of their doc_id and text: the model is a classifier fitted on a bounded sample. Only the
+    counts of their words of at most ``MOST_BYTES`` bytes come to the driver. A language without words isn't learned.
     """
     usable = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     totals = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     words: dict[str, dict[bytes, int]] = {}
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1_000_000))
+    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(17)), F.lit(1_000_000))
     limits = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, min(1_000_000, int(1_000_000 * per_language / n) + 1))]) if totals else None
     if totals:
-        chosen = usable.where(draw < limits[F.col("lang")])
+        chosen = usable.where(draw < limits[F.col("lang")]).dropDuplicates(["lang", "doc_id", "text"])
         chosen = chosen.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct(draw.alias("draw"), "doc_id", "text"))), 1, most).alias("docs"))
         flat = chosen.select("lang", F.explode("docs").alias("d")).select("lang", F.explode(F.split(F.translate("d.text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[\\x20\\x09-\\x0D]+")).alias("word"))
-        for r in flat.where("word <> ''").groupBy("lang", "word").count().collect():
-            raw = r["word"].encode()
-            for i in range(0, len(raw), MOST_BYTES):
-                own = words.setdefault(r["lang"], {})
-                own[raw[i : i + MOST_BYTES]] = own.get(raw[i : i + MOST_BYTES], 0) + r["count"]
+        for r in flat.where(F.octet_length("word").between(1, MOST_BYTES)).groupBy("lang", "word").count().collect():
+            if r["word"] is not None:
+                words.setdefault(r["lang"], {})[r["word"].encode()] = r["count"]
     return learn(words, pieces) if words else {"languages": [], "pieces": None, "scaled": None}
 
 
@@ -193,16 +239,6 @@ def _letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _cut_long(starts: np.ndarray, ends: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    parts = -(-(ends - starts) // MOST_BYTES)
-    if not len(parts) or parts.max() == 1:
-        return starts, ends, text
-    which = np.repeat(np.arange(len(starts)), parts)
-    inner = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
-    begin = starts[which] + inner * MOST_BYTES
-    return begin, np.minimum(begin + MOST_BYTES, ends[which]), text[which]
-
-
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, lang_pred, score)``, a row each.
 
@@ -219,19 +255,21 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
         names = own["languages"]
         if names and key not in _loaded:
             _loaded.clear()
-            _loaded[key] = ragged.Known(1 << 19, np.float64)
+            _loaded[key] = ragged.Known(1 << 18, np.float64)
         for batch in bytetext.slices(batches, 1, 6 << 20):
             data, offsets = bytetext.raw_bytes(batch.column(1))
             languages, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             if names:
-                starts, ends, text = _cut_long(*bytetext.words(data, offsets))
-                hashes, first, which = ragged.distinct_spans(data, starts, ends)
+                starts, _, text = bytetext.words(data, offsets)
+                distinct, which = ragged.distinct_words(data, starts)
 
-                def missing(new, first=first, starts=starts, ends=ends, data=data):
-                    found = word_scores(own, data, starts[first[new]], ends[first[new]])
+                def missing(new, distinct=distinct):
+                    some = [distinct[i] for i in new.tolist()]
+                    stops = np.cumsum([len(w) for w in some])
+                    found = word_scores(own, np.frombuffer(b"".join(some), np.uint8), stops - [len(w) for w in some], stops)
                     return found.ravel(), np.arange(len(new) + 1) * len(names)
 
-                flat, _ = _loaded[key].results(hashes, missing)
+                flat, _ = _loaded[key].results(distinct, missing)
                 by_word = flat.reshape(-1, len(names))
                 sums = np.stack([np.bincount(text, by_word[which, k], batch.num_rows) for k in range(len(names))], axis=1)
                 best = sums.argmax(axis=1)

@@ -65,10 +65,10 @@ def _sign(size: int, percent: int):
         for batch in batches:
             data, offsets = bytetext.raw_bytes(batch.column(1))
             n, k1, k2, bands = [], [], [], []
-            for s in bytetext.shingle_sets(data, offsets, size):
+            for s, t in bytetext.shingle_sets(data, offsets, size):
                 n.append(len(s))
                 k1.append(np.add.reduce(bytetext.mixed(s, 1)).view(np.int64) if len(s) else 0)
-                k2.append(np.add.reduce(bytetext.mixed(s, 2)).view(np.int64) if len(s) else 0)
+                k2.append(np.add.reduce(bytetext.mixed(t, 2)).view(np.int64) if len(s) else 0)
                 # m shingles or fewer can only match a different set if 1 of m + 1 may differ
                 bands.append(_band_hashes(signature(s)).view(np.int64) if 100 * len(s) >= percent * (len(s) + 1) else np.zeros(0, np.int64))
             flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
@@ -80,31 +80,36 @@ def _sign(size: int, percent: int):
 
 
 def _verify(size: int, percent: int):
-    """Keeps the pairs whose full sets have 100 * intersection >= percent * union."""
+    """Keeps the pairs whose full sets, of words and not of hashes, have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            sets = bytetext.shingle_sets(*bytetext.raw_bytes(batch.column(2)), size)
-            texts, linked = batch.column(3), []
-            for i, (x, s) in enumerate(zip(b, sets)):
-                if x != last:  # rows of one pivot follow each other
-                    last, kept = x, next(bytetext.shingle_sets(*bytetext.raw_bytes(texts.slice(i, 1)), size))
-                at = np.searchsorted(kept, s)
-                at[at == len(kept)] = 0
-                both = int((kept[at] == s).sum()) if len(kept) else 0
-                linked.append(both > 0 and 100 * both >= percent * (len(s) + len(kept) - both))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
+        for batch in bytetext.slices(batches, 2, 4 << 20):
+            pivot = batch.column(1).to_numpy()
+            new = np.concatenate([[True], pivot[1:] != pivot[:-1]])  # rows of one pivot follow each other
+            sets = bytetext.shingle_numbers(*bytetext.raw_bytes(pa.concat_arrays([batch.column(2), batch.column(3).take(pa.array(np.flatnonzero(new)))])), size)
+            linked = np.zeros(len(pivot), bool)
+            for i, at in enumerate((len(pivot) + np.cumsum(new) - 1).tolist()):
+                own, other = sets[i], sets[at]
+                if len(other):
+                    place = np.searchsorted(other, own)
+                    place[place == len(other)] = 0
+                    both = int((other[place] == own).sum())
+                    linked[i] = both > 0 and 100 * both >= percent * (len(own) + len(other) - both)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     return run
 
 
+def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts of ``ids(doc_id)``, those of one doc_id that are equal once."""
+    mine = texts.join(ids.distinct(), "doc_id", "left_semi")
+    return mine.groupBy("doc_id", F.xxhash64("text").alias("hash")).agg(F.any_value("text").alias("text"))
+
+
 def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """``pairs(a, b)`` -> those whose texts are similar enough, stored."""
-    side_a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    side_b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    rows = pairs.join(side_a, "a").join(side_b, "b").select("a", "b", "text_a", "text_b")
+    sides = [_texts_of(pairs.select(F.col(k).alias("doc_id")), texts).select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in ("a", "b")]
+    rows = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b")
     return stored(rows.mapInArrow(_verify(size, percent), "a long, b long").distinct(), "links")
 
 
@@ -116,7 +121,7 @@ def _count_shingles(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for s in bytetext.shingle_sets(*bytetext.raw_bytes(batch.column("text")), size):
+            for s, _ in bytetext.shingle_sets(*bytetext.raw_bytes(batch.column("text")), size):
                 np.add.at(counts, (s >> np.uint64(44)).astype(np.int64), 1)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["counter", "n"])
@@ -135,7 +140,7 @@ def _rare_shingles(size: int, percent: int, shipped):
         counts = shipped.value
         for batch in batches:
             reps, labels = batch.column("rep").to_numpy(), batch.column("label").to_numpy()
-            sets = list(bytetext.shingle_sets(*bytetext.raw_bytes(batch.column("text")), size))
+            sets = [s for s, _ in bytetext.shingle_sets(*bytetext.raw_bytes(batch.column("text")), size)]
             tokens, rows, close, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, np.int64)]
             for i, s in enumerate(sets):
                 n = len(s)
@@ -154,7 +159,7 @@ def _rare_shingles(size: int, percent: int, shipped):
 
 def _rare_pairs(rest: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """``rest(rep, label)`` -> ``(a, b)``: the pairs of different labels that share a rare shingle."""
-    rows = rest.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    rows = rest.join(_texts_of(rest.select(F.col("rep").alias("doc_id")), texts).select(F.col("doc_id").alias("rep"), "text"), "rep")
     counted = rows.select("text").mapInArrow(_count_shingles(size), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
     found = counted.toArrow()  # at most COUNTERS rows
     counts = np.zeros(COUNTERS, np.int32)
@@ -180,8 +185,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     whole sequence is the one shingle. Repeated doc_ids count as one node. A null doc_id
     has a null component and is kept. Other columns, whatever their names, are not read.
 
-    Documents with equal sets are one class before any pair is formed, so a group of copies
-    costs one row. A bucket of classes is compared with its best connected member first.
+    Documents whose sets are equal by a 128-bit digest are one class before any pair is
+    formed, so a group of copies costs one row; links between classes are confirmed on the
+    words themselves. A bucket of classes is compared with its best connected member first.
     Members of buckets that then still hold several components are told apart further by
     their rarest shingles: sets similar enough share one among those, so pairs that share
     none are ruled out without being formed, and no pair that is a link is lost.

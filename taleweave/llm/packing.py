@@ -213,7 +213,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     A document is its text's ids (no special tokens added) and ``end_id``; one longer than
     ``capacity`` is cut there. ``ids`` are little-endian unsigned 32-bit numbers. Null text:
     ``end_id`` alone. The tokenizer must drop white space and keep words apart (checked);
-    each distinct word of a batch is then encoded once. Other columns are not read.
+    each distinct word of a batch, equal byte for byte, is then encoded once. Other columns are not read.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         shipped = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -222,11 +222,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
         for batch in bytetext.slices(batches, 1):
             tokenizer, mark, known = _tokenizer(shipped.value)
             data, offsets = bytetext.raw_bytes(batch.column(1))
-            starts, ends, text = bytetext.words(data, offsets)
-            hashes, first, which = ragged.distinct_spans(data, starts, ends)
-            raw = data.tobytes()
-            cut = lambda new: [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]  # noqa: B023, E731
-            flat, flat_ends = known.results(hashes, lambda new: _word_ids(tokenizer, mark, cut(new)))  # noqa: B023
+            starts, _, text = bytetext.words(data, offsets)
+            distinct, which = ragged.distinct_words(data, starts)
+            flat, flat_ends = known.results(distinct, lambda new: _word_ids(tokenizer, mark, [distinct[i].decode() for i in new.tolist()]))  # noqa: B023
             bounds = np.searchsorted(text, np.arange(len(offsets)))
             rows: tuple[list, ...] = ([], [], [], [], [])
             keys = batch.column(0).to_pylist()

@@ -1,12 +1,11 @@
-"""Work once for each distinct span of a batch, then spread the results (numpy only)."""
+"""Work once for each distinct span of a batch, then spread the results (Arrow and numpy only)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 import numpy as np
-
-from taleweave.llm import bytetext
+import pyarrow as pa
 
 
 def gather(flat: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -19,39 +18,44 @@ def gather(flat: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.nda
 
 
 class Known:
-    """Ragged results of spans seen before in this worker, by hash; started anew when it would grow too large."""
-
-    def __init__(self, most: int = 1 << 19, kind: type = np.int32):
-        self.most = most
-        self.hashes, self.flat, self.ends = np.zeros(0, np.uint64), np.zeros(0, kind), np.zeros(1, np.int64)
-
-    def results(self, hashes: np.ndarray, missing: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """The ragged results of ascending ``hashes``; ``missing`` makes those of the places it is given."""
-        at = np.searchsorted(self.hashes, hashes)
-        at[at == len(self.hashes)] = 0
-        known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
-        new = np.flatnonzero(~known)
+    """Ragged results of byte strings seen before in this worker; started anew when it would grow too large."""
+
+    def __init__(self, most: int = 1 << 18, kind: type = np.int32, longest: int = 64):
+        self.most, self.longest = most, longest
+        self.rows: dict[bytes, int] = {}
+        self.flat, self.ends = np.zeros(0, kind), np.zeros(1, np.int64)
+
+    def results(self, keys: list[bytes], missing: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ragged results of ``keys``; ``missing`` makes those of the places it is given. Keys above ``longest`` aren't remembered."""
+        row = np.fromiter((self.rows.get(k, -1) for k in keys), np.int64, len(keys))
+        new = np.flatnonzero(row < 0)
+        if not len(new):
+            return gather(self.flat, self.ends, row)
         flat, ends = missing(new)
-        row = np.where(known, at, 0)
-        row[new] = len(self.hashes) + np.arange(len(new))
-        flat, ends = np.concatenate([self.flat, flat]), np.concatenate([self.ends, self.ends[-1] + ends[1:]])
-        out = gather(flat, ends, row)
-        if len(self.hashes) + len(new) > self.most:
-            self.hashes, (self.flat, self.ends) = hashes, out
-        else:
-            both = np.concatenate([self.hashes, hashes[new]])
-            order = np.argsort(both, kind="stable")
-            self.hashes, (self.flat, self.ends) = both[order], gather(flat, ends, order)
+        row[new] = len(self.ends) - 1 + np.arange(len(new))
+        out = gather(np.concatenate([self.flat, flat]), np.concatenate([self.ends, self.ends[-1] + ends[1:]]), row)
+        short = np.flatnonzero(np.fromiter((len(keys[i]) <= self.longest for i in new.tolist()), bool, len(new)))
+        if len(self.rows) + len(short) > self.most:
+            self.rows, self.flat, self.ends = {}, self.flat[:0], self.ends[:1]
+        if len(short) <= self.most:
+            flat, ends = gather(flat, ends, short)
+            self.rows.update(zip((keys[i] for i in new[short].tolist()), range(len(self.ends) - 1, len(self.ends) - 1 + len(short))))
+            self.flat, self.ends = np.concatenate([self.flat, flat]), np.concatenate([self.ends, self.ends[-1] + ends[1:]])
         return out
 
 
-def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ascending 64-bit hashes of the distinct byte spans, a place of each, number of each span's class)."""
-    h = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + bytetext.CHUNK_BYTES, "right")))
-        lo, hi = starts[i], ends[j - 1]
-        h[i:j] = bytetext.span_hash(bytetext.prefix_hash(data[lo:hi], False), starts[i:j] - lo, ends[i:j] - lo)
-        i = j
-    return np.unique(h, return_index=True, return_inverse=True)
+def distinct_spans(data: np.ndarray, borders: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """(the distinct byte strings between neighbouring borders, number of each one's class), compared byte by byte."""
+    borders = np.ascontiguousarray(borders, np.int64)
+    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(borders) - 1, [None, pa.py_buffer(borders), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = column.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+
+
+_BLANKS = b" \t\n\x0b\f\r"
+
+
+def distinct_words(data: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """As ``distinct_spans`` for words that start at ``starts``, without the white space after each."""
+    spans, which = distinct_spans(data, np.append(starts, len(data)))
+    return [x.rstrip(_BLANKS) for x in spans], which

@@ -76,6 +76,29 @@ def test_minhash_without_rows_and_with_repeats(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in rows) == [(0, 0, True), (5, 5, True), (5, 5, True), (7, 7, True)]
 
 
+def twins():
+    """Two words of 1,024 bytes that polynomial hashes modulo 2**64 don't tell apart, whatever their base."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    return one, one.translate({97: 98, 98: 97})
+
+
+def test_minhash_tells_words_apart_that_simple_hashes_join(spark):
+    from taleweave.llm.minhash import near_duplicates
+
+    one, two = twins()
+    rows = near_duplicates(texts(spark, [one, two, f"x {one} y", f"x {two} y", f"x {one.upper()} y"]), 2).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 2)]
+
+
+def test_minhash_of_many_equal_rows(spark):
+    from taleweave.llm.minhash import near_duplicates
+
+    base = [f"w{i}" for i in range(60)]
+    values = [" ".join(base)] * 300 + [" ".join(base[:-1])] * 300 + [" ".join(base[1:])]
+    rows = near_duplicates(texts(spark, values, [5] * 300 + [9] * 300 + [2]), 2).collect()
+    assert len(rows) == 601 and {r.component_id for r in rows} == {2}
+
+
 def test_components_of_a_chain(spark):
     from taleweave.llm.components import connected_components
 
@@ -104,6 +127,19 @@ def test_language_model_sums_all_segmentations():
     for w in (b"abab", b"bbba", b"ba"):
         got = langid.word_scores(model, np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]
         assert np.allclose(got, [np.log(total(b" " + w, k)) for k in range(2)])
+    # long words, many at once and of different lengths: the same sums, carried on byte by byte
+    rng = np.random.default_rng(0)
+    words = [bytes(rng.choice(list(b"abc"), n).astype(np.uint8)) for n in (33, 34, 40, 63, 64, 65, 130, 300, 10_000)]
+    ends = np.cumsum([len(w) for w in words])
+    got = langid.word_scores(model, np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends)
+    for w, score in zip(words, got):
+        s = b" " + w
+        for k in range(2):
+            sums = [0.0]  # logarithms
+            for i in range(1, len(s) + 1):
+                parts = [sums[j] + np.log(model["scaled"][node(s[j:i]), k]) - langid.SCALE * (i - j) for j in range(max(0, i - 2), i) if node(s[j:i]) and model["scaled"][node(s[j:i]), k]]
+                sums.append(np.logaddexp.reduce(parts))
+            assert score[k] == pytest.approx(sums[-1], rel=1e-9)
 
 
 def test_language_id_on_held_out_documents(spark):
@@ -397,7 +433,7 @@ def test_packed_documents(spark):
     from taleweave.llm.queries import packed_documents
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    values = [None, "", "Hello, World!", "a\x01b \x01", "don't 123 é́ <|endoftext|> x", "word " * 5000, "x" * 3000, "same", "same"]
+    values = [*twins(), None, "", "Hello, World!", "a\x01b \x01", "don't 123 é́ <|endoftext|> x", "word " * 5000, "x" * 3000, "same", "same"]
     rows = packed_documents(texts(spark, values)).collect()
     got = {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows}
     want = {}
@@ -429,7 +465,7 @@ def test_bpe_is_tiktokens(spark):
     own = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
     random.seed(1)
     parts = ["a", "b", " ", "  ", "\n", " ", "　", "é", "'s", "'ll", "1", "23", "—", "😀", "́", "中", "\x1c", "\u0085", " ", "#!", "<|endoftext|>", "\t"]
-    values = ["".join(random.choice(parts) for _ in range(random.randrange(40))) for _ in range(800)] + [None, "", " ", "\n", "long " * 30_000]
+    values = ["".join(random.choice(parts) for _ in range(random.randrange(40))) for _ in range(800)] + [None, "", " ", "\n", "long " * 30_000, *twins(), *(f" {x}" for x in twins()), *(f"a {x} b\n" for x in twins())]
     codec = bpe.load_ranks(path, public.PATTERN)
     encoded = bpe.encode(texts(spark, values), codec, offsets=True)
     for r in bpe.decode(encoded, codec).join(encoded.select("doc_id", "char_starts"), "doc_id").collect():
