@@ -14,66 +14,113 @@ from taleweave.llm import bytetext
 from taleweave.llm.blocklstm import padded, scores, train
 from taleweave.llm.htmlblocks import Block, blocks, features
 
-#: Pages that the labeller is trained on, and as many composed ones.
-SAMPLE_PAGES = 240
-_MAIN = {"article", "main"}
-_ASIDE = set("nav header footer aside form .ad .ads .advert .banner .sponsored .promo .sidebar .menu .navigation .comment .comments .commentlist .cookie .notice .newsletter .related .share".split())
+#: Pages that the labeller is trained on, and as many composed ones; longer pages are not taken for that.
+SAMPLE_PAGES, MOST_SAMPLE_CHARS = 240, 100_000
 
 
 def structural_label(block: Block) -> float:
     """Distant supervision: text inside article or main, and in nothing that is set aside within."""
-    if block.label is not None:
-        return float(block.label == "1")
-    inside = [i for i, name in enumerate(block.path) if name in _MAIN]
-    return float(bool(inside) and not _ASIDE & set(block.path))
+    return float(block.element.inside and not block.element.aside)
 
 
-def composed_pages(texts: list[str], n: int, seed: int = 5) -> list[str]:
-    """Training pages in other layouts: known paragraphs amid menus, notices, adverts and comments."""
+_ASIDE_WORDS = ["ad", "advert", "banner", "sponsored", "promo", "widget", "teaser", "box", "extra"]
+_NOTICES = ["cookie notice", "notice", "newsletter", "alert", "consent", "popup", "message"]
+_REMARKS = ["comment", "reply", "response", "discussion", "reader", "feedback", "post", "entry"]
+_BOXES = ["<article>{}</article>", "<article class='{c}'>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", "<div class='{c}'>{}</div>", "<div id='{c}'><div class='inner'>{}</div></div>", "<section class='{c}'>{}</section>", "<div>{}</div>", "<div><div>{}</div></div>", "<center>{}</center>", "<td>{}</td>", "<td class='{c}'>{}</td>", "{}"]
+_BOX_NAMES = ["content", "main-content", "post", "entry", "body", "story", "text", "single", "page", "article-body", "left", "column"]
+
+
+def composed_pages(texts: list[str], n: int, seed: int = 5) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Training pages in many layouts, and where in each the main text's source lies: known paragraphs
+    amid menus, notices, adverts and comments, in named elements, plain boxes and tables."""
     rng = np.random.default_rng(seed)
     pick = lambda options: options[rng.integers(len(options))]
     say = lambda: html.escape(pick(texts))
-    few = lambda: html.escape(" ".join(pick(texts).split()[: rng.integers(1, 9)]))
+    few = lambda most=9: html.escape(" ".join(pick(texts).split()[: rng.integers(1, most)]))
+    some = lambda low, high, make: "".join(make() for _ in range(rng.integers(low, high)))
+
+    def menu() -> str:
+        link = lambda: f"<a href='/{few(3)}'>{few(5)}</a>"
+        return pick([
+            lambda: f"<nav class='{pick(['menu', 'nav', 'top', ''])}'><ul>{some(2, 8, lambda: f'<li>{link()}</li>')}</ul></nav>",
+            lambda: f"<div class='{pick(['menu', 'navigation', 'links', 'bar'])}'>{some(2, 8, link)}</div>",
+            lambda: f"<div>{some(3, 8, lambda: link() + ' | ')}</div>",
+            lambda: f"<table><tr>{some(3, 7, lambda: f'<td>{link()}</td>')}</tr></table>",
+            lambda: f"<ul>{some(3, 9, lambda: f'<li>{link()}')}</ul>",
+        ])()
+
+    def remark() -> str:
+        who, day = few(3), f"{rng.integers(1, 29)}.{rng.integers(1, 13)}.20{rng.integers(10, 25)}"
+        return pick([
+            lambda: f"<div class='{pick(_REMARKS)}'><b>{who}</b><p>{say()}</p></div>",
+            lambda: f"<li class='comment'><p>{say()}</p><p>{say()}</p></li>",
+            lambda: f"<div><b>{who}</b> {day}<br>{say()}</div>",
+            lambda: f"<div><div>{who} wrote on {day}:</div><div>{say()}</div></div>",
+            lambda: f"<dl><dt>{who}, {day}<dd>{say()}</dl>",
+        ])()
+
+    def remarks() -> str:
+        title = pick(["Comments", "{} comments", "Replies", "Responses ({})", "Readers say", "Discussion", "Kommentare", "Commentaires", few()]).format(rng.integers(1, 90))
+        box = pick(["<section id='comments'><h3>{}</h3>{}</section>", "<ol class='commentlist comments'><li>{}</li>{}</ol>", "<div class='comments'><h4>{}</h4>{}</div>", "<div><h3>{}</h3>{}</div>", "<h3>{}</h3>{}", "<div class='thread'><p>{}</p>{}</div>"])
+        return box.format(title, some(1, 5, remark))
 
     def aside() -> str:
-        kind = rng.integers(9)
-        if kind == 0:
-            return "<nav class='menu'><ul>" + "".join(f"<li><a href='/'>{few()}</a></li>" for _ in range(rng.integers(2, 8))) + "</ul></nav>"
-        if kind == 1:
-            return f"<div class='{pick(['ad', 'advert', 'banner', 'sponsored', 'promo'])}'><p>{few()}</p>{few()}</div>"
-        if kind == 2:
-            return f"<div class='{pick(['cookie notice', 'notice', 'newsletter', 'alert'])}'>{few()}<button>{few()}</button></div>"
-        if kind == 3:
-            return f"<aside class='{pick(['sidebar', 'related', 'widget'])}'><h3>{few()}</h3><ul>" + "".join(f"<li><a href='/'>{few()}</a></li>" for _ in range(3)) + f"</ul><p>{say()}</p></aside>"
-        if kind == 4:
-            return f"<form><label>{few()}</label><select><option>{few()}<option>{few()}</select><button>{few()}</button></form>"
-        if kind in (5, 6):
-            one = lambda: pick([f"<div class='comment'><b>{few()}</b><p>{say()}</p></div>", f"<li class='comment'><p>{say()}</p><p>{say()}</p></li>"])
-            return pick(["<section id='comments'><h3>{}</h3>{}</section>", "<ol class='commentlist comments'><li>{}</li>{}</ol>", "<div class='comments'><h4>{}</h4>{}</div>"]).format(few(), "".join(one() for _ in range(rng.integers(1, 5))))
-        if kind == 7:
-            return f"<footer><p>{few()}</p>&copy; {few()}</footer>"
-        return f"<header><a href='/'>{few()}</a><div>{few()}</div></header>"
+        return pick([
+            menu,
+            lambda: f"<div class='{pick(_ASIDE_WORDS)}'><p>{few()}</p>{few()}</div>",
+            lambda: f"<div class='{pick(_NOTICES)}'>{few()}<button>{few(4)}</button></div>",
+            lambda: f"<aside class='{pick(['sidebar', 'related', 'widget', ''])}'><h3>{few(5)}</h3><ul>{some(2, 5, lambda: f'<li><a href=/>{few()}</a></li>')}</ul><p>{say()}</p></aside>",
+            lambda: f"<form><label>{few()}</label><select><option>{few()}<option>{few()}</select><button>{few(4)}</button></form>",
+            lambda: f"<footer><p>{few()}</p>&copy; {few()}</footer>",
+            lambda: f"<div class='{pick(['footer', 'bottom', 'legal'])}'>&copy; 20{rng.integers(10, 25)} {few()} {few()}</div>",
+            lambda: f"<header><a href='/'>{few(4)}</a><div>{few()}</div></header>",
+        ])()
+
+    def passage() -> str:
+        return pick([
+            lambda: f"<p>{say()}</p>", lambda: f"<p>{say()}</p>", lambda: f"<p>{say()}</p>", lambda: f"<div>{say()}</div>", lambda: f"{say()}<br><br>", lambda: f"<p class=text>{say()} <a href='/'>{few(4)}</a> {say()}",
+            lambda: f"<ul><li>{few()}<li>{say()}</ul>", lambda: f"<h2>{few()}</h2><p>{say()}</p>", lambda: f"<blockquote>{say()}</blockquote>", lambda: f"<table><tr><th>{few(4)}<th>{few(4)}<tr><td>{few(4)}<td>{few()}</table><p>{say()}</p>",
+        ])()
 
     pages = []
     for _ in range(n):
-        body = [f"<h1 data-label='1'>{few()}</h1>"]
-        for _ in range(rng.integers(1, 8)):
-            body.append(pick([f"<p data-label='1'>{say()}</p>"] * 5 + [f"<ul data-label='1'><li>{few()}<li>{say()}</ul>", f"<h2 data-label='1'>{few()}</h2>", f"<blockquote data-label='1'>{say()}</blockquote>"]))
-            if rng.random() < 0.1:
-                body.append(aside())
-        box = pick(["<article>{}</article>"] * 3 + ["<main>{}</main>", "<div class='content'>{}</div>", "<div id='main-content'>{}</div>", "<section class='post entry body'>{}</section>", "<div>{}</div>", "<main><article>{}</article></main>"])
-        around = [aside() for _ in range(rng.integers(1, 4))], [aside() for _ in range(rng.integers(0, 4))]
-        pages.append(f"<html data-label='0'><head><title>{few()}</title></head><body>{''.join(around[0])}{box.format(''.join(body))}{''.join(around[1])}</body></html>")
+        body: list[tuple[str, bool]] = [(pick([f"<h1>{few()}</h1>"] * 4 + [f"<div class='title'>{few()}</div>", ""]), True)]
+        same = passage if rng.random() < 0.6 else None
+        kind = pick(["<p>{}</p>", "<div>{}</div>", "{}<br><br>", "<p>{}"])
+        for _ in range(rng.integers(1, 9)):
+            body.append((same() if same else kind.format(say()), True))
+            if rng.random() < 0.08:
+                body.append((aside(), False))
+        box = pick(_BOXES)
+        before, after = box.replace("{c}", pick(_BOX_NAMES)).split("{}")
+        cell = "<td" in box
+        first, then = [("<table><tr><td>" * cell, False), *((aside() if rng.random() < 0.7 else menu(), False) for _ in range(rng.integers(1, 4))), ("</td>" * cell, False)], []
+        then = [("<tr><td>" * cell, False), *((aside(), False) for _ in range(rng.integers(0, 4))), ("</table>" * cell, False)]
+        talk = [(remarks(), False)] if rng.random() < 0.5 else []
+        inside = talk if rng.random() < 0.4 else []
+        parts = [(f"<html><head><title>{few()}</title></head><body>", False), *first, (before, False), *body, *inside, (after, False), *([] if inside else talk), *then, ("</body></html>", False)]
+        page, spans = "", []
+        for source, main in parts:
+            if main and source:
+                spans.append((len(page), len(page) + len(source)))
+            page += source
+        pages.append((page, spans))
     return pages
 
 
+def composed_labels(page: list[Block], spans: list[tuple[int, int]]) -> np.ndarray:
+    """Whether each block's source ends inside one of the spans of main text."""
+    return np.array([any(a < b.at <= z for a, z in spans) for b in page], np.float32)
+
+
 def learn_from(pages: DataFrame, n: int = SAMPLE_PAGES) -> dict:
-    """Trains on ``n`` pages at most, taken by the hash of page_id, and as many composed of their text.
+    """Trains on ``n`` pages at most, taken by the hash of page_id, and on twice as many composed of their text.
 
-    The classes come from the pages' structure where they have an article or main element.
-    Pages without text train nothing; with none at all only composed pages are used.
+    The classes come from the pages' structure where they have an article or main element. The
+    sample is of pages shorter than ``MOST_SAMPLE_CHARS``: it bounds what the driver holds, not
+    what is labelled. Pages without text train nothing; with none at all only composed pages are used.
     """
-    usable = pages.where("html is not null and length(html) < 100000")
+    usable = pages.where(F.length("html") < MOST_SAMPLE_CHARS)
     total = usable.count()
     draw = F.pmod(F.xxhash64(F.col("page_id"), F.lit(29)), F.lit(1 << 40))
     # about twice as many as wanted leave their tasks, however many tasks there are
@@ -82,8 +129,9 @@ def learn_from(pages: DataFrame, n: int = SAMPLE_PAGES) -> dict:
     own = [blocks(r["html"]) for r in sorted(rows, key=lambda r: (r["page_id"] is None, r["page_id"]))]
     own = [p for p in own if any(structural_label(b) for b in p)]
     texts = [b.text for p in own for b in p if structural_label(b) and len(b.text) > 20] or ["some words of a page that has a story to tell"]
-    all_ = own + [blocks(p) for p in composed_pages(texts, max(len(own), 60))]
-    return train([features(p) for p in all_], [np.array([structural_label(b) for b in p], np.float32) for p in all_])
+    composed = [(blocks(page), spans) for page, spans in composed_pages(texts, max(2 * len(own), 120))]
+    labels = [np.array([structural_label(b) for b in p], np.float32) for p in own] + [composed_labels(*x) for x in composed]
+    return train([features(p) for p in own] + [features(p) for p, _ in composed], labels)
 
 
 def main_text(pages: DataFrame, model: dict) -> DataFrame:

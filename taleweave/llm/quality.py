@@ -1,8 +1,10 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions only.
 
-A document's rule measures are taken inside its row. A cutoff for a measure in a stratum is
-chosen from a fixed grid: the strictest one that labelled good documents show, by an exact
-binomial test corrected for all tests made, to reject no more than a small part of good ones.
+A document's rule measures are taken inside its row. One half of the labelled documents
+proposes, for each stratum, cutoffs from a fixed grid; they and their more lenient versions
+are joint rules, each stricter than the one before. The other half, the holdout, decides by
+exact binomial tests, corrected for all tests made, how strict a stratum's joint rule may be
+while it rejects no more than a small part of good documents.
 """
 
 from __future__ import annotations
@@ -24,9 +26,11 @@ GRID = {
     "repeat_word_share": [0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4],
     "long_words": [9.0, 10.0, 12.0, 15.0, 20.0, 30.0],
 }
-#: Part of a stratum's good documents that each cutoff may reject, and the chance that any
-#: of all cutoffs taken rejects more.
+#: Part of a stratum's good documents that its cutoffs may reject together, and the chance that
+#: in any stratum they reject more.
 MOST_REJECTED, ERROR = 0.02, 0.05
+#: Joint rules of a stratum: the proposed cutoffs, and those 1, 2, ... steps of the grid above them.
+LEVELS = 8
 #: A cutoff is only used where it rejects so many times the part of bad documents that it
 #: rejects of good ones.
 WORTH = 4
@@ -94,32 +98,55 @@ def binomial_tail(rejected: str, n: str, rate: float) -> Column:
     )
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, most_rejected: float = MOST_REJECTED, error: float = ERROR) -> DataFrame:
+def cutoffs(measured: DataFrame, labels: DataFrame, most_rejected: float = MOST_REJECTED, error: float = ERROR, strata: int = 3) -> DataFrame:
     """``measured(doc_id, stratum, shares...)``, ``labels(doc_id, quality)`` -> ``(stratum, measure, cutoff)``.
 
-    The holdout is all labelled documents that pass the base rules, good being quality 1. For
-    each stratum and measure the cutoff taken is the strictest for which the hypothesis "it
-    rejects more than ``most_rejected`` of good documents" is refuted, the p-value times the
-    number of strata and measures being at most ``error``, for it and all more lenient ones
-    (so cutoffs of one measure are tested in a fixed order and need no further correction),
-    and that is worth its false rejections by the labelled bad (quality 0) documents.
-    A measure without such a cutoff, as with too few labels, has no row: it rejects nothing.
-    Repeated labels of a document count once; a null or other quality doesn't count.
+    Labelled documents that pass the base rules count, good being quality 1, bad 0; they are
+    dealt to two halves by a hash of doc_id. In the first half the strictest cutoff of each
+    stratum and measure is proposed that rejects at most an even share of ``most_rejected`` of
+    the good ones and is worth that by the bad ones. Level k of a stratum rejects what is above
+    any proposed cutoff moved k steps up the grid; a cutoff moved beyond its end rejects nothing.
+
+    In the second half the levels are tested in a fixed order, from lenient to strict. The
+    hypothesis "this joint rule rejects more than ``most_rejected`` of the good documents" is
+    refuted if its exact binomial p-value times ``strata`` is at most ``error``; the first level
+    where it isn't ends the order, so no level needs a further correction. The strictest level
+    refuted gives the stratum's cutoffs. So with probability 1 - ``error`` every stratum's rule
+    as a whole rejects at most ``most_rejected`` of good documents. A stratum without a proposal,
+    or with too few labels, has no row: nothing is rejected. Repeated labels of a document count
+    once; a null or other quality doesn't count.
     """
     label = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).select(F.col("doc_id").alias("labelled_id"), "quality")
+    held = measured.join(label, F.col("doc_id") == F.col("labelled_id")).where("quality in (0, 1)").select("stratum", "quality", *GRID, F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(2)).alias("half"))
+    held = stored(held, "labelled")
     grid = F.array(*[F.struct(F.lit(m).alias("measure"), F.lit(i).alias("rank"), F.lit(float(c)).alias("cutoff"), F.col(m).alias("value")) for m, cs in GRID.items() for i, c in enumerate(cs)])
-    held = measured.join(label, F.col("doc_id") == F.col("labelled_id")).where("quality in (0, 1)")
-    tested = held.select("stratum", "quality", F.explode(grid).alias("g")).select("stratum", "quality", "g.*")
+    tried = held.where("half = 0").select("stratum", "quality", F.explode(grid).alias("g")).select("stratum", "quality", "g.*")
     good, above = F.col("quality") == 1, F.col("value") > F.col("cutoff")
-    counted = tested.groupBy("stratum", "measure", "rank", "cutoff").agg(
+    counted = tried.groupBy("stratum", "measure", "rank").agg(
         F.count_if(good).alias("n"), F.count_if(good & above).alias("rejected"), F.count_if(~good).alias("n_bad"), F.count_if(~good & above).alias("bad_rejected"),
     )
-    tests = 3 * len(GRID)
-    refuted = counted.where("n > 0").withColumn("ok", binomial_tail("rejected", "n", most_rejected) * tests <= error)
-    lenient_first = Window.partitionBy("stratum", "measure").orderBy(F.desc("rank"))
-    run = refuted.withColumn("all_ok", F.min("ok").over(lenient_first))
+    fair = F.col("rejected") * len(GRID) <= most_rejected * F.col("n")
     worth = F.col("bad_rejected") * F.col("n") > WORTH * F.col("rejected") * F.col("n_bad")
-    return run.where(F.col("all_ok") & worth).groupBy("stratum", "measure").agg(F.min("cutoff").alias("cutoff"))
+    proposed = counted.where(fair & worth).groupBy("stratum", "measure").agg(F.min("rank").alias("rank"))
+    steps = F.create_map(*[F.lit(x) for m, cs in GRID.items() for x in (m, [float(c) for c in cs])])
+    moved = proposed.select("stratum", "measure", "rank", F.explode(F.lit(list(range(LEVELS)))).alias("level"))
+    moved = moved.select("stratum", "measure", "level", F.get(steps[F.col("measure")], F.col("rank") + F.col("level")).alias("cutoff")).where("cutoff is not null")
+    moved = stored(moved, "levels")  # at most LEVELS cutoffs for each stratum and measure
+    rules = moved.groupBy("stratum", "level").agg(*[F.max(F.when(F.col("measure") == m, F.col("cutoff"))).alias(f"cut_{m}") for m in GRID])
+    judged_rows = held.where("half = 1 and quality = 1").join(F.broadcast(rules), "stratum").withColumn("gone", _above())
+    tests = judged_rows.groupBy("stratum", "level").agg(F.count("*").alias("n"), F.count_if("gone").alias("rejected"))
+    refuted = tests.withColumn("ok", binomial_tail("rejected", "n", most_rejected) * strata <= error)
+    lenient_first = Window.partitionBy("stratum").orderBy(F.desc("level"))
+    chosen = refuted.withColumn("all_ok", F.min("ok").over(lenient_first)).where("all_ok").groupBy("stratum").agg(F.min("level").alias("level"))
+    return moved.join(F.broadcast(chosen), ["stratum", "level"]).select("stratum", "measure", "cutoff")
+
+
+def _above() -> Column:
+    """Whether any measure is above its cutoff ``cut_<measure>``; a null one rejects nothing."""
+    above = F.lit(False)
+    for m in GRID:
+        above = above | F.coalesce(F.col(m) > F.col(f"cut_{m}"), F.lit(False))
+    return above
 
 
 def judged(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) -> DataFrame:
@@ -134,10 +161,7 @@ def judged(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) -
     limits = cutoffs(rows.where(~F.col("base_failed")).select("doc_id", "stratum", *GRID), labels)
     # at most three rows, one for each stratum
     wide = limits.groupBy(F.col("stratum").alias("s")).agg(*[F.max(F.when(F.col("measure") == m, F.col("cutoff"))).alias(f"cut_{m}") for m in GRID])
-    above = F.lit(False)
-    for m in GRID:
-        above = above | F.coalesce(F.col(m) > F.col(f"cut_{m}"), F.lit(False))
-    joined = rows.join(F.broadcast(wide), F.col("stratum") == F.col("s"), "left").withColumn("kept", ~F.col("base_failed") & ~above)
+    joined = rows.join(F.broadcast(wide), F.col("stratum") == F.col("s"), "left").withColumn("kept", ~F.col("base_failed") & ~_above())
     return joined.drop("s", *[f"cut_{m}" for m in GRID])
 
 

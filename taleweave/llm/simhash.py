@@ -80,14 +80,14 @@ def block_keys(fingerprint: Column, radius: int) -> Column:
 
 
 def within_radius(queries: DataFrame, corpus: DataFrame, radius: int = 3) -> DataFrame:
-    """``queries(id, fingerprint)``, ``corpus(fingerprint, ...)`` -> ``(id, fingerprint, near, n_rows, distance)``.
+    """``queries(id, fingerprint)``, ``corpus(fingerprint, n)`` -> ``(id, fingerprint, near, n_rows, distance)``.
 
     For each query every distinct fingerprint of the corpus within the Hamming ``radius``
     (0 to 13), how many rows have it, and how far it is; its own fingerprint too if it is
-    there. Rows with equal fingerprints are one entry of the tables. Null fingerprints match
-    nothing.
+    there. A row of the corpus stands for ``n`` rows; those with equal fingerprints are one entry
+    of the tables. Null fingerprints match nothing.
     """
-    entries = corpus.where("fingerprint is not null").groupBy(F.col("fingerprint").alias("near")).agg(F.count("*").alias("n_rows"))
+    entries = corpus.where("fingerprint is not null").groupBy(F.col("fingerprint").alias("near")).agg(F.sum("n").alias("n_rows"))
     asked = queries.where("fingerprint is not null").select("fingerprint").distinct()
     left = asked.select("fingerprint", F.explode(block_keys(F.col("fingerprint"), radius)).alias("key"))
     right = entries.select("near", "n_rows", F.explode(block_keys(F.col("near"), radius)).alias("key"))
@@ -96,37 +96,42 @@ def within_radius(queries: DataFrame, corpus: DataFrame, radius: int = 3) -> Dat
     return queries.select("id", "fingerprint").join(met, "fingerprint").select("id", "fingerprint", "near", "n_rows", "distance")
 
 
-def followed(docs: DataFrame, rows_each: int = 1000, most: int = 1 << 16) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(bucket, place, doc_id, text, next_bucket, next_place, next_text)``.
+#: What tells documents apart that aren't equal: whether there is a doc_id, the doc_id, and the text's hash.
+KEY = ["none", "key", "hash"]
 
-    The next document is that with the next higher doc_id, the first one after the last.
-    Documents go to ranges of doc_id; the first document of each range is sent to the range
-    before it as well, so no task sees more than its range. What the driver gets is one id
-    for each range. Repeated doc_ids follow each other in order of their text; rows with a
-    null doc_id come first.
+
+def _named(prefix: str) -> list[Column]:
+    return [F.col(f"{prefix}.{k}").alias(k) for k in KEY]
+
+
+def followed(docs: DataFrame, rows_each: int = 50_000) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``(none, key, hash, text, n, n_chars, next, head)``, a row for each different document.
+
+    ``n`` rows are equal in doc_id and text. The next document is that with the next higher
+    doc_id, the first one after the last; ``next`` has its key, ``head`` as many of its first
+    code points as a quarter of this text has. Documents of one doc_id follow each other in
+    order of their text's hash, those without a doc_id come first.
+
+    The order is made of the keys alone, in ranges of about ``rows_each``; then each text is
+    shuffled once, and the heads once more.
     """
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    low, high, n = docs.agg(F.min("key"), F.max("key"), F.count("*")).first()
-    if not n:
-        return docs.select(F.lit(0).alias("bucket"), F.lit(0).alias("place"), "doc_id", "text", F.lit(0).alias("next_bucket"), F.lit(0).alias("next_place"), F.col("text").alias("next_text"))
-    low = max(low, -(1 << 62))
-    width = max(1, -(-(high - low + 1) // max(1, min(most, n // rows_each))))
-    bucket = F.greatest(F.lit(0), F.floor((F.col("key") - F.lit(low)) / F.lit(width))).cast("int") if low > -(1 << 62) else F.lit(0)
-    docs = docs.withColumn("bucket", bucket)
-    firsts = sorted((r[0], r[1]) for r in docs.groupBy("bucket").agg(F.min("key")).collect())
-    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-    after = {firsts[i - 1][0]: b for i, (b, _) in enumerate(firsts)}
-    look_up = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    to_next = F.create_map(*[F.lit(x) for pair in after.items() for x in pair])
-    own = F.struct(F.col("bucket"), F.lit(False).alias("guest"))
-    twice = F.when(F.col("key").isin(list(before)), F.array(own, F.struct(look_up[F.col("key")].alias("bucket"), F.lit(True).alias("guest")))).otherwise(F.array(own))
-    rows = docs.select("key", "doc_id", "text", F.explode(twice).alias("at")).select("key", "doc_id", "text", "at.bucket", "at.guest")
-    w = Window.partitionBy("bucket").orderBy("guest", "key", "text")
-    led = rows.select(
-        "bucket", F.row_number().over(w).alias("place"), "doc_id", "text", "guest",
-        F.lead("guest").over(w).alias("ends"), F.lead("text").over(w).alias("next_text"),
-    ).where("not guest")
-    return led.select("bucket", "place", "doc_id", "text", F.when(F.col("ends"), to_next[F.col("bucket")]).otherwise(F.col("bucket")).alias("next_bucket"), F.when(F.col("ends"), 1).otherwise(F.col("place") + 1).alias("next_place"), "next_text")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("key"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    groups = stored(rows.groupBy(*KEY).agg(F.count("*").alias("n"), F.max(F.length("text")).alias("n_chars")), "groups")
+    ranges = groups.repartitionByRange(groups.count() // rows_each + 1, F.desc("none"), "key", "hash").withColumn("bucket", F.spark_partition_id())
+    ranges = stored(ranges, "ranges")
+    place = F.struct((~F.col("none")).alias("given"), *KEY)
+    firsts = ranges.groupBy("bucket").agg(F.min(place).alias("first"))  # a row for each range
+    in_order = Window.partitionBy(F.lit(0)).orderBy("bucket")
+    everything = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    firsts = firsts.select("bucket", F.coalesce(F.lead("first").over(in_order), F.first("first").over(everything)).alias("after"))
+    own = Window.partitionBy("bucket").orderBy(F.desc("none"), "key", "hash")
+    led = ranges.withColumn("following", F.lead(place).over(own)).join(firsts, "bucket").withColumn("next", F.coalesce("following", "after"))
+    order = stored(led.select(*KEY, "n", "n_chars", F.struct(*[F.col(f"next.{k}").alias(k) for k in KEY]).alias("next")), "order")
+    asked = order.select(*_named("next"), F.struct(*KEY).alias("by"), F.floor(F.col("n_chars") / 4).cast("int").alias("wanted"))
+    whole = rows.groupBy(*KEY).agg(F.any_value("text").alias("text"))
+    heads = whole.join(asked, KEY).select(*_named("by"), F.substring(F.col("text"), F.lit(1), F.col("wanted")).alias("head"))
+    return whole.join(order, KEY).join(heads, KEY).select(*KEY, "text", "n", F.col("n_chars").cast("long").alias("n_chars"), "next", "head")
 
 
 def edited_likeness(docs: DataFrame, radius: int = 3, every: int = 100) -> DataFrame:
@@ -136,25 +141,34 @@ def edited_likeness(docs: DataFrame, radius: int = 3, every: int = 100) -> DataF
     first as many (or all) of the next document. ``near_next`` compares with the next
     document's fingerprint. ``n_within`` counts, for documents whose id is divisible by
     ``every``, the other rows whose fingerprint is within the Hamming ``radius``; null for
-    the rest. Null text: empty. A lone document follows itself.
+    the rest. Null text: empty. A lone document follows itself; of rows equal in doc_id and text
+    each but one is followed by its like.
     """
-    quarter = F.floor(F.length("text") / 4).cast("int")
-    edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.substring(F.col("next_text"), F.lit(1), quarter))
-    both = F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("words")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("words")))).alias("v")
-    keys = ["bucket", "place", "doc_id", "next_bucket", "next_place", "n_chars", "edited_sha256"]
-    texts = followed(docs).withColumn("edited", edited)
-    texts = texts.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256))
-    rows = texts.select(*keys, both).select(*keys, "v.which", F.col("v.words").alias("text"))
-    votes = fingerprints(rows, [*keys, "which"])
-    pick = lambda k: F.max(F.when(F.col("which") == k, F.col("fingerprint")))
-    own = stored(votes.groupBy(*keys).agg(pick(0).alias("f"), pick(1).alias("e")), "fingerprints")
-    following = own.select(F.col("bucket").alias("next_bucket"), F.col("place").alias("next_place"), F.col("f").alias("g"))
-    joined = own.join(following, ["next_bucket", "next_place"], "left")
-    asked = own.where(F.col("doc_id") % every == 0).select(F.struct("bucket", "place").alias("id"), F.col("f").alias("fingerprint"))
-    found = within_radius(asked, own.select(F.col("f").alias("fingerprint")), radius)
-    counts = found.groupBy("id").agg((F.sum("n_rows") - 1).alias("n_within")).select("id.bucket", "id.place", "n_within")
-    joined = joined.join(counts, ["bucket", "place"], "left")
+    texts = followed(docs)
+    quarter = F.floor(F.col("n_chars") / 4).cast("int")
+    begun = F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - quarter).cast("int"))
+    versions = [F.col("text"), F.concat(begun, "head"), F.concat(begun, F.substring(F.col("text"), F.lit(1), quarter))]
+    each = [F.struct(F.lit(k).alias("which"), v.alias("words")) for k, v in enumerate(versions)]
+    each = F.when(F.col("n") > 1, F.array(*each)).otherwise(F.array(*each[:2]))
+    keys = [*KEY, "n", "n_chars", "next"]
+    rows = texts.select(*keys, F.explode(each).alias("v")).select(*keys, "v.which", F.col("v.words").alias("text"))
+    rows = rows.withColumn("sha", F.when(F.col("which") > 0, F.sha2(F.encode("text", "UTF-8"), 256)))
+    votes = fingerprints(rows, [*keys, "which", "sha"])
+    pick = lambda k, name: F.max(F.when(F.col("which") == k, F.col(name)))
+    own = votes.groupBy(*keys).agg(pick(0, "fingerprint").alias("f"), pick(1, "fingerprint").alias("e"), pick(1, "sha").alias("sha"), pick(2, "fingerprint").alias("own_e"), pick(2, "sha").alias("own_sha"))
+    own = stored(own, "fingerprints")
+    joined = own.join(own.select(F.struct(*KEY).alias("next"), F.col("f").alias("g")), "next", "left")
+    asked = own.where(~F.col("none") & (F.col("key") % every == 0)).select(F.struct(*KEY).alias("id"), F.col("f").alias("fingerprint"))
+    found = within_radius(asked, own.select(F.col("f").alias("fingerprint"), "n"), radius)
+    counts = found.groupBy("id").agg((F.sum("n_rows") - 1).alias("n_within")).select(*_named("id"), "n_within")
+    joined = joined.join(counts, KEY, "left")
+    # equal rows come back in two steps, so that no array has all of them
+    joined = joined.withColumn("many", F.explode(F.expr("sequence(0L, (n - 1) div 4096)")))
+    joined = joined.withColumn("copy", F.explode(F.expr("sequence(many * 4096, least(n, (many + 1) * 4096) - 1)")))
+    last = F.col("copy") == 0
+    e, g = F.when(last, F.col("e")).otherwise(F.col("own_e")), F.when(last, F.col("g")).otherwise(F.col("f"))
     return joined.select(
-        "doc_id", "n_chars", "edited_sha256", as_hex(F.col("f")).alias("fingerprint"), as_hex(F.col("e")).alias("edited_fingerprint"),
-        likeness(F.col("f"), F.col("e")).alias("near_edited"), likeness(F.col("f"), F.col("g")).alias("near_next"), "n_within",
+        F.when(~F.col("none"), F.col("key")).alias("doc_id"), "n_chars", F.when(last, F.col("sha")).otherwise(F.col("own_sha")).alias("edited_sha256"),
+        as_hex(F.col("f")).alias("fingerprint"), as_hex(e).alias("edited_fingerprint"),
+        likeness(F.col("f"), e).alias("near_edited"), likeness(F.col("f"), g).alias("near_next"), "n_within",
     )

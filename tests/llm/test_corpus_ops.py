@@ -210,6 +210,28 @@ def test_quality_cutoffs_reject_the_bad_and_keep_the_good(spark):
     assert judged(texts(spark, []), labels).count() == 0
 
 
+def test_quality_cutoffs_hold_for_each_stratum_as_a_whole(spark):
+    """Forty strata whose joint rules' true false rejection is known; none may be above the limit."""
+    from taleweave.llm.quality import GRID, cutoffs
+
+    rng = np.random.default_rng(11)
+    rows, labels, scale = [], [], {}
+    for s in range(40):
+        scale[s] = {m: rng.uniform(0.3, 3) * cs[0] for m, cs in GRID.items()}
+        for i in range(800):
+            good = i < 700
+            # good measures are exponential, so P(above c) = exp(-c / scale); bad ones are far up the grid
+            values = [float(rng.exponential(scale[s][m]) if good else cs[-1] * rng.uniform(0.2, 2)) for m, cs in GRID.items()]
+            rows.append((1000 * s + i, str(s), *values))
+            labels.append((1000 * s + i, int(good)))
+    measured = spark.createDataFrame(rows, "doc_id long, stratum string, " + ", ".join(f"{m} double" for m in GRID))
+    found = cutoffs(measured, spark.createDataFrame(labels, "doc_id long, quality int"), strata=40).collect()
+    kept = {}
+    for r in found:
+        kept[int(r.stratum)] = kept.get(int(r.stratum), 1.0) * (1 - np.exp(-r.cutoff / scale[int(r.stratum)][r.measure]))
+    assert len(kept) >= 5 and all(1 - k <= 0.02 for k in kept.values())
+
+
 def test_lines_dropped_by_host(spark):
     from taleweave.llm.lines import dropped, without_boilerplate
 
@@ -267,6 +289,64 @@ def test_lstm_gradients_and_odd_pages(spark):
     assert htmltext.main_text(pages.limit(0), trained).count() == 0
 
 
+def unseen_layouts(texts, n, seed=99):
+    """Pages in layouts that the training pages don't have: (html, main text)."""
+    rng = random.Random(seed)
+    say = lambda: rng.choice(texts)
+    few = lambda: " ".join(say().split()[: rng.randrange(1, 6)])
+    links = lambda k, sep: sep.join(f'<a href="/x">{html.escape(few())}</a>' for _ in range(k))
+    for i in range(n):
+        head, body = few(), [say() for _ in range(rng.randrange(2, 8))]
+        remarks = [(few(), say()) for _ in range(rng.randrange(0, 4))]
+        e = html.escape
+        said = "".join(f'<li id="c{k}"><cite>{e(w)}</cite> says:<p>{e(t)}</li>' for k, (w, t) in enumerate(remarks))
+        said = f"<div id='respond'><h3>{len(remarks)} Comments</h3><ul>{said}</ul></div>" if remarks else ""
+        yield (
+            [
+                f"<body><div id=top>{links(6, ' &middot; ')}</div><div id=wrap><div id=left><ul><li>{links(5, '<li>')}</ul></div><div id=mid><h1>{e(head)}</h1>" + "".join(f"<div class=par>{e(t)}</div>" for t in body) + f"</div></div>{said}<div id=foot>&copy; 2020 {e(few())}</div>",
+                f"<body><table width=100%><tr><td colspan=2>{links(5, ' ')}<tr><td width=20%>{links(8, '<br>')}<td><h1>{e(head)}</h1>" + "".join(f"<p>{e(t)}" for t in body) + f"{said}<tr><td colspan=2>{e(few())}</table>",
+                f"<body><section class=masthead>{links(4, ' ')}</section><section class=reading><h1>{e(head)}</h1>" + "".join(f"<p title=don't>{e(t)}</p>" for t in body) + f"</section><section class=more><h4>{e(few())}</h4><ol><li>{links(4, '<li>')}</ol></section>{said}<section class=colophon>{e(few())}</section>",
+                f"<body><ul class=crumbs><li>{links(3, '<li>')}</ul><div role=main><h1>{e(head)}</h1>" + "".join(f"<p>{e(t)}</p>" for t in body) + f"</div>{said}<dl class=legal><dt>{e(few())}<dd>{links(3, ', ')}</dl>",
+            ][i % 4],
+            [" ".join(x.split()) for x in [head, *body]],
+        )
+
+
+def test_html_layouts_that_training_has_not_seen(spark):
+    from taleweave.llm import blocklstm, htmlblocks, htmltext
+
+    trained = htmltext.learn_from(spark.read.parquet(f"{SF}/pages.parquet"))
+    source = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").limit(60).collect()]
+    texts_ = [" ".join(html.unescape(x).split()) for h in source for x in re.findall(r"<p>([^<]{30,})</p>", h)]
+    right = total = 0
+    for page, main in unseen_layouts(texts_, 200):
+        own = htmlblocks.blocks(page)
+        p = blocklstm.scores(trained, *blocklstm.padded([htmlblocks.features(own)]))[:, 0]
+        wanted = Counter(main)
+        for b, s in zip(own, p):
+            is_main = wanted[b.text] > 0 and not b.linked
+            wanted[b.text] -= is_main
+            right += is_main == (s >= 0.5)
+            total += 1
+        assert not +wanted
+    assert right >= 0.95 * total
+
+
+def test_html_grammar_of_attributes_and_deep_nesting():
+    import time
+
+    from taleweave.llm.htmlblocks import blocks
+
+    said = lambda page: [b.text for b in blocks(page)]
+    assert said("<p title=don't>Hello world</p><p>it's fine</p><p>third</p>") == ["Hello world", "it's fine", "third"]
+    assert said("a <b y=don't>b</b> c") == ["a b c"] and said("<p title='a > b'>x<p class=\"y'\">z") == ["x", "z"]
+    assert said("<p data-label='Price'>x</p><p alt=\"open>y</p><p>z") == ["x", "y", "z"]
+    assert said("<a title=\"class='menu'\" href=x>1</a>") == ["1"]
+    deep = blocks("<div class=nav>x" * 20_000 + "</p>" * 20_000)
+    began = time.process_time()
+    assert len(blocks("<div class=nav>x" * 40_000 + "</p>" * 40_000)) == 2 * len(deep) and time.process_time() - began < 10
+
+
 def test_simhash_against_plain_votes(spark):
     from taleweave.llm import simhash
 
@@ -307,6 +387,37 @@ def test_simhash_edits_and_radius(spark):
     assert len(repeated) == 3
 
 
+def test_simhash_of_equal_rows_and_without_ids(spark):
+    from taleweave.llm import simhash
+
+    a, b, c, d = "one two three four", "five six seven eight", "nine ten", "eleven twelve thirteen"
+    values, ids = [a] * 5000 + [b, c, d, d], [1] * 5000 + [2, None, None, 9]
+    rows = simhash.edited_likeness(texts(spark, values, ids), every=1).collect()
+    sha = lambda x, y: hashlib.sha256((x[: len(x) - len(x) // 4] + y[: len(x) // 4]).encode()).hexdigest()
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in rows)
+    first, second = (c, d) if (None, len(c), sha(c, d)) in got else (d, c)  # without ids: in order of their hash
+    want = Counter({(1, len(a), sha(a, a)): 4999, (1, len(a), sha(a, b)): 1})
+    want += Counter([(2, len(b), sha(b, d)), (9, len(d), sha(d, first)), (None, len(first), sha(first, second)), (None, len(second), sha(second, a))])
+    assert got == want and {r.n_within for r in rows if r.doc_id == 1} == {4999} and {r.near_next for r in rows if r.doc_id == 1} >= {1.0}
+
+
+def test_next_documents_come_in_even_ranges(spark):
+    from taleweave.llm import simhash
+
+    docs = spark.range(100_000).select(F.when(F.col("id") > 0, F.col("id")).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    docs = docs.union(spark.createDataFrame([(1 << 60, "far"), (-(1 << 60), "low")], "doc_id long, text string"))
+    rows = simhash.followed(docs, rows_each=10_000)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, False)
+    per_task = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    spark.conf.unset(coalesce)
+    assert len(per_task) == 4 and max(per_task) < 50_000
+    # sorted by id, each follows the one before it
+    wrong = rows.where("not none and key between 1 and 99998 and (next.key <> key + 1 or head <> substr(cast(key + 1 as string), 1, int(length(text) / 4)))")
+    ends = {(r.none, r.key): (r.next["none"], r.next["key"]) for r in rows.where("none or abs(key) > 99998").collect()}
+    assert wrong.count() == 0 and ends == {(True, 0): (False, -(1 << 60)), (False, -(1 << 60)): (False, 1), (False, 99_999): (False, 1 << 60), (False, 1 << 60): (True, 0)}
+
+
 def test_warc_round_trip_and_pushdown(spark):
     from taleweave.llm import warc, warc_pages
     from taleweave.scratch import new_folder
