@@ -76,7 +76,7 @@ def _opened(codec: dict) -> tuple:
 
         table = codec["bytes"]
         ends = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(t) for t in table])])
-        _loaded[key] = Tokenizer.from_str(codec["tokenizer"]), np.frombuffer(b"".join(table), np.uint8), ends, ragged.Known(1 << 18)
+        _loaded[key] = Tokenizer.from_str(codec["tokenizer"]), np.frombuffer(b"".join(table), np.uint8), ends, ragged.Known(1 << 19)
     return _loaded[key]
 
 

@@ -18,9 +18,9 @@ def gather(flat: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.nda
 
 
 class Known:
-    """Ragged results of byte strings seen before in this worker; started anew when it would grow too large."""
+    """Ragged results of byte strings seen before in this worker, of the first ``most`` of them."""
 
-    def __init__(self, most: int = 1 << 18, kind: type = np.int32, longest: int = 64):
+    def __init__(self, most: int = 3 << 18, kind: type = np.int32, longest: int = 64):
         self.most, self.longest = most, longest
         self.rows: dict[bytes, int] = {}
         self.flat, self.ends = np.zeros(0, kind), np.zeros(1, np.int64)
@@ -34,10 +34,9 @@ class Known:
         flat, ends = missing(new)
         row[new] = len(self.ends) - 1 + np.arange(len(new))
         out = gather(np.concatenate([self.flat, flat]), np.concatenate([self.ends, self.ends[-1] + ends[1:]]), row)
-        short = np.flatnonzero(np.fromiter((len(keys[i]) <= self.longest for i in new.tolist()), bool, len(new)))
-        if len(self.rows) + len(short) > self.most:
-            self.rows, self.flat, self.ends = {}, self.flat[:0], self.ends[:1]
-        if len(short) <= self.most:
+        # once full, what came first stays: frequent words come early
+        short = np.flatnonzero(np.fromiter((len(keys[i]) <= self.longest for i in new.tolist()), bool, len(new)))[: self.most - len(self.rows)]
+        if len(short):
             flat, ends = gather(flat, ends, short)
             self.rows.update(zip((keys[i] for i in new[short].tolist()), range(len(self.ends) - 1, len(self.ends) - 1 + len(short))))
             self.flat, self.ends = np.concatenate([self.flat, flat]), np.concatenate([self.ends, self.ends[-1] + ends[1:]])
