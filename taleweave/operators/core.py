@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from taleweave import scratch
 from taleweave.operators.timeline import clock
 
 
@@ -48,10 +49,18 @@ def projected_ages(states: DataFrame, clocks: DataFrame) -> DataFrame:
 
 def as_of(snapshots: DataFrame, asked: DataFrame, before: bool = False) -> DataFrame:
     """``snapshots(book, chapter, ...)``, ``asked(book, n)`` -> the latest snapshot of chapter <= n (or < n)."""
-    inside = F.col("chapter") < F.col("n") if before else F.col("chapter") <= F.col("n")
     values = F.struct("chapter", *[c for c in snapshots.columns if c not in ("book", "chapter")])
-    met = snapshots.join(asked, "book").where(inside)
-    return met.groupBy("book", "n").agg(F.max_by(values, "chapter").alias("s")).select("book", "n", "s.*")
+    # asked chapters take the last snapshot in one pass; of one chapter the asked row goes first if it isn't to count
+    stated = snapshots.select("book", F.col("chapter").alias("__at"), F.lit(1).alias("__turn"), F.lit(None).cast("bigint").alias("n"), values.alias("s"))
+    wanted = asked.select("book", F.col("n").alias("__at"), F.lit(0 if before else 2).alias("__turn"), F.col("n").cast("bigint").alias("n"), F.lit(None).cast(stated.schema["s"].dataType).alias("s"))
+    last = F.last("s", ignorenulls=True).over(Window.partitionBy("book").orderBy("__at", "__turn").rowsBetween(Window.unboundedPreceding, 0))
+    rows = stated.unionByName(wanted).withColumn("s", last).where("n is not null and s is not null")
+    return rows.select("book", F.col("n").cast(asked.schema["n"].dataType).alias("n"), "s.*")
+
+
+def last_before(statements: DataFrame, keys: list[str], value: str, order) -> DataFrame:
+    """The last statement of each key: its ``pos`` and value, by ``order``."""
+    return statements.groupBy(*keys).agg(F.max("pos").alias("pos"), F.max_by(value, order).alias(value))
 
 
 def numbered(stored: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
@@ -61,17 +70,50 @@ def numbered(stored: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
     return new.withColumn("n", n).join(last, "book", "left").withColumn("seq", F.coalesce("last", F.lit(0)) + F.col("n")).drop("n", "last")
 
 
+def merged_into(merges: DataFrame) -> DataFrame:
+    """``merges(book, character, into)``, one a character -> ``(book, character, root)``: where chains of merges end.
+
+    The pointers are followed by doubling, so the rounds grow with the logarithm of the longest
+    chain. Chains don't run in circles: a merged character is gone and can't be merged into.
+    """
+    step = scratch.stored(merges.select("book", "character", F.col("into").alias("root")), "merges")
+    while True:
+        up = step.select("book", F.col("character").alias("root"), F.col("root").alias("next"))
+        jumped = step.join(up, ["book", "root"], "left").select("book", "character", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+        jumped = scratch.stored(jumped, "merges")
+        step = jumped.select("book", "character", "root")
+        if jumped.where("moved").isEmpty():
+            return step
+
+
 def replay(events: DataFrame, upto: int | None = None) -> DataFrame:
     """Characters as the event log ``(book, seq, kind, character, name, into, chapter, source)`` leaves them.
 
     Undoing from a chapter on is replaying what remains: events of the author's, and extracted
     ones of earlier chapters. A character exists if created and not merged away; its name is that
-    of its last create or rename.
+    of its last create or rename, its kind that of its last ``promote`` (whose ``name`` is the new
+    kind), else "minor". Who was merged away leaves its names and aliases to the character that
+    the merge, or the chain of merges, ends at.
     """
-    kept = events if upto is None else events.where((F.col("source") == "user") | (F.col("chapter") < upto))
+    kept = scratch.stored(events if upto is None else events.where((F.col("source") == "user") | (F.col("chapter") < upto)), "log")
     named = F.when(F.col("kind").isin("create", "rename"), F.col("seq"))
     state = kept.groupBy("book", "character").agg(
-        F.max_by("name", named).alias("name"), F.bool_or(F.col("kind") == "create").alias("made"), F.bool_or(F.col("kind") == "merge").alias("merged"),
-        F.sort_array(F.collect_set(F.when(F.col("kind") == "alias", F.col("name")))).alias("aliases"),
+        F.max_by("name", named).alias("name"), F.bool_or(F.col("kind") == "create").alias("made"),
+        F.max_by("into", F.when(F.col("kind") == "merge", F.col("seq"))).alias("into"),
+        F.coalesce(F.max_by("name", F.when(F.col("kind") == "promote", F.col("seq"))), F.lit("minor")).alias("kind"),
     )
-    return state.where("made and not merged").select("book", "character", "name", "aliases")
+    state = scratch.stored(state, "states")
+    roots = merged_into(state.where("into is not null").select("book", "character", "into"))
+    given = kept.where("kind in ('create', 'rename', 'alias')").select("book", "character", "name", "kind")
+    given = given.join(roots, ["book", "character"], "left").where("kind = 'alias' or root is not null")
+    given = given.select("book", F.coalesce("root", "character").alias("character"), "name").distinct()
+    aliases = given.groupBy("book", "character").agg(F.sort_array(F.collect_list("name")).alias("aliases"))
+    own = state.where("made and into is null").join(aliases, ["book", "character"], "left")
+    none = F.array().cast("array<string>")
+    return own.select("book", "character", "name", F.array_except(F.coalesce("aliases", none), F.array("name")).alias("aliases"), "kind")
+
+
+def reset_from(facts: DataFrame, spans: DataFrame, events: DataFrame, chapter: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What remains of facts, spans and log before reading again from ``chapter`` on: the author's events stay."""
+    before = F.col("chapter") < chapter
+    return facts.where(before), spans.where(before), events.where(before | (F.col("source") == "user"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,10 +26,29 @@ def matched(expected: DataFrame, observed: DataFrame, width: int = 1000) -> Data
     return met.where(overlaps("e", "o") & (F.col("cell") == first)).select(F.col("e.id").alias("expected"), F.col("o.id").alias("observed"))
 
 
-def one_to_one(pairs: DataFrame) -> DataFrame:
-    """``pairs(expected, observed)`` -> pairs that are each other's first choice, the smallest id first."""
-    first = pairs.groupBy("expected").agg(F.min("observed").alias("observed"))
-    return first.groupBy("observed").agg(F.min("expected").alias("expected")).select("expected", "observed")
+def one_to_one(expected: DataFrame, observed: DataFrame) -> DataFrame:
+    """``(id, book, chapter, start, end)`` both -> ``(expected, observed)``, each side used once.
+
+    Expected spans are taken in order of start, end and id; each gets the first observed one, in
+    the same order, that overlaps it and is still free. A chapter is one group.
+    """
+
+    def match(e: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+        order = ["start", "end", "id"]
+        o = o.sort_values(order)
+        begin, stop, ids, free = o["start"].to_numpy(), o["end"].to_numpy(), o["id"].to_numpy(), np.ones(len(o), bool)
+        pairs = []
+        for one in e.sort_values(order).itertuples(index=False):
+            fits = free & (begin < one.end) & (one.start < stop)
+            if fits.any():
+                at = int(fits.argmax())
+                free[at] = False
+                pairs.append((one.id, ids[at]))
+        return pd.DataFrame(pairs, columns=["expected", "observed"])
+
+    kind = dict(expected.dtypes)["id"], dict(observed.dtypes)["id"]
+    sides = [d.select("id", "book", "chapter", "start", "end").groupBy("book", "chapter") for d in (expected, observed)]
+    return sides[0].cogroup(sides[1]).applyInPandas(match, f"expected {kind[0]}, observed {kind[1]}")
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -84,15 +105,129 @@ def planned(candidates: DataFrame, quota: int, per_book: int, seed: int) -> Data
     return rows.withColumn("place", place).where(F.col("place") <= quota).select("id", "kind", "book", "turn", "place")
 
 
-def corrupted(rows: DataFrame, corruptions: DataFrame, key: str, column: str) -> DataFrame:
-    """Every corruption's own copy of the rows of its book with one value changed.
+def corrupted_jumps(rows: DataFrame, changes: DataFrame, least: float) -> DataFrame:
+    """``rows(book, character, id, v)``, ``changes(corruption, book, id, value)`` -> ``(corruption, jumps, added, removed)``.
 
-    ``corruptions(corruption, book, key, value)``: copies are made of the books that have
-    corruptions, and a check partitioned by ``corruption`` judges all of them at once.
+    A jump is a rise of more than ``least`` over the character's value before. Every corruption
+    is judged as if the book had been copied with that one value changed: only the changed row
+    and the one after it can change, so these two are recomputed and the book's jumps corrected.
+    """
+    w = Window.partitionBy("book", "character").orderBy("id")
+    around = rows.select("book", "id", "v", F.lag("v").over(w).alias("a"), F.lead("v").over(w).alias("b"))
+    jump = lambda x, y: F.coalesce((y - x > least).cast("bigint"), F.lit(0))
+    whole = around.groupBy("book").agg(F.sum(jump(F.col("a"), F.col("v"))).alias("whole"))
+    met = changes.join(around, ["book", "id"]).join(whole, "book")
+    pairs = [("a", "v", "a", "value"), ("v", "b", "value", "b")]
+    gain = lambda f: sum((f(jump(F.col(x), F.col(y)), jump(F.col(p), F.col(q))) for x, y, p, q in pairs), F.lit(0))
+    met = met.withColumns({"added": gain(lambda old, new: F.greatest(new - old, F.lit(0))), "removed": gain(lambda old, new: F.greatest(old - new, F.lit(0)))})
+    return met.select("corruption", (F.col("whole") + F.col("added") - F.col("removed")).alias("jumps"), "added", "removed")
+
+
+#: Types of corruption (fixed values): the table, which rows can have it, and the edited column's new value.
+CORRUPTIONS = [
+    ("flashback", "age", "is_flashback and not is_speculative", "is_flashback", "'false'"),
+    ("speculative", "age", "is_speculative and not is_flashback", "is_speculative", "'false'"),
+    ("value", "age", "not is_flashback and not is_speculative and low <= 120 and low = high", "low", "cast(cast(low + 12 as bigint) as string)"),
+    ("misattributed", "age", "not is_flashback and not is_speculative and low <= 120 and other is not null", "character", "cast(other as string)"),
+    ("time_span", "span", "kind in ('retrospective', 'future') and years >= 1 and not is_flashback", "kind", "'advance'"),
+    ("colour", "trait", "not is_flashback and not is_speculative", "value", "concat(value, '?')"),
+    ("owner", "trait", "not own_look", "own_look", "'true'"),
+    ("death", "life", "is_speculative", "is_speculative", "'false'"),
+    ("presence", "life", "is_flashback", "is_flashback", "'false'"),
+]
+
+
+def corruptions(tables: dict[str, DataFrame]) -> DataFrame:
+    """``tables`` by name, each with ``book``, ``pos`` and its columns -> ``(type, book, pos, column, value)``: every edit that can be made."""
+    out = None
+    for kind, name, where, column, value in CORRUPTIONS:
+        one = tables[name].where(where).select(F.lit(kind).alias("type"), "book", "pos", F.lit(column).alias("column"), F.expr(value).alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def injection_outcomes(injections: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """What an injected text changed, issue by issue.
+
+    ``injections(injection, chapter, start, end, ref_chapter, ref_start, ref_end)``, issues
+    ``(injection, fingerprint, confidence, evidence)`` before and after, evidence being an array of
+    ``(chapter, start, end)``. An added issue with evidence at the injected place is ``involving``,
+    and ``detected`` if its first evidence is at the reference and its last at the injected place;
+    another added one is ``collateral``; one that is gone is ``removed``.
+    """
+    touches = lambda e, c, s, t: (e["chapter"] == F.col(c)) & (e["start"] < F.col(t)) & (F.col(s) < e["end"])
+    key = ["injection", "fingerprint"]
+    added = after.join(before.select(*key), key, "left_anti").join(injections, "injection")
+    here = F.exists("evidence", lambda e: touches(e, "chapter", "start", "end"))
+    first, last = F.element_at("evidence", 1), F.element_at("evidence", -1)
+    hit = touches(first, "ref_chapter", "ref_start", "ref_end") & touches(last, "chapter", "start", "end")
+    new = added.select(*key, "confidence", F.when(hit, "detected").when(here, "involving").otherwise("collateral").alias("outcome"))
+    gone = before.join(after.select(*key), key, "left_anti").select(*key, "confidence", F.lit("removed").alias("outcome"))
+    return new.unionByName(gone)
+
+
+def injection_metrics(cases: DataFrame) -> DataFrame:
+    """``(kind, expected, detected, level_right, false_alarm, collateral, missed_by, gap)`` -> metrics per kind.
+
+    ``expected`` cases are contradictions, the others controls. Recall by distance is over 0-4, 5-19
+    and 20 or more chapters; ``misses`` counts the reasons of those not detected.
+    """
+    wanted, hit = F.col("expected"), F.col("expected") & F.col("detected")
+    n = lambda c: c.cast("bigint")
+    near, middle, far = F.col("gap") < 5, F.col("gap").between(5, 19), F.col("gap") >= 20
+    wide = cases.groupBy("kind").agg(
+        F.count("*").alias("cases"), F.count_if(wanted).alias("contradictions"), ratio(n(hit), n(wanted)).alias("detected"), ratio(n(hit & F.col("level_right")), n(hit)).alias("level_right"),
+        ratio(n(~wanted & F.col("false_alarm")), n(~wanted)).alias("false_alarm"), F.sum("collateral").cast("bigint").alias("collateral"),
+        *[ratio(n(hit & d), n(wanted & d)).alias(f"recall_{name}") for name, d in (("near", near), ("middle", middle), ("far", far))],
+    )
+    reasons = cases.where(wanted & ~F.col("detected")).groupBy("kind", "missed_by").agg(F.count("*").alias("n"))
+    lists = reasons.groupBy("kind").agg(F.sort_array(F.collect_list(F.concat_ws(":", "missed_by", F.col("n").cast("string")))).alias("misses"))
+    return wide.join(lists, "kind", "left").withColumn("misses", F.coalesce("misses", F.array().cast("array<string>")))
+
+
+def note_scores(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """``expected(group, case, start, end)``, ``found(case, start, end)`` -> per group: cases found, exact, touched.
+
+    ``touched`` has an overlapping range, ``exact`` one with the same ends, ``found`` one that covers it.
+    """
+    o = found.select("case", F.col("start").alias("a"), F.col("end").alias("b"))
+    met = expected.join(o, "case", "left")
+    any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False)).cast("bigint")
+    per = met.groupBy("group", "case", "start", "end").agg(
+        any_((F.col("a") < F.col("end")) & (F.col("start") < F.col("b"))).alias("touched"), any_((F.col("a") <= F.col("start")) & (F.col("end") <= F.col("b"))).alias("found"),
+        any_((F.col("a") == F.col("start")) & (F.col("end") == F.col("b"))).alias("exact"),
+    )
+    return per.groupBy("group").agg(F.count("*").alias("notes"), *[F.sum(c).alias(c) for c in ("found", "exact", "touched")])
+
+
+def story_metrics(facts: DataFrame, issues: DataFrame) -> DataFrame:
+    """One wide row for each story: what was extracted of what was expected, and which issues were found.
+
+    ``facts(story, attribute, expected, observed, value_right, character_right, flashback_right,
+    speculative_right, trap)``: one row for each expected or observed fact after matching.
+    ``issues(story, fingerprint, expected, observed, confidence_right)``.
     """
-    c = corruptions.select("corruption", "book", F.col(key).alias("__key"), F.col("value").alias("__value"))
-    met = rows.join(c, "book")
-    return met.withColumn(column, F.when(F.col(key) == F.col("__key"), F.col("__value")).otherwise(F.col(column))).drop("__key", "__value")
+    n = lambda c: c.cast("bigint")
+    e, o, both = F.col("expected"), F.col("observed"), F.col("expected") & F.col("observed")
+    ratios = {"recall": (both, e), "precision": (both, o), "traps_passed": (F.col("trap") & ~o, F.col("trap"))}
+    for kind in ("absolute_age", "life_stage", "appearance", "life"):
+        here = F.col("attribute") == kind
+        ratios |= {f"{kind}_recall": (both & here, e & here), f"{kind}_precision": (both & here, o & here)}
+    for right in ("value", "character", "flashback", "speculative"):
+        ratios[f"{right}_right"] = (both & F.col(f"{right}_right"), both)
+    counters = {"missed": e & ~o, "extra": o & ~e & ~F.col("trap"), "trapped": F.col("trap") & o}
+    wide = facts.groupBy("story").agg(*[ratio(n(a), n(b)).alias(k) for k, (a, b) in ratios.items()], *[F.count_if(c).alias(k) for k, c in counters.items()])
+    hits = issues.where("expected").groupBy("story").agg(F.sort_array(F.collect_list(F.concat_ws(":", "fingerprint", F.col("observed").cast("string")))).alias("hits"))
+    found = issues.groupBy("story").agg(
+        ratio(n(both), n(e)).alias("issue_recall"), ratio(n(both), n(o)).alias("issue_precision"), ratio(n(both & F.col("confidence_right")), n(both)).alias("confidence_right"),
+        F.count_if(o & ~e).alias("false_issues"),
+    )
+    return wide.join(found, "story", "left").join(hits, "story", "left")
+
+
+def top_attributes(facts: DataFrame, k: int = 40) -> DataFrame:
+    """``(attribute, pos)`` -> the ``k`` most frequent attributes, ties to the one seen first. The limit is the report's."""
+    return facts.groupBy("attribute").agg(F.count("*").alias("n"), F.min("pos").alias("first")).orderBy(F.desc("n"), "first", "attribute").limit(k).select("attribute", "n")
 
 
 def compared(a: DataFrame, b: DataFrame) -> DataFrame:

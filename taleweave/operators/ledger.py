@@ -81,6 +81,7 @@ def error_kind(column: str = "message") -> Column:
     """A provider error's class from its text (content_filter, rate_limit, auth, server, network, else bad_request)."""
     text = F.lower(F.col(column))
     return (
-        F.when(text.rlike("content.?filter|sensitive"), "content_filter").when(text.rlike(r"\b429\b|rate.?limit"), "rate_limit").when(text.rlike(r"\b40[13]\b|unauthorized|api key"), "auth")
-        .when(text.rlike(r"\b5\d\d\b"), "server").when(text.rlike("timeout|connection"), "network").otherwise("bad_request")
+        F.when(text.rlike("content.?filter|sensitive"), "content_filter").when(text.rlike(r"\b429\b|rate.?limit"), "rate_limit")
+        .when(text.rlike(r"\b40[123]\b|unauthorized|api key|insufficient balance"), "auth")  # 402: no balance left
+        .when(text.rlike("timeout|connection"), "network").when(text.rlike(r"\b5\d\d\b"), "server").otherwise("bad_request")
     )

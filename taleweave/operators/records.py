@@ -6,10 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from taleweave import scratch
+from taleweave.functions.text import normalize_newlines
+
 #: Order of certainty in reports (fixed values).
 CONFIDENCE_ORDER = {"confirmed": 0, "suspected_review": 1, "insufficient_info": 2}
 
 
+def numbered(rows: DataFrame, group: list[str], order: list[str], name: str = "number") -> DataFrame:
+    """``rows`` with their place, from 1, among those of their group in the given order.
+
+    Rows go to ranges of (group, order); a row's place is that in its range and the counts of
+    the group's earlier ranges, so no task sees more than a range, however large a group is.
+    """
+    ranges = scratch.stored(rows.repartitionByRange(*group, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = ranges.groupBy(*group, "__range").agg(F.count("*").alias("__n"))  # a row for each group in a range
+    before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(*group, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    own = F.row_number().over(Window.partitionBy(*group, "__range").orderBy(*order))
+    placed = ranges.withColumn("__own", own).join(bases, [*group, "__range"])
+    return placed.select(*rows.columns, (F.col("__base") + F.col("__own")).cast("bigint").alias(name))
+
+
 def of_book(rows: DataFrame, user: str, book: str) -> DataFrame:
     """The tenant filter that every read starts with; both columns prune partitions."""
     return rows.where((F.col("user_id") == user) & (F.col("book_id") == book))
@@ -120,6 +138,25 @@ def patched(chapters: DataFrame, book: str, number: int, old: str, new: str) ->
     return chapters.withColumn("content", F.when(here, F.replace("content", F.lit(old), F.lit(new))).otherwise(F.col("content")))
 
 
+def appended(chapters: DataFrame, new: DataFrame) -> DataFrame:
+    """``chapters(book, number, content)`` and ``new(book, content)``, one a book, as its last chapter; blank ones are refused."""
+    last = chapters.groupBy("book").agg(F.max("number").alias("last"))
+    rows = new.join(last, "book", "left").select("book", (F.coalesce("last", F.lit(0)) + 1).alias("number"), _checked(F.col("content")).alias("content"))
+    return chapters.select("book", "number", "content").unionByName(rows)
+
+
+def replaced(chapters: DataFrame, new: DataFrame) -> DataFrame:
+    """``chapters`` with the contents of ``new(book, number, content)``; blank ones are refused, others stay."""
+    given = new.select("book", "number", _checked(F.col("content")).alias("__new"), F.lit(True).alias("__given"))
+    rows = chapters.join(given, ["book", "number"], "left")
+    return rows.withColumn("content", F.when(F.col("__given"), F.col("__new")).otherwise(F.col("content"))).select(*chapters.columns)
+
+
+def _checked(content: Column) -> Column:
+    plain = normalize_newlines(content)
+    return F.when(F.length(F.trim(F.regexp_replace(plain, "\\s", ""))) > 0, plain).otherwise(F.raise_error(F.lit("a chapter can't be blank")))
+
+
 def without_chapter(chapters: DataFrame, number: int) -> DataFrame:
     """Each book without the chapter ``number``; later ones move up."""
     return chapters.where(F.col("number") != number).withColumn("number", F.col("number") - (F.col("number") > number).cast("int"))
@@ -137,6 +174,55 @@ def merged_chapters(chapters: DataFrame, every: int = 3) -> DataFrame:
     return rows.select("book", "number", "merged", F.coalesce(F.sum(F.col("size") + 1).over(w), F.lit(0)).alias("begin"))
 
 
+def other_side(statements: DataFrame, names: DataFrame) -> DataFrame:
+    """``statements(book, other_name, other_mention, ...)``, ``names(book, name, character, canonical)`` -> with ``other``.
+
+    The character meant by the name, else by the mention; a canonical name goes before an alias,
+    of several the smallest id.
+    """
+    of = names.groupBy("book", "name").agg(F.min_by("character", F.struct(~F.col("canonical"), "character")).alias("who"))
+    by = lambda column, out: of.select("book", F.col("name").alias(column), F.col("who").alias(out))
+    rows = statements.join(by("other_name", "__a"), ["book", "other_name"], "left").join(by("other_mention", "__b"), ["book", "other_mention"], "left")
+    return rows.select(*statements.columns, F.coalesce("__a", "__b").alias("other"))
+
+
+def shifted_readings(readings: DataFrame, chapters: DataFrame, version: str) -> DataFrame:
+    """Stored readings that still hold, with their places moved to where the chapter's text now begins.
+
+    ``readings(book, number, content_hash, version, begin, statements)``, where ``statements`` is JSON
+    of ``[{quote, start, end}]`` in coordinates of the book; ``chapters(book, number, content, begin)``.
+    A reading holds if text and version are the same and each quote stands at its place in the
+    chapter. Chapters without one are to be read again: ``statements`` is null.
+    """
+    kind = "array<struct<quote:string,start:bigint,end:bigint>>"
+    r = readings.where(F.col("version") == version).select("book", "number", "content_hash", F.col("begin").alias("old"), F.from_json("statements", kind).alias("s"))
+    c = chapters.select("book", "number", "content", "begin", F.sha2("content", 256).alias("content_hash"))
+    met = c.join(r, ["book", "number", "content_hash"], "left")
+    here = F.forall("s", lambda x: F.substring(F.col("content"), (x["start"] - F.col("old") + 1).cast("int"), (x["end"] - x["start"]).cast("int")) == x["quote"])
+    moved = F.transform("s", lambda x: F.struct(x["quote"].alias("quote"), (x["start"] - F.col("old") + F.col("begin")).alias("start"), (x["end"] - F.col("old") + F.col("begin")).alias("end")))
+    return met.select("book", "number", F.when(F.col("s").isNotNull() & here, F.to_json(moved)).alias("statements"))
+
+
+def recompute_from(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``(book, number, story)`` both -> each book's first chapter whose story text, without notes, has changed."""
+    hashed = lambda d, n: d.select("book", "number", F.sha2("story", 256).alias(n))
+    met = hashed(before, "a").join(hashed(after, "b"), ["book", "number"], "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))
+    return met.groupBy("book").agg(F.min("number").alias("number"))
+
+
+def dense_first(chapters: DataFrame, k: int = 2, first: int = 4) -> DataFrame:
+    """``(book, number, mentions)`` -> the ``k`` chapters of each book with most mentions, from the ``first`` on, ties to the earlier."""
+    place = F.row_number().over(Window.partitionBy("book").orderBy(F.desc("mentions"), "number"))
+    return chapters.where(F.col("number") >= first).withColumn("__place", place).where(F.col("__place") <= k).drop("__place")
+
+
+def rules_of(facts: DataFrame, rules: DataFrame) -> DataFrame:
+    """``facts(category, attribute, ...)`` with the ``rule`` of ``rules(category, attribute, rule)``; an unknown pair is an error."""
+    unknown = F.raise_error(F.concat(F.lit("no rule for "), F.coalesce("category", F.lit("null")), F.lit("/"), F.coalesce("attribute", F.lit("null"))))
+    rows = facts.join(F.broadcast(rules.withColumnRenamed("rule", "__rule")), ["category", "attribute"], "left")
+    return rows.withColumn("rule", F.coalesce(F.col("__rule"), unknown)).drop("__rule")
+
+
 def reusable(chapters: DataFrame, readings: DataFrame, version: str) -> DataFrame:
     """Chapters with the stored reading of their very text and this version, or none."""
     r = readings.where(F.col("version") == version).select("book", "number", "content_hash", F.lit(True).alias("hit"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from taleweave.catalog import query
 from taleweave.functions import text
-from taleweave.operators import core, evaluation, ledger
+from taleweave.operators import core, evaluation, ledger, records
 from taleweave.plans import projections as p
 from taleweave.plans.checking import BASE_SQL, ages, spans
 from taleweave.plans.projections import table
@@ -26,7 +26,7 @@ def merged_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {p.CHAPTERS_SQL} select d.doc_id as passage, c.number as chapter from documents d left join (select doc_id, number from chapters where number > 3) c using (doc_id)")
 def passages_renumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages with their chapters' present numbers."""
-    numbers = p.chapters(spark, sf_dir).where("number > 3").select("doc_id", "number")
+    numbers = p.chapter_numbers(spark, sf_dir).where("number > 3").select("doc_id", "number")
     return table(spark, sf_dir, "documents").select("doc_id").join(numbers, "doc_id", "left").select(F.col("doc_id").alias("passage"), F.col("number").alias("chapter"))
 
 
@@ -41,11 +41,12 @@ def quote_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with k as (select l_returnflag as book, l_suppkey % 30 as a, l_partkey % 30 as b, l_orderkey as pos, l_linenumber % 7 as relation, l_partkey * 1000000 + l_suppkey as tie from lineitem)
-select book, a, b, max(pos) as pos, arg_max(relation, pos * 100000000000 + tie % 100000000000) as relation from k where pos < 40000 group by all""")
+select book, a, b, max(pos) as pos, arg_max(relation, pos * 100000000000 + tie % 100000000000) as relation from k join (select book as b2, max(pos) as last from k group by 1) m on m.b2 = k.book where pos < last group by book, a, b""")
 def last_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last statement about each pair before a point."""
     k = table(spark, sf_dir, "lineitem").selectExpr("l_returnflag as book", "l_suppkey % 30 as a", "l_partkey % 30 as b", "l_orderkey as pos", "l_linenumber % 7 as relation", "l_partkey * 1000000 + l_suppkey as tie")
-    return k.where("pos < 40000").groupBy("book", "a", "b").agg(F.max("pos").alias("pos"), F.max_by("relation", F.expr("pos * 100000000000 + tie % 100000000000")).alias("relation"))
+    last = k.groupBy("book").agg(F.max("pos").alias("last"))
+    return core.last_before(k.join(last, "book").where("pos < last"), ["book", "a", "b"], "relation", F.expr("pos * 100000000000 + tie % 100000000000"))
 
 
 @query(f"""with {p.STATEMENTS_SQL}, d as (select book, character, min(pos) as died from statements where {p.IS_DEATH} and not is_speculative group by all)
@@ -98,10 +99,11 @@ CHANGE_RULES = [("age", "absolute_age", "temporal"), ("age", "life_stage", "temp
 
 @query(f"with {p.STATEMENTS_SQL} select case when {p.IS_AGE} then 'temporal' when {p.IS_STAGE} then 'temporal' when {p.IS_TRAIT} then 'fixed' when {p.IS_DEATH} then 'monotonic' end as rule, count(*) as n from statements where ({p.IS_AGE}) or ({p.IS_STAGE}) or ({p.IS_TRAIT}) or ({p.IS_DEATH}) group by 1")
 def change_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts by the rule of their category and attribute."""
-    rules = spark.createDataFrame(CHANGE_RULES, "category string, attribute string, rule string").select("attribute", "rule")
-    rows = facts(spark, sf_dir).where("attribute is not null")
-    return rows.join(F.broadcast(rules), "attribute").groupBy("rule").agg(F.count("*").alias("n"))
+    """Facts by the rule of their category and attribute; an unknown pair is an error."""
+    rules = spark.createDataFrame(CHANGE_RULES, "category string, attribute string, rule string")
+    category = "case when attribute in ('absolute_age', 'life_stage') then 'age' when attribute = 'died' then 'life' else category end as category"
+    rows = facts(spark, sf_dir).where("attribute is not null").selectExpr(category, "attribute")
+    return records.rules_of(rows, rules).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 @query("select l_orderkey, l_linenumber, l_partkey, abs(l_discount - l_tax) <= 0.01 + 1e-9 and (l_returnflag is not distinct from case when l_linestatus = 'F' then 'A' end) as same from lineitem")
@@ -110,19 +112,22 @@ def tolerant_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = (F.abs(F.col("l_discount") - F.col("l_tax")) <= 0.01 + 1e-9) & F.col("l_returnflag").eqNullSafe(F.when(F.col("l_linestatus") == "F", "A"))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", same.alias("same"))
 
-_ERRORS = (("Error 429: rate limit", "rate_limit"), ("503 overloaded", "server"), ("401 bad API key", "auth"), ("connection reset", "network"), ("content_filter triggered", "content_filter"), ("400 bad", "bad_request"))
+_CODES = "[429, 503, 401, 402, 403, 500, 404, 0, 1, 2]"
+_MESSAGE = "case code when 0 then 'connection reset by peer' when 1 then 'content_filter triggered' when 2 then 'Request timeout' else concat('Error ', cast(code as varchar(9)), ': ', l_shipmode) end"
 
 
-@query("select * from (values " + ", ".join(f"('{m}', '{k}')" for m, k in _ERRORS) + ") t(message, kind)")
+@query(f"""with m as (select l_orderkey, l_linenumber, l_partkey, ({_CODES})[l_partkey % 10 + 1] as code from (select *, 'x' as l_shipmode from lineitem)) select l_orderkey, l_linenumber, l_partkey,
+case when code = 1 then 'content_filter' when code = 429 then 'rate_limit' when code in (401, 402, 403) then 'auth' when code in (0, 2) then 'network' when code >= 500 then 'server' else 'bad_request' end as kind from m""")
 def error_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Provider errors by class."""
-    return spark.createDataFrame([(m,) for m, _ in _ERRORS], "message string").select("message", ledger.error_kind().alias("kind"))
+    m = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", f"element_at(array{_CODES.replace('[', '(').replace(']', ')')}, cast(l_partkey % 10 + 1 as int)) as code", "'x' as l_shipmode")
+    return m.selectExpr("l_orderkey", "l_linenumber", "l_partkey", f"{_MESSAGE} as message").select("l_orderkey", "l_linenumber", "l_partkey", ledger.error_kind().alias("kind"))
 
 
-@query("with e as (select d.doc_id, text, greatest(0, doc_id % 700 - 220) as a, least(length(text), doc_id % 700 + 240) as b from documents d where length(text) > 10) select doc_id, substr(text, (a + 1)::bigint, greatest(b - a, 0)::bigint) as context from e")
+@query("with e as (select d.doc_id, text, greatest(0, doc_id % 700 - 220) as a, least(length(text), doc_id % 700 + 240) as b from documents d) select doc_id, substr(text, (a + 1)::bigint, greatest(b - a, 0)::bigint) as context from e")
 def review_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text around a place, for reading a report."""
-    d = table(spark, sf_dir, "documents").where("length(text) > 10").selectExpr("doc_id", "text", "cast(greatest(0, doc_id % 700 - 220) as int) as a", "cast(least(length(text), doc_id % 700 + 240) as int) as b")
+    d = table(spark, sf_dir, "documents").selectExpr("doc_id", "text", "cast(greatest(0, doc_id % 700 - 220) as int) as a", "cast(least(length(text), doc_id % 700 + 240) as int) as b")
     return d.select("doc_id", F.expr("substring(text, a + 1, greatest(b - a, 0))").alias("context"))
 
 
@@ -133,16 +138,6 @@ def character_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return core.fold(upto, spans(spark, sf_dir)).select("book", "character", "age_low", "life_stage", "eye_color", "hair_color", "died_chapter")
 
 
-@query("""with s as (select l_orderkey * 10 + l_linenumber as id, l_returnflag as book, l_suppkey % 20 as chapter, l_partkey as b, l_partkey + l_quantity::bigint as e, l_linenumber as line, l_suppkey from lineitem),
-pairs as (select distinct x.id as expected, o.id as observed from s x join s o on o.book = x.book and o.chapter = x.chapter and x.b < o.e and o.b < x.e where x.line = 1 and x.l_suppkey % 5 = 0 and o.line = 2 and o.l_suppkey % 3 = 0),
-f as (select expected, min(observed) as observed from pairs group by 1) select min(expected) as expected, observed from f group by observed""")
-def one_to_one_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlaps taken so that each side is used once."""
-    from taleweave.plans.measured import span_matches
-
-    return evaluation.one_to_one(span_matches(spark, sf_dir))
-
-
 @query(f"with {p.STATEMENTS_SQL} select pos, '第 ' || chapter || ' 章：' || case when age_value = floor(age_value) then cast(cast(age_value as bigint) as varchar) else cast(age_value as varchar) end || ' 岁' as phrase from statements where {p.IS_AGE}")
 def described_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ages as phrases."""
@@ -150,30 +145,34 @@ def described_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("pos", F.concat(F.lit("第 "), F.col("chapter").cast("string"), F.lit(" 章："), text.years_text(F.col("age_value")), F.lit(" 岁")).alias("phrase"))
 
 
-@query("select source, count(distinct doc_id) as chapters, count(*) as examined, count(*) filter (where starts_with(lower(line), 'the')) as flagged from (select source, doc_id, unnest(string_split(text, chr(10))) as line from documents) where length(trim(line)) > 0 group by 1")
+@query("""with e as (select l_suppkey % 7 as "group", l_orderkey as "case", l_partkey % 500 as start, l_partkey % 500 + 20 as "end" from lineitem where l_linenumber = 1), o as (select l_orderkey as "case", l_partkey % 500 - l_linenumber + 2 as a, l_partkey % 500 + 20 + l_suppkey % 3 as b from lineitem where l_linenumber in (1, 2)),
+x as (select "group", e."case", start, "end", max((a < "end" and start < b)::int) as touched, max((a <= start and "end" <= b)::int) as found, max((a = start and "end" = b)::int) as exact from e left join o on o."case" = e."case" group by all)
+select "group", count(*) as notes, sum(coalesce(found, 0))::bigint as found, sum(coalesce(exact, 0))::bigint as exact, sum(coalesce(touched, 0))::bigint as touched from x group by 1""")
 def note_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs examined and flagged, by book."""
-    lines = table(spark, sf_dir, "documents").select("source", "doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).where(F.length(F.trim("line")) > 0)
-    return lines.groupBy("source").agg(F.countDistinct("doc_id").alias("chapters"), F.count("*").alias("examined"), F.count_if(F.lower("line").startswith("the")).alias("flagged"))
+    """Written notes found, exact and touched, by group."""
+    rows = table(spark, sf_dir, "lineitem")
+    e = rows.where("l_linenumber = 1").selectExpr("l_suppkey % 7 as group", "l_orderkey as case", "l_partkey % 500 as start", "l_partkey % 500 + 20 as `end`")
+    o = rows.where("l_linenumber in (1, 2)").selectExpr("l_orderkey as case", "l_partkey % 500 - l_linenumber + 2 as start", "l_partkey % 500 + 20 + l_suppkey % 3 as `end`")
+    return evaluation.note_scores(e, o)
 
 
-@query(f"""with {p.CHAPTERS_SQL}, r as (select doc_id, unnest([0, 30]) as a, unnest([12, 45]) as b from documents where doc_id % 5 = 0)
+@query(f"""with {p.CHAPTERS_SQL}, r as (select doc_id, unnest([0, 30]) as a, unnest([12, 45]) as b from documents)
 select c.book, c.number, r.a as start, substr(content, (r.a + 1)::bigint, (r.b - r.a)::bigint) as note from chapters c join r using (doc_id) where length(content) > 50""")
 def note_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Author's notes with their text, from each chapter's ranges."""
     ranges = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 12), (30, 45))])
-    notes = table(spark, sf_dir, "documents").where("doc_id % 5 = 0").select("doc_id", F.explode(ranges).alias("r")).select("doc_id", "r.*")
+    notes = table(spark, sf_dir, "documents").select("doc_id", F.explode(ranges).alias("r")).select("doc_id", "r.*")
     rows = p.chapters(spark, sf_dir).where("length(content) > 50").join(notes, "doc_id")
     return rows.select("book", "number", F.col("a").alias("start"), F.expr("substring(content, a + 1, b - a)").alias("note"))
 
 
-@query("""with t as (select l_suppkey as who, l_partkey % 6 as trait, max(l_orderkey) as v from lineitem where l_linenumber = 1 group by all), s as (select l_suppkey as who, l_partkey % 6 as trait, max(l_orderkey) as v from lineitem where l_linenumber = 2 and l_orderkey % 5 = 0 group by all)
+@query("""with t as (select l_suppkey as who, l_partkey % 6 as trait, max(l_orderkey) as v from lineitem where l_linenumber = 1 group by all), s as (select l_suppkey as who, l_partkey % 6 as trait, max(l_orderkey) as v from lineitem where l_linenumber = 2 group by all)
 select coalesce(t.who, s.who) as who, coalesce(t.trait, s.trait) as trait, coalesce(t.v, s.v) as v from t full join s on s.who = t.who and s.trait = t.trait""")
 def merged_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trait maps of a merged pair of characters, the target's values first (U8)."""
     rows = table(spark, sf_dir, "lineitem")
     side = lambda w, n: rows.where(w).groupBy(F.col("l_suppkey").alias("who"), (F.col("l_partkey") % 6).alias("trait")).agg(F.max("l_orderkey").alias(n))
-    both = side("l_linenumber = 1", "t").join(side("l_linenumber = 2 and l_orderkey % 5 = 0", "s"), ["who", "trait"], "full_outer")
+    both = side("l_linenumber = 1", "t").join(side("l_linenumber = 2", "s"), ["who", "trait"], "full_outer")
     return both.select("who", "trait", F.coalesce("t", "s").alias("v"))
 
 

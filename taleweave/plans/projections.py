@@ -52,14 +52,21 @@ CHAPTERS_SQL = """chapters as (
   from documents d left join (select doc_id, max(quality) as quality from labels group by doc_id) l on l.doc_id = d.doc_id)"""
 
 
+def chapter_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, book, number)``, without texts."""
+    from pyspark.sql import functions as F
+
+    from taleweave.operators.records import numbered
+
+    return numbered(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("book")), ["book"], ["doc_id"])
+
+
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
-    from pyspark.sql.window import Window
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("book"), F.col("text").alias("content"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     status = F.when(F.col("quality") == 1, "extracted").when(F.col("quality") == 0, "failed").otherwise("pending")
-    number = F.row_number().over(Window.partitionBy("book").orderBy("doc_id")).cast("bigint")
-    # numbers are given on the narrow columns, the text joins them afterwards
-    numbered = docs.select("doc_id", "book").withColumn("number", number).join(labels, "doc_id", "left").withColumn("status", status)
-    return numbered.select("doc_id", "book", "number", "status").join(docs.select("doc_id", "content"), "doc_id").select("book", "number", "doc_id", "content", "status")
+    # numbers are given on the narrow columns; the text is shuffled once, to join them
+    found = chapter_numbers(spark, sf_dir).join(labels, "doc_id", "left").withColumn("status", status)
+    return found.select("doc_id", "book", "number", "status").join(docs, "doc_id").select("book", "number", "doc_id", "content", "status")

@@ -80,14 +80,35 @@ def event_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return core.numbered(stored, s.where("event_type = 'error'").select("book", "pos"), ["pos"])
 
 
-_LOG = ["book", "pos as seq", "case when k % 4 = 0 or event_type = 'signup' then 'create' when k % 4 = 1 then 'rename' when k % 4 = 2 then 'alias' else if(k % 16 = 3, 'merge', 'alias') end as kind", "character", "'n' || cast(k % 30 as string) as name", "chapter", "if(k % 10 = 0, 'user', 'extracted') as source"]
+_LOG = [
+    "book", "pos as seq", "case when event_type = 'signup' and k % 16 <> 3 then 'create' when k % 5 = 0 then 'promote' when k % 4 = 1 then 'rename' when k % 4 = 2 then 'alias' when k % 16 = 3 and character >= 15 then 'merge' else 'alias' end as kind",
+    "character", "case when event_type <> 'signup' and k % 5 = 0 then 'k' || cast(k % 3 as varchar(9)) else 'n' || cast(k % 30 as varchar(9)) end as name",
+    "character - 5 * (1 + k % 3) as into", "chapter", "case when k % 10 = 0 then 'user' else 'extracted' end as source",
+]
+
+
+@query(f"""with recursive {p.STATEMENTS_SQL}, log as (select {', '.join(_LOG)} from statements where event_type in ('signup', 'error')),
+kept as (select * from log where source = 'user' or chapter < 4),
+state as (select book, character, arg_max(name, seq) filter (where kind in ('create', 'rename')) as name, bool_or(kind = 'create') as made, arg_max("into", seq) filter (where kind = 'merge') as target,
+  coalesce(arg_max(name, seq) filter (where kind = 'promote'), 'minor') as kind from kept group by all),
+walk as (select book, character, target as at from state where target is not null union all select w.book, w.character, s.target from walk w join state s on s.book = w.book and s.character = w.at where s.target is not null),
+roots as (select w.* from walk w join state s on s.book = w.book and s.character = w.at where s.target is null union all select w.* from walk w where not exists (select 1 from state s where s.book = w.book and s.character = w.at)),
+given as (select distinct k.book, coalesce(r.at, k.character) as character, k.name from kept k left join roots r on r.book = k.book and r.character = k.character where k.kind = 'alias' or (k.kind in ('create', 'rename') and r.at is not null))
+select s.book, s.character, s.name, coalesce((select list_sort(list(g.name)) from given g where g.book = s.book and g.character = s.character and g.name <> s.name), []) as aliases, s.kind from state s where made and target is null""")
+def replayed_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters after undoing the log from chapter 4 on; merged ones leave their names."""
+    log = p.statements(spark, sf_dir).where("event_type in ('signup', 'error')").selectExpr(*_LOG)
+    return core.replay(log, 4)
 
 
-@query(f"""with {p.STATEMENTS_SQL}, log as (select book, pos as seq, case when k % 4 = 0 or event_type = 'signup' then 'create' when k % 4 = 1 then 'rename' when k % 4 = 2 then 'alias' when k % 16 = 3 then 'merge' else 'alias' end as kind,
-  character, 'n' || cast(k % 30 as varchar) as name, chapter, k % 10 = 0 as mine from statements where event_type in ('signup', 'error')),
-kept as (select * from log where mine or chapter < 4)
-select book, character, arg_max(name, seq) filter (where kind in ('create', 'rename')) as name, coalesce(list_sort(list_distinct(list(name) filter (where kind = 'alias'))), []) as aliases
-from kept group by all having bool_or(kind = 'create') and not bool_or(kind = 'merge')""")
-def replayed_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters after undoing the log from chapter 4 on."""
-    return core.replay(p.statements(spark, sf_dir).where("event_type in ('signup', 'error')").selectExpr(*_LOG), 4)
+@query(f"""with {p.STATEMENTS_SQL} select 'facts' as kept, count(*) as n from statements where {p.IS_AGE} and chapter < 4 union all select 'spans', count(*) from statements where {p.IS_SPAN} and chapter < 4
+union all select 'events', count(*) from statements where event_type in ('signup', 'error') and (chapter < 4 or k % 10 = 0)""")
+def state_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays when a book is read again from chapter 4 on."""
+    s = p.statements(spark, sf_dir)
+    left = core.reset_from(s.where(p.IS_AGE), s.where(p.IS_SPAN), s.where("event_type in ('signup', 'error')").selectExpr(*_LOG), 4)
+    out = None
+    for name, rows in zip(("facts", "spans", "events"), left):
+        one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("kept"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
