@@ -114,3 +114,32 @@ def term_relation(term: Column) -> Column:
     chain = F.aggregate(F.slice(steps, 2, 99), F.element_at(steps, 1), lambda a, x: composed[F.concat_ws("|", F.coalesce(a, F.lit("?")), F.coalesce(x, F.lit("?")))])
     known = (F.length(trimmed) > 0) & ~trimmed.rlike("|".join(NOT_KIN + COLLECTIVE))
     return F.when(known, chain)
+
+
+_KIN_TERM = "|".join(sorted({w for ws in TERMS.values() for w in ws.split()}, key=len, reverse=True))
+
+
+def stated_relation(term: Column, quote: Column, collective: Column) -> Column:
+    """The relation that a statement gives, or null: a word for two people, an unknown word, one that
+    the quote doesn't have, or the end of a chain taken alone.
+
+    A chain's end has a kin word and 的 before it; a kin word of one character counts only alone or
+    behind a pronoun. Ranks in front of the term go with it.
+    """
+    relation = term_relation(F.trim(term))
+    at = F.call_function("instr", quote, F.trim(term))
+    before = F.regexp_replace(F.substring(quote, F.lit(1), at - 1), f"[{RANK}]+$", "")
+    owner = F.regexp_replace(before, "的$", "")
+    ends = [F.when(F.length(owner) >= n, F.substring(owner, -n, n)) for n in (2, 3, 4)]
+    single = F.when((F.length(owner) == 1) | owner.rlike("[我你他她其咱俺].$"), F.substring(owner, -1, 1))
+    chained = F.lit(False)
+    for word in [*ends, single]:
+        chained = chained | term_relation(word).isNotNull()
+    return F.when(~collective & (at > 0) & ~(before.endswith("的") & chained), relation)
+
+
+def valid_kinship(relation: Column, not_blood: Column, mention: Column, name: Column, other: Column, other_name: Column, quote: Column) -> Column:
+    """Whether a kinship statement can stand: by blood, between two different people, in a quote with a kin word."""
+    people = lambda who, known: known.isNotNull() | ~(term_relation(who).isNotNull() | who.rlike("|".join(COLLECTIVE)))
+    plain = lambda x: F.lower(F.regexp_replace(x, "[\\s\\p{P}\\p{Z}\\p{C}]", ""))
+    return relation.isNotNull() & ~not_blood & people(mention, name) & people(other, other_name) & (plain(mention) != plain(other)) & quote.rlike(_KIN_TERM)

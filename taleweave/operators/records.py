@@ -223,6 +223,26 @@ def rules_of(facts: DataFrame, rules: DataFrame) -> DataFrame:
     return rows.withColumn("rule", F.coalesce(F.col("__rule"), unknown)).drop("__rule")
 
 
+def capped_reads(reads: DataFrame, order: list[str], notes: list[tuple[int, int]], span: int = 2000, total: int = 3000) -> DataFrame:
+    """``reads(run, start, end, ...)`` with ``stop``, ``cut`` and ``notes``: what each read of a run may show.
+
+    A read has at most ``span`` characters, a run's reads in their order ``total`` in all; ``notes``
+    are the ranges of author's notes that what is shown touches.
+    """
+    size = F.least(F.col("end") - F.col("start"), F.lit(span))
+    before = F.coalesce(F.sum(size).over(Window.partitionBy("run").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = reads.withColumn("stop", F.col("start") + F.greatest(F.least(size, F.lit(total) - before), F.lit(0)))
+    ranges = F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in notes])
+    inside = F.filter(ranges, lambda n: (n[0] < F.col("stop")) & (F.col("start") < n[1]))
+    return rows.withColumns({"cut": F.col("end") - F.col("start") > span, "notes": inside})
+
+
+def clue_questions(questions: DataFrame) -> DataFrame:
+    """``(q, clues, reasons)`` -> a row for each clue that has a place (not -1), with the reason of the same number."""
+    rows = questions.select("q", F.posexplode(F.arrays_zip("clues", "reasons")).alias("n", "z"))
+    return rows.select("q", "n", F.col("z.clues").alias("clue"), F.col("z.reasons").alias("reason")).where("clue <> -1")
+
+
 def reusable(chapters: DataFrame, readings: DataFrame, version: str) -> DataFrame:
     """Chapters with the stored reading of their very text and this version, or none."""
     r = readings.where(F.col("version") == version).select("book", "number", "content_hash", F.lit(True).alias("hit"))

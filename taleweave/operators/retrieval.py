@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Candidates of each ranking, the constant of reciprocal rank fusion, the shortest quote (fixed values).
 CANDIDATES, RRF_K, QUOTE_CHARS = 50, 60, 6
-
-
-def norm(vector: str) -> Column:
-    """Euclidean length; 1 for the zero vector."""
-    n = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.when(n == 0, 1.0).otherwise(n)
-
-
-def dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+#: Vectors of a block of passages and of queries; characters of quotes that a task looks for at once.
+PASSAGE_BLOCK, QUERY_BLOCK, QUOTE_BLOCK = 4096, 1024, 8_000_000
+#: Words too frequent to match by (fixed values).
+STOP_WORDS = ["的", "了", "着", "是", "在", "和", "与", "也", "就", "都", "而", "及", "或", "一个", "这", "那", "他", "她", "它", "我", "你", "们", "吗", "呢", "吧", "啊"]
+LATIN_STOP_WORDS = ["the", "of", "and", "to", "in", "is", "de", "la", "le", "der", "die", "und", "el", "en"]
+#: Places of an embedding.
+DIMENSIONS = 256
 
 
 def _top(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
@@ -26,22 +28,79 @@ def _top(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
     return rows.withColumn("place", place).where(F.col("place") <= k)
 
 
+def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """``rows(key, vector)`` packed into rows of about ``size`` vectors each."""
+    n = rows.count() // size + 1
+    packed = rows.select(F.pmod(F.xxhash64(key), F.lit(n)).alias("block"), F.struct(F.col(key).cast("bigint").alias("id"), F.col("vector").cast("array<double>").alias("vector")).alias("v"))
+    return packed.groupBy("block").agg(F.collect_list("v").alias("vs")).select(F.col("vs.id").alias(f"{key}_ids"), F.flatten("vs.vector").alias(f"{key}_values"))
+
+
 def vector_ranking(queries: DataFrame, passages: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """``queries(query, vector)``, ``passages(passage, vector)`` -> places by cosine, ties by passage.
 
-    The queries are few and stated; passages stay where they are and every query passes over them.
+    Both sides are packed into blocks of a fixed number of vectors, and each block of queries meets
+    each block of passages as one product of matrices, of which the best ``k`` of each query are
+    kept. So nothing grows with either side but the number of blocks. A zero vector has cosine 0.
     """
-    q = F.broadcast(queries.select("query", F.col("vector").alias("q"), norm("vector").alias("qn")))
-    p = passages.select("passage", F.col("vector").alias("p"), norm("vector").alias("pn"))
-    scored = p.join(q).select("query", "passage", (dot("p", "q") / (F.col("pn") * F.col("qn"))).alias("cosine"))
-    # rounded, so that sums taken in another order give the same places
-    return _top(scored, [F.round("cosine", 9).desc(), F.col("passage")], k)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for q_ids, q_values, p_ids, p_values in batch.itertuples(index=False):
+                sides = []
+                for ids, values in ((q_ids, q_values), (p_ids, p_values)):
+                    m = np.asarray(values, np.float64).reshape(len(ids), -1)
+                    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+                    sides.append(m / np.where(norm == 0, 1, norm))
+                # rounded, so that sums taken in another order give the same places
+                cosine = np.round(sides[0] @ sides[1].T, 9)
+                for i, row in zip(q_ids, cosine):
+                    best = np.lexsort((p_ids, -row))[:k]
+                    yield pd.DataFrame({"query": i, "passage": np.asarray(p_ids)[best], "cosine": row[best]})
+
+    met = _blocks(queries, "query", QUERY_BLOCK).crossJoin(_blocks(passages, "passage", PASSAGE_BLOCK))
+    scored = met.select("query_ids", "query_values", "passage_ids", "passage_values").mapInPandas(run, "query long, passage long, cosine double")
+    return _top(scored, [F.col("cosine").desc(), F.col("passage")], k)
+
+
+def embedded(rows: DataFrame, key: str, text: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
+    """``(key, vector)``: counts of neighbouring characters, hashed to ``dimensions`` places and scaled to length 1.
+
+    The stand-in for an embedding model; a text of fewer than two characters has the zero vector.
+    """
 
-def tokens(text: Column) -> Column:
-    """The distinct words of a text, lower-cased, punctuation removed, stop words dropped."""
-    words = F.split(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]+", " "), " ")
-    return F.array_except(F.array_distinct(words), F.array(*map(F.lit, ["", "the", "of", "and", "to", "in", "is", "de", "la", "le", "der", "die", "und", "el", "en"])))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            vectors = []
+            for t in batch["__text"]:
+                c = np.frombuffer((t or "").encode("utf-32-le"), "<u4").astype(np.int64)
+                v = np.bincount((c[:-1] * 31 + c[1:]) % dimensions, minlength=dimensions).astype(float)
+                vectors.append(v / (np.sqrt((v * v).sum()) or 1.0))
+            yield pd.DataFrame({key: batch[key], "vector": vectors})
+
+    return rows.select(key, F.col(text).alias("__text")).mapInPandas(run, f"`{key}` {dict(rows.dtypes)[key]}, vector array<double>")
+
+
+_CJK = "一-鿿"
+
+
+def tokens(text: Column, names: list[str] | None = None) -> Column:
+    """The distinct words of a text, lower-cased, stop words dropped.
+
+    Names of two characters or more are words wherever they stand, the longest first; of other
+    runs of Chinese characters each neighbouring pair is one (or the one character of a run of
+    one), of letters and digits each run.
+    """
+    known = sorted({n.strip().lower() for n in names or [] if len(n.strip()) >= 2}, key=lambda n: (-len(n), n))
+    # inside a run of Chinese a lookahead takes each pair; what names cover is taken out before
+    rest = F.lower(text)
+    found = F.array().cast("array<string>")
+    if known:
+        pattern = "|".join(map(re.escape, known))
+        found, rest = F.regexp_extract_all(rest, F.lit(f"({pattern})")), F.regexp_replace(rest, pattern, " ")
+    pairs = F.regexp_extract_all(rest, F.lit(f"(?=([{_CJK}]{{2}}))"))
+    lone = F.regexp_extract_all(rest, F.lit(f"(?<![{_CJK}])([{_CJK}])(?![{_CJK}])"))
+    words = F.regexp_extract_all(rest, F.lit(f"([\\p{{L}}\\p{{N}}&&[^{_CJK}]]+)"))
+    return F.array_except(F.array_distinct(F.concat(found, pairs, lone, words)), F.array(*map(F.lit, STOP_WORDS + LATIN_STOP_WORDS)))
 
 
 def keyword_ranking(queries: DataFrame, passages: DataFrame, k: int = CANDIDATES) -> DataFrame:
@@ -84,8 +143,53 @@ def plain(text: Column) -> Column:
 def quoted(queries: DataFrame, passages: DataFrame) -> DataFrame:
     """``queries(query, text)``, ``passages(passage, text)`` -> passages that contain a query as a quote.
 
-    Queries of fewer than ``QUOTE_CHARS`` characters, punctuation aside, aren't quotes.
+    Queries of fewer than ``QUOTE_CHARS`` characters, punctuation aside, aren't quotes. The stated
+    queries are looked for all at once, in one pass over a passage's characters; beyond
+    ``QUOTE_BLOCK`` characters of queries there is a pass for each block of them.
     """
     q = queries.select("query", plain(F.col("text")).alias("wanted")).where(F.length("wanted") >= QUOTE_CHARS)
     p = passages.select("passage", plain(F.col("text")).alias("plain"))
-    return p.join(F.broadcast(q), F.contains(F.col("plain"), F.col("wanted"))).select("query", "passage")
+    blocks = (q.agg(F.sum(F.length("wanted"))).first()[0] or 0) // QUOTE_BLOCK + 1
+    kinds = dict(q.dtypes)["query"], dict(p.dtypes)["passage"]
+
+    def search(block: int) -> DataFrame:
+        wanted: dict[str, list] = {}
+        for r in q.where(F.pmod(F.xxhash64("wanted"), F.lit(blocks)) == block).collect():  # about QUOTE_BLOCK characters
+            wanted.setdefault(r["wanted"], []).append(r["query"])
+        shipped = passages.sparkSession.sparkContext.broadcast(wanted)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            machine = ahocorasick.Automaton()
+            for key, ids in shipped.value.items():
+                machine.add_word(key, ids)
+            machine.make_automaton()
+            for batch in batches:
+                rows = [(i, passage) for passage, t in batch.itertuples(index=False) if t and len(machine) for i in {i for _, ids in machine.iter(t) for i in ids}]
+                yield pd.DataFrame(rows, columns=["query", "passage"])
+
+        return p.mapInPandas(run, f"query {kinds[0]}, passage {kinds[1]}")
+
+    out = search(0)
+    for block in range(1, blocks):
+        out = out.unionByName(search(block))
+    return out
+
+
+def in_scope(passages: DataFrame, first: int | None = None, last: int | None = None, names: list[str] | None = None) -> DataFrame:
+    """``passages(chapter, text, ...)`` of a range of chapters that contain any of a character's names."""
+    rows = passages.where(F.col("chapter").between(first or 1, last or 100_000))
+    if names is None:
+        return rows
+    found = F.lit(False)
+    for n in names:
+        found = found | F.contains(F.col("text"), F.lit(n))
+    return rows.where(found)
+
+
+def search(queries: DataFrame, passages: DataFrame, names: list[str] | None = None, k: int = 5) -> DataFrame:
+    """``queries(query, text)``, ``passages(passage, text)`` -> the ``k`` best of each query: vectors and keywords fused, quotes first."""
+    vectors = vector_ranking(embedded(queries, "query"), embedded(passages, "passage"))
+    words = lambda d, key: d.select(key, tokens(F.col("text"), names).alias("tokens"))
+    return fused({"vector": vectors, "keyword": keyword_ranking(words(queries, "query"), words(passages, "passage"))}, quoted(queries, passages), k)

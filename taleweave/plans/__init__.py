@@ -1,3 +1,3 @@
 """The registered queries, by area."""
 
-from taleweave.plans import checking, further, measured, recorded, searching, state, texts  # noqa: F401
+from taleweave.plans import checking, dealt, further, measured, recorded, searching, state, texts  # noqa: F401

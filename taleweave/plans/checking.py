@@ -176,15 +176,6 @@ def revival_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.revivals(s.where(p.IS_DEATH), s.where(p.IS_PRESENCE))
 
 
-_MARKS = ["左脸·刀疤", "右半边脸·刀疤", "背后·胎记", "左侧 手背 · 痣", "没有", None, "脸右边·疤"]
-
-
-@query("select * from (values ('左脸·刀疤', '左', '脸', '刀疤'), ('右半边脸·刀疤', '右', '脸', '刀疤'), ('背后·胎记', null, null, null), ('左侧 手背 · 痣', '左', ' 手背', '痣'), ('没有', null, null, null), (null, null, null, null), ('脸右边·疤', '右', '脸', '疤')) t(value, side, part, kind)")
-def mark_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Side, part and kind of written marks."""
-    return checks.marks(spark.createDataFrame([(m,) for m in _MARKS], "value string"))
-
-
 _STORED = "l_orderkey % 5 <> 4"
 
 

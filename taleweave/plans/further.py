@@ -82,16 +82,6 @@ def cut_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = F.concat(F.substring("text", 1, 4000), F.lit("…("), F.length("text").cast("string"), F.lit(")"))
     return table(spark, sf_dir, "documents").select("doc_id", F.when(F.length("text") > 4000, long).otherwise(F.col("text")).alias("shown"))
 
-_WINDOWS = (("甲来了。甲走了。乙来了。", 0, 1), ("甲来了。甲走了。乙来了。", 8, 9), ("aaaaaaaaaaaaaaaaaaaaab", 3, 4))
-
-
-@query("select * from (values ('甲来了。甲走了。乙来了。', 0, 5), ('甲来了。甲走了。乙来了。', 8, 0), ('aaaaaaaaaaaaaaaaaaaaab', 3, 10)) t(text, start, pad)")
-def unique_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far a span must grow before its text occurs once."""
-    rows = spark.createDataFrame(list(_WINDOWS), "text string, start int, end int")
-    grown = "substring(text, greatest(start - pad, 0) + 1, least(end + pad, length(text)) - greatest(start - pad, 0))"
-    once = f"filter(sequence(0, 40, 5), pad -> length(replace(text, {grown}, '')) = length(text) - length({grown}))"
-    return rows.select("text", "start", F.expr(f"get({once}, 0)").alias("pad"))
 
 #: category, attribute -> how a fact may change (fixed values).
 CHANGE_RULES = [("age", "absolute_age", "temporal"), ("age", "life_stage", "temporal"), ("appearance", "eye_color", "fixed"), ("appearance", "hair_color", "fixed"), ("appearance", "mark", "fixed"), ("kinship", "father", "fixed"), ("life", "died", "monotonic"), ("life", "present", "mutable")]

@@ -9,30 +9,35 @@ from taleweave.catalog import query
 from taleweave.operators import evaluation, retrieval
 from taleweave.plans.projections import table
 
-#: The stated queries: vectors 0-9, and the benchmark items as quotes.
-_V = """q as (select vec_id as query, embedding as v from embeddings where vec_id < 10), s as (select q.query, e.vec_id as passage,
+#: The stated queries: every hundredth vector, and all benchmark items.
+_V = """q as (select vec_id as query, embedding as v from embeddings where vec_id % 100 = 0), s as (select q.query, e.vec_id as passage,
   list_sum(list_transform(list_zip(e.embedding, q.v), lambda x: x[1]::double * x[2]::double)) / (sqrt(list_sum(list_transform(e.embedding, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(q.v, lambda x: x::double * x::double)))) as cosine from embeddings e, q),
 vr as (select * from (select query, passage, row_number() over (partition by query order by round(cosine, 9) desc, passage) as place from s) where place <= 50)"""
-_STOP = "['', 'the', 'of', 'and', 'to', 'in', 'is', 'de', 'la', 'le', 'der', 'die', 'und', 'el', 'en']"
-_TOK = "list_filter(list_distinct(string_split(regexp_replace(lower({t}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')), lambda x: not list_contains(" + _STOP + ", x))"
-_K = f"""dt as (select doc_id as passage, unnest({_TOK.format(t="text")}) as token from documents), qt as (select item_id as query, unnest({_TOK.format(t="text")}) as token from benchmark where item_id < 8),
+_STOP = "[" + ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS + retrieval.LATIN_STOP_WORDS) + "]"
+_NAMES = ["Alpha One", "der", "沈墨"]
+_HIDDEN = "regexp_replace(lower({t}), 'alpha one|der|沈墨', ' ', 'g')"
+_TOK = (
+    "list_filter(list_distinct(list_concat(regexp_extract_all(lower({t}), 'alpha one|der|沈墨'), flatten(list_transform(string_split_regex(" + _HIDDEN + ", '[^一-鿿]+'), lambda x: list_transform(range(1, length(x)), lambda i: substr(x, i, 2)))), "
+    "list_filter(string_split_regex(" + _HIDDEN + ", '[^一-鿿]+'), lambda x: length(x) = 1), list_filter(string_split_regex(" + _HIDDEN + ", '[^\p{{L}}\p{{N}}]+|[一-鿿]+'), lambda x: x <> ''))), lambda x: not list_contains(" + _STOP + ", x))"
+)
+_K = f"""dt as (select doc_id as passage, unnest({_TOK.format(t="text")}) as token from documents), qt as (select item_id as query, unnest({_TOK.format(t="text")}) as token from benchmark),
 h as (select query, passage, count(*) as hits from dt join qt using (token) group by all), kr as (select * from (select query, passage, row_number() over (partition by query order by hits desc, passage) as place from h) where place <= 50)"""
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return retrieval.vector_ranking(e.where("vec_id < 10").selectExpr("vec_id as query", "embedding as vector"), e.selectExpr("vec_id as passage", "embedding as vector"))
+    return retrieval.vector_ranking(e.where("vec_id % 100 = 0").selectExpr("vec_id as query", "embedding as vector"), e.selectExpr("vec_id as passage", "embedding as vector"))
 
 
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage"), retrieval.tokens(F.col("text")).alias("tokens"))
-    q = table(spark, sf_dir, "benchmark").where("item_id < 8").select(F.col("item_id").alias("query"), retrieval.tokens(F.col("text")).alias("tokens"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage"), retrieval.tokens(F.col("text"), _NAMES).alias("tokens"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), retrieval.tokens(F.col("text"), _NAMES).alias("tokens"))
     return retrieval.keyword_ranking(q, d)
 
 
 @query(f"with {_V} select query, passage, place from vr")
 def vector_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 50 nearest passages of each query by cosine."""
+    """The 50 nearest passages of each query by cosine."""
     return vectors(spark, sf_dir).select("query", "passage", "place")
 
 
@@ -64,12 +69,30 @@ def quoted_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes(spark, sf_dir)
 
 
-@query(f"""with {_K}, {_Q}, mixed as (select query, passage, 'keyword' as src, 0 as o, place from kr union all select query, passage, 'exact', 9, null from qx where query < 8),
+@query(f"""with {_K}, {_Q}, mixed as (select query, passage, 'keyword' as src, 0 as o, place from kr union all select query, passage, 'exact', 9, null from qx),
 f as (select query, passage, round(sum(coalesce(1.0::double / (60 + place), 0)), 6) as score, list_sort(list(src)) as matched_by, min(o * 1000 + coalesce(place, 0)) as first from mixed group by all)
 select query, passage, score, matched_by, rank from (select *, row_number() over (partition by query order by list_contains(matched_by, 'exact') desc, score desc, first, passage) as rank from f) where rank <= 5""")
 def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search with quotes first."""
-    return retrieval.fused({"keyword": keywords(spark, sf_dir)}, quotes(spark, sf_dir).where("query < 8"))
+    """Keyword search with quotes first."""
+    return retrieval.fused({"keyword": keywords(spark, sf_dir)}, quotes(spark, sf_dir))
+
+
+_BIGRAMS = """c as (select {k} as id, text, unnest(range(1, greatest(length(text), 1))) as i from {t}), b as (select id, (unicode(substr(text, i, 1)) * 31 + unicode(substr(text, i + 1, 1))) % 256 as dim from c), n as (select id, dim, count(*)::double as n from b group by all),
+l as (select id, sqrt(sum(n * n)) as length from n group by 1)"""
+
+
+@query(f"with {_BIGRAMS.format(k='item_id', t='benchmark')} select id as item_id, dim, round(n / length, 6) as value from n join l using (id)")
+def text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark text as a vector of hashed character pairs, its places that aren't 0."""
+    v = retrieval.embedded(table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id")
+    return v.select("item_id", F.posexplode("vector").alias("dim", "value")).where("value > 0").select("item_id", F.col("dim").cast("bigint").alias("dim"), F.round("value", 6).alias("value"))
+
+
+@query()
+def scoped_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search for every benchmark text in documents of some chapters that name a character: vectors, keywords, quotes (R8); held against brute force in the tests."""
+    d = table(spark, sf_dir, "documents").selectExpr("doc_id as passage", "cast(doc_id % 40 as int) as chapter", "text")
+    return retrieval.search(table(spark, sf_dir, "benchmark").selectExpr("item_id as query", "text"), retrieval.in_scope(d, 5, 30, ["the", "der", "la"]).select("passage", "text"), _NAMES)
 
 
 @query(f"""with {_V}, r as (select vr.*, e.label = z.label as relevant from vr join embeddings e on e.vec_id = passage join embeddings z on z.vec_id = query where passage <> query),
@@ -78,5 +101,5 @@ select round(avg((coalesce(first, 1000000000) <= 5)::int), 4) as hit_5, round(av
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits, coverage and reciprocal rank of the vector ranking."""
     e = table(spark, sf_dir, "embeddings")
-    ranked = vectors(spark, sf_dir).where("passage <> query").join(e.selectExpr("vec_id as passage", "label"), "passage").join(F.broadcast(e.where("vec_id < 10").selectExpr("vec_id as query", "label as wanted")), "query")
+    ranked = vectors(spark, sf_dir).where("passage <> query").join(e.selectExpr("vec_id as passage", "label"), "passage").join(e.selectExpr("vec_id as query", "label as wanted"), "query")
     return evaluation.retrieval_metrics(ranked.select("query", "place", (F.col("label") == F.col("wanted")).alias("relevant")))

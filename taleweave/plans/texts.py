@@ -1,4 +1,4 @@
-"""Queries: text functions over documents and literal fixtures, sources, streaming."""
+"""Queries: text functions over documents, sources, streaming."""
 
 from __future__ import annotations
 
@@ -7,110 +7,13 @@ from pyspark.sql import functions as F
 
 from taleweave import scratch
 from taleweave.catalog import query
-from taleweave.functions import kin, looks, names, text
+from taleweave.functions import names, text
 from taleweave.plans import projections as p
 from taleweave.plans.projections import table
 from taleweave.sources import books
 from taleweave.streaming import append
 
 
-def _values(*rows: tuple, columns: str) -> str:
-    lit = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else f"{v}::double" if isinstance(v, float) else str(v) if isinstance(v, int) else "[" + ", ".join(map(lit, v)) + "]" if isinstance(v, list) else "'" + v.replace("'", "''") + "'"
-    return "select * from (values " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") t({columns})"
-
-
-def _inputs(spark: SparkSession, rows: tuple, schema: str) -> DataFrame:
-    n = schema.count(",") + 1
-    return spark.createDataFrame([r[:n] for r in rows], schema)
-
-
-_NUMBERS = (("12", 12), ("十", 10), ("十二", 12), ("二十", 20), ("一百零五", 105), ("两千", 2000), ("一万二千", 12000), ("三六七", 367), ("二七零", 270), ("甲", None), ("一百一十", 110))
-
-
-@query("select word, n::bigint as n from (" + _values(*_NUMBERS, columns="word, n") + ")")
-def numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numerals read as numbers."""
-    return _inputs(spark, _NUMBERS, "word string").select("word", text.parse_number(F.col("word")).alias("n"))
-
-
-_CHINESE = ((1, "一"), (10, "十"), (11, "十一"), (20, "二十"), (100, "一百"), (101, "一百零一"), (110, "一百一十"), (205, "二百零五"), (999, "九百九十九"), (0, None), (1000, None))
-
-
-@query(_values(*_CHINESE, columns="n, word"))
-def numbers_written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers written as numerals."""
-    return _inputs(spark, _CHINESE, "n int").select("n", text.chinese(F.col("n")).alias("word"))
-
-
-_TERMS = (("父亲", "father"), ("五舅舅", "maternal_uncle"), ("母亲的哥哥", "maternal_uncle"), ("小姐", None), ("九儿", None), ("儿", "son"), ("父子俩", None), ("儿子的女儿", "granddaughter"), ("父亲大人", "father"), ("哥哥的父亲", None), ("姑姑的儿子", "biao_cousin"))
-
-
-@query(_values(*_TERMS, columns="term, relation"))
-def kin_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relations that words name."""
-    return _inputs(spark, _TERMS, "term string").select("term", kin.term_relation(F.col("term")).alias("relation"))
-
-
-_MENTIONS = (("林远", False), ("他", True), ("那个人", True), ("白发老者", True), ("他们", True), ("五火和带土", True), ("十二岁的卡卡西", True), ("一个女生", True), ("表弟", True), ("我娘", True), ("Ilyana Osipova", False), ("a b c d", True), ("陆长老", False), ("和珅", False), ("九头蛟龙", False), ("", True), ("某人", True))
-
-
-@query(_values(*_MENTIONS, columns="mention, generic"))
-def generic_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mentions that can't be names."""
-    return _inputs(spark, _MENTIONS, "mention string").select("mention", names.is_generic(F.col("mention")).alias("generic"))
-
-
-_PAIRS = (("水门", "波风水门", True), ("天河真人", "天河子", True), ("陆长老", "陆辰照", True), ("许思安", "许采文", False), ("景儿", "罗景", True), ("雪娘", "雄雕", False))
-
-
-@query(_values(*_PAIRS, columns="alias, name, same"))
-def shared_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of one person by their form."""
-    return _inputs(spark, _PAIRS, "alias string, name string").select("alias", "name", names.shares_name(F.col("alias"), F.col("name")).alias("same"))
-
-
-_COLOURS = (("银发金瞳", "eye_color", ["金", "银"], True), ("银发男人的瞳孔", "eye_color", ["银"], False), ("漆黑的脸，阴冷的眸子", "eye_color", ["黑"], False), ("素白色的长袍", "hair_color", ["白"], False), ("银白长发", "hair_color", ["银"], True), ("异色双瞳", "eye_color", ["异色"], False))
-
-
-@query(_values(*_COLOURS, columns="quote, part, colours, described"))
-def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Colours in quotes and whose they are."""
-    return _inputs(spark, _COLOURS, "quote string, part string").select("quote", "part", looks.colours_in(F.col("quote")).alias("colours"), looks.describes("quote", "part").alias("described"))
-
-
-_GUARDS = (
-    ("absolute_age", "林远今年十八岁", 18.0, None, "advance", 3.0, True, "advance"), ("absolute_age", "守了三十年", 30.0, None, "advance", 0.05, False, "short"), ("absolute_age", "连一千岁都不到", 1000.0, None, "advance", 3.0, False, "advance"),
-    ("absolute_age", "还没到三十岁", None, None, "advance", 1.0, False, "advance"), ("life_stage", "少年", None, "teen", "short", 0.01, True, "short"), ("life_stage", "x", None, None, "future", 1.0, False, "future"), ("birth_year", "再过三年", None, None, "advance", 3.0, True, "future"),
-    ("birth_year", "至少过去了五年", None, None, "advance", 5.0, True, "advance"), ("birth_year", "若能在三年之内", None, None, "advance", 3.0, True, "future"),
-)
-
-
-@query(_values(*_GUARDS, columns="kind, quote, value, stage, span_kind, years, valid, relabelled"))
-def statement_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statements that stand, and spans relabelled."""
-    rows = _inputs(spark, _GUARDS, "kind string, quote string, value double, stage string, span_kind string, years double")
-    c = F.col
-    return rows.select("*", text.valid_age(c("kind"), c("quote"), c("value"), c("stage")).alias("valid"), text.span_kind(c("span_kind"), c("quote"), c("years")).alias("relabelled"))
-
-
-_QUOTES = (("那一年，林远十八岁。\n他说：“我叫林远。” 苏晚晴笑了。", "林远十八岁", 4, 9), ("那一年，林远十八岁。\n他说：“我叫林远。” 苏晚晴笑了。", "他说“我叫林远”", 11, 19), ("abc", "zzz", None, None), ("ＡＢＣ def", "abc,DEF", 0, 7), ("x", " ", None, None))
-
-
-@query(_values(*_QUOTES, columns="text, quote, at_start, at_end"))
-def quotes_located(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where quotes stand, punctuation and width aside."""
-    return text.located(_inputs(spark, _QUOTES, "text string, quote string"))
-
-
-_BOOK = "书名\r\n第一章 开始\n内容一\n第二章 继续\n内容二\n第二回合比赛，开始！\n第一卷 风起\n第1章 又\nx\n尾声\n完"
-
-
-@query("select * from (values ('b', 1, '第一章 开始', '内容一'), ('b', 2, '第二章 继续', '内容二'), ('b', 3, '第1章 又', 'x'), ('b', 4, '尾声', '完')) t(book, number, title, content)")
-def chapters_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A book's text cut at its headings."""
-    return text.split_books(spark.createDataFrame([("b", _BOOK)], "book string, text string"))
-
-
 @query(f"""with {p.CHAPTERS_SQL}, l as (select book, number, length(content) as size, string_split(content, chr(10)) as parts from chapters),
 x as (select book, number, size, unnest(parts) as line, generate_subscripts(parts, 1) as n from l),
 y as (select *, coalesce(sum(length(line) + 1) over (partition by book, number order by n rows between unbounded preceding and 1 preceding), 0) as start from x),
@@ -121,25 +24,6 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.paragraphs(p.chapters(spark, sf_dir))
 
 
-_NOTE = r"^\s*(?:[【\[（(]\s*(?:作者有话说|ps)\s*[】\]）)]|(?:作者有话说|作者的话|题外话|p\.?s\.?)\s*(?:[:：]|$|\s))"
-
-
-@query("select * from (values ('b', 1, 0, 2, true), ('b', 1, 4, 7, true)) t(book, number, first, last, noted)")
-def note_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of author's notes at a chapter's ends, by marker."""
-    from pyspark.sql.window import Window
-
-    lines = ["PS：求票", "【作者有话说】多谢", "正文一", "正文二", "作者的话：明天见", "再见", "晚安"]
-    rows = spark.createDataFrame([("b", 1, i, x) for i, x in enumerate(lines)], "book string, number int, i int, line string").withColumn("note", F.col("line").rlike("(?i)" + _NOTE))
-    up = Window.partitionBy("book", "number").orderBy("i")
-    whole = Window.partitionBy("book", "number")
-    marked = rows.withColumn("head", F.min(F.col("note")).over(up)).withColumn("half", F.floor(F.count("*").over(whole) / 2)).withColumn("head", F.col("head") & (F.col("i") < F.col("half")))
-    tail_from = F.min(F.when(F.col("note") & (F.col("i") >= F.col("half")), F.col("i"))).over(whole)
-    marked = marked.withColumn("tail", F.col("i") >= tail_from)
-    runs = marked.where("head or tail").groupBy("book", "number", "tail").agg(F.min("i").alias("first"), (F.max("i") + 1).alias("last"))
-    return runs.select("book", "number", "first", "last", F.lit(True).alias("noted"))
-
-
 @query()
 def passage_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chapter's passages of about 500 characters (R1, D10); held against brute force in the tests."""
@@ -148,24 +32,18 @@ def passage_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chunk_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every chapter's chunks of at most 8,000 characters."""
+    """Every chapter's chunks of at most 8,000 characters."""
     return text.with_spans(p.chapters(spark, sf_dir), ["book", "number"], "content", text.chunks)
 
 
-@query("""with d as (select doc_id, text, least(length(text), 300) as s from documents where length(text) > 400)
+@query("""with d as (select doc_id, text, least(length(text), 300) as s from documents)
 select doc_id, regexp_extract(substr(text, 1, s), '[^。！？!?\n]*$') || substr(text, s + 1, 20) || regexp_extract(substr(text, s + 21), '^[^。！？!?\n]*') as sentence from d""")
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sentence around a place of each text."""
-    d = table(spark, sf_dir, "documents").where("length(text) > 400").withColumn("s", F.least(F.length("text"), F.lit(300)))
+    """The sentence around a place of each text."""
+    d = table(spark, sf_dir, "documents").withColumn("s", F.least(F.length("text"), F.lit(300)))
     return d.select("doc_id", text.sentence_at(F.col("text"), F.col("s"), F.col("s") + 20).alias("sentence"))
 
 
-@query("select doc_id, len(regexp_extract_all(text, '[0-9]+')) as mentions from documents")
-def age_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers mentioned in each text, and the dense-first choice's key."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit("[0-9]+")).cast("bigint").alias("mentions"))
-
-
 @query(r"""select page_id, array_to_string(list_filter(list_transform(string_split(replace(replace(replace(replace(replace(replace(replace(replace(
 regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?i)</(p|h1|div|li|title|footer)>|<br>', chr(10), 'g'), '<[^>]+>', '', 'g'),
 '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) as text from pages""")

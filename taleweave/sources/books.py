@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from taleweave.functions.text import book_chapters
+
 
 def decoded(content: bytes) -> str:
     """UTF-8 (a byte order mark dropped), else GB18030, else an error."""
@@ -32,6 +34,42 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True).select("novel", F.posexplode("chapters").alias("n", "content")).selectExpr("novel", "n + 1 as number", "content")
 
 
+def consistent(corpus: DataFrame) -> DataFrame:
+    """``corpus(novel, chapters)`` without the novels whose joined text splits into another number of chapters."""
+
+    @F.pandas_udf("int")
+    def split_again(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(book_chapters(t)))
+
+    return corpus.where(split_again(F.array_join("chapters", "\n")) == F.size("chapters"))
+
+
+#: An annotated story: its characters with their names, and statements with quotes.
+ANNOTATION = "story string, characters array<struct<name:string,aliases:array<string>>>, statements array<struct<chapter:int,character:string,quote:string,issue:string>>"
+
+
+def read_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """Annotations as JSON, one story a file -> rows of ``ANNOTATION``; a file that isn't such JSON is an error."""
+    return spark.read.schema(ANNOTATION).json(path, multiLine=True, mode="FAILFAST")
+
+
+def annotation_problems(stories: DataFrame, chapters: DataFrame, issues: list[str]) -> DataFrame:
+    """``stories`` of ``ANNOTATION``, ``chapters(story, chapter, content)`` -> ``(story, problem, what)``.
+
+    Names are unique over characters, statements name known characters and issue types, and their
+    quotes stand in their chapters.
+    """
+    who = stories.select("story", F.explode("characters").alias("c"))
+    names = who.select("story", F.col("c.name").alias("owner"), F.explode(F.array_union(F.array("c.name"), F.coalesce("c.aliases", F.array().cast("array<string>")))).alias("name"))
+    twice = names.groupBy("story", "name").agg(F.countDistinct("owner").alias("n")).where("n > 1").select("story", F.lit("shared name").alias("problem"), F.col("name").alias("what"))
+    said = stories.select("story", F.explode("statements").alias("s")).select("story", "s.*")
+    unknown = said.join(names.select("story", F.col("name").alias("character")).distinct(), ["story", "character"], "left_anti").select("story", F.lit("unknown character").alias("problem"), F.col("character").alias("what"))
+    typed = said.where(F.col("issue").isNotNull() & ~F.col("issue").isin(issues)).select("story", F.lit("unknown issue").alias("problem"), F.col("issue").alias("what"))
+    placed = said.join(chapters, ["story", "chapter"], "left")
+    lost = placed.where(~F.coalesce(F.contains("content", F.col("quote")), F.lit(False))).select("story", F.lit("lost quote").alias("problem"), F.col("quote").alias("what"))
+    return twice.unionByName(unknown).unionByName(typed).unionByName(lost).distinct()
+
+
 def read_numbered(spark: SparkSession, path: str) -> DataFrame:
     """Lines ``[12]text`` -> ``(path, number, text)``; other lines are dropped."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
