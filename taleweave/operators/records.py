@@ -154,7 +154,7 @@ def replaced(chapters: DataFrame, new: DataFrame) -> DataFrame:
 
 def _checked(content: Column) -> Column:
     plain = normalize_newlines(content)
-    return F.when(F.length(F.trim(F.regexp_replace(plain, "\\s", ""))) > 0, plain).otherwise(F.raise_error(F.lit("a chapter can't be blank")))
+    return F.when(F.length(F.trim(F.regexp_replace(plain, "(?U)\\s", ""))) > 0, plain).otherwise(F.raise_error(F.lit("a chapter can't be blank")))
 
 
 def without_chapter(chapters: DataFrame, number: int) -> DataFrame:
