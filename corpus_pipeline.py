@@ -38,7 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     a word are linked with nothing and all stay.
     """
     text = F.col("text").cast("string")
-    solid = F.coalesce(F.length(F.translate(text, " \t\n\x0b\f\r", "")) > 0, F.lit(False))
+    solid = F.coalesce(text.rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))  # stops at the first word
     keyed = docs.select(F.xxhash64("doc_id", text).alias("node"), F.struct(*docs.columns).alias("row"), solid.alias("solid"))
     solids = keyed.where("solid").select("node", "row")
     again = stored(solids.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "again")
