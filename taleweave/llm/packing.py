@@ -219,7 +219,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
         shipped = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bytetext.slices(batches, 1):
+        for batch in bytetext.slices(batches, 1, 8 << 20):
             tokenizer, mark, known = _tokenizer(shipped.value)
             data, offsets = bytetext.raw_bytes(batch.column(1))
             starts, _, text = bytetext.words(data, offsets)

@@ -20,7 +20,7 @@ def gather(flat: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.nda
 class Known:
     """Ragged results of byte strings seen before in this worker, of the first ``most`` of them."""
 
-    def __init__(self, most: int = 3 << 18, kind: type = np.int32, longest: int = 64):
+    def __init__(self, most: int = 1 << 19, kind: type = np.int32, longest: int = 64):
         self.most, self.longest = most, longest
         self.rows: dict[bytes, int] = {}
         self.flat, self.ends = np.zeros(0, kind), np.zeros(1, np.int64)
