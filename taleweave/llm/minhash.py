@@ -100,15 +100,16 @@ def _verify(size: int, percent: int):
     return run
 
 
-def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """The texts of ``ids(doc_id)``, those of one doc_id that are equal once."""
-    mine = texts.join(ids.distinct(), "doc_id", "left_semi")
-    return mine.groupBy("doc_id", F.xxhash64("text").alias("hash")).agg(F.any_value("text").alias("text"))
+def _different(texts: DataFrame, signed: DataFrame) -> DataFrame:
+    """``texts(doc_id, text)`` with rows equal in both once; those of doc_ids that stand alone aren't touched."""
+    again = stored(signed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    once = texts.join(again, "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text").alias("hash")).agg(F.any_value("text").alias("text"))
+    return texts.join(again, "doc_id", "left_anti").unionByName(once.select("doc_id", "text"))
 
 
 def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """``pairs(a, b)`` -> those whose texts are similar enough, stored."""
-    sides = [_texts_of(pairs.select(F.col(k).alias("doc_id")), texts).select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in ("a", "b")]
+    sides = [texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in ("a", "b")]
     rows = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b")
     return stored(rows.mapInArrow(_verify(size, percent), "a long, b long").distinct(), "links")
 
@@ -159,7 +160,7 @@ def _rare_shingles(size: int, percent: int, shipped):
 
 def _rare_pairs(rest: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """``rest(rep, label)`` -> ``(a, b)``: the pairs of different labels that share a rare shingle."""
-    rows = rest.join(_texts_of(rest.select(F.col("rep").alias("doc_id")), texts).select(F.col("doc_id").alias("rep"), "text"), "rep")
+    rows = rest.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
     counted = rows.select("text").mapInArrow(_count_shingles(size), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
     found = counted.toArrow()  # at most COUNTERS rows
     counts = np.zeros(COUNTERS, np.int32)
@@ -195,6 +196,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(texts.mapInArrow(_sign(size, percent), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signed")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
+    texts = _different(texts, signed)
     classes = stored(usable.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "classes")
 
     members = classes.select(F.explode("bands").alias("bucket"), "rep", "n_shingles")
