@@ -86,13 +86,13 @@ def merged_into(merges: DataFrame) -> DataFrame:
             return step
 
 
-def replay(events: DataFrame, upto: int | None = None) -> DataFrame:
+def replay(events: DataFrame, upto: int | None = None, kinds: bool = False) -> DataFrame:
     """Characters as the event log ``(book, seq, kind, character, name, into, chapter, source)`` leaves them.
 
     Undoing from a chapter on is replaying what remains: events of the author's, and extracted
     ones of earlier chapters. A character exists if created and not merged away; its name is that
-    of its last create or rename, its kind that of its last ``promote`` (whose ``name`` is the new
-    kind), else "minor". Who was merged away leaves its names and aliases to the character that
+    of its last create or rename. With ``kinds`` there is a column ``kind``: that of its last
+    ``promote`` (whose ``name`` is the new kind), else "minor". Who was merged away leaves its names and aliases to the character that
     the merge, or the chain of merges, ends at.
     """
     kept = scratch.stored(events if upto is None else events.where((F.col("source") == "user") | (F.col("chapter") < upto)), "log")
@@ -110,7 +110,7 @@ def replay(events: DataFrame, upto: int | None = None) -> DataFrame:
     aliases = given.groupBy("book", "character").agg(F.sort_array(F.collect_list("name")).alias("aliases"))
     own = state.where("made and into is null").join(aliases, ["book", "character"], "left")
     none = F.array().cast("array<string>")
-    return own.select("book", "character", "name", F.array_except(F.coalesce("aliases", none), F.array("name")).alias("aliases"), "kind")
+    return own.select("book", "character", "name", F.array_except(F.coalesce("aliases", none), F.array("name")).alias("aliases"), *["kind"] * kinds)
 
 
 def reset_from(facts: DataFrame, spans: DataFrame, events: DataFrame, chapter: int) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -98,7 +98,7 @@ select s.book, s.character, s.name, coalesce((select list_sort(list(g.name)) fro
 def replayed_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters after undoing the log from chapter 4 on; merged ones leave their names."""
     log = p.statements(spark, sf_dir).where("event_type in ('signup', 'error')").selectExpr(*_LOG)
-    return core.replay(log, 4)
+    return core.replay(log, 4, kinds=True)
 
 
 @query(f"""with {p.STATEMENTS_SQL} select 'facts' as kept, count(*) as n from statements where {p.IS_AGE} and chapter < 4 union all select 'spans', count(*) from statements where {p.IS_SPAN} and chapter < 4

@@ -38,7 +38,7 @@ def test_replay_follows_merges_and_promotions(spark):
         (1, 5, "merge", 1, None, 2, 3, "extracted"), (1, 6, "merge", 2, None, 3, 4, "extracted"), (1, 7, "promote", 3, "main", None, 4, "user"), (1, 8, "rename", 3, "D", None, 5, "extracted"), (1, 9, "alias", 3, "x", None, 6, "extracted"),
     ]
     events = spark.createDataFrame(log, "book int, seq int, kind string, character int, name string, into int, chapter int, source string")
-    rows = lambda upto: {r.character: (r.name, r.aliases, r.kind) for r in core.replay(events, upto).collect()}
+    rows = lambda upto: {r.character: (r.name, r.aliases, r.kind) for r in core.replay(events, upto, kinds=True).collect()}
     assert rows(None) == {3: ("D", ["A", "B", "a", "x"], "main")}
     assert rows(4) == {2: ("B", ["A", "a"], "minor"), 3: ("C", [], "main")}
     assert rows(3) == {1: ("A", ["a"], "minor"), 2: ("B", [], "minor"), 3: ("C", [], "main")}
