@@ -18,7 +18,7 @@ _NAMES = ["Alpha One", "der", "沈墨"]
 _HIDDEN = "regexp_replace(lower({t}), 'alpha one|der|沈墨', ' ', 'g')"
 _TOK = (
     "list_filter(list_distinct(list_concat(regexp_extract_all(lower({t}), 'alpha one|der|沈墨'), flatten(list_transform(string_split_regex(" + _HIDDEN + ", '[^一-鿿]+'), lambda x: list_transform(range(1, length(x)), lambda i: substr(x, i, 2)))), "
-    "list_filter(string_split_regex(" + _HIDDEN + ", '[^一-鿿]+'), lambda x: length(x) = 1), list_filter(string_split_regex(" + _HIDDEN + ", '[^\p{{L}}\p{{N}}]+|[一-鿿]+'), lambda x: x <> ''))), lambda x: not list_contains(" + _STOP + ", x))"
+    "list_filter(string_split_regex(" + _HIDDEN + ", '[^一-鿿]+'), lambda x: length(x) = 1), list_filter(string_split_regex(" + _HIDDEN + ", '[^\\p{{L}}\\p{{N}}]+|[一-鿿]+'), lambda x: x <> ''))), lambda x: not list_contains(" + _STOP + ", x))"
 )
 _K = f"""dt as (select doc_id as passage, unnest({_TOK.format(t="text")}) as token from documents), qt as (select item_id as query, unnest({_TOK.format(t="text")}) as token from benchmark),
 h as (select query, passage, count(*) as hits from dt join qt using (token) group by all), kr as (select * from (select query, passage, row_number() over (partition by query order by hits desc, passage) as place from h) where place <= 50)"""
