@@ -217,9 +217,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     several = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
     rest = stored(named.where("n > 2").join(several.select("bucket"), "bucket").select("rep", "label").distinct(), "open")
     pairs = _rare_pairs(rest, texts, size, percent)
-    new = _links(stored(pairs.join(checked, ["a", "b"], "left_anti"), "pairs"), texts, size, percent)
-    if not new.isEmpty():
-        labels = connected_components(links.union(new))
+    pairs = stored(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
+    if not pairs.isEmpty():  # else the join would shuffle all texts for no pair
+        new = _links(pairs, texts, size, percent)
+        if not new.isEmpty():
+            labels = connected_components(links.union(new))
     whole = classes.select("k1", "k2", "n_shingles", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     whole = whole.select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     found = usable.select("doc_id", "n_shingles", "k1", "k2").join(whole, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", "component")
