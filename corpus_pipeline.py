@@ -51,7 +51,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranked = stored(ranked.select("node", "component_id", "rank"), "ranked")
     best = ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank.node")
     gone = ranked.select("node").join(best, "node", "left_anti")
-    return rows.join(gone, "node", "left_anti").select("row.*").union(keyed.where("not solid").select("row.*"))
+    # whole rows are shuffled at every size: a broadcast of what goes would hold on small tables only
+    return rows.join(gone.hint("merge"), "node", "left_anti").select("row.*").union(keyed.where("not solid").select("row.*"))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
