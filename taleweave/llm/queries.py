@@ -188,3 +188,11 @@ select doc_id, n, form, case when form <> 'plain' then length(prefix) end as pre
        sha256(text) as restored_sha256
 from parts
 """
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector along the four leading components of the distinct vectors, with unit variance."""
+    from taleweave.llm.whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"))
