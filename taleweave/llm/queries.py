@@ -196,3 +196,17 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from taleweave.llm.whitening import whitened
 
     return whitened(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's log10 probability by a suffix tree learned from four fifths of the documents."""
+    from pyspark.sql import functions as F
+
+    from taleweave.llm.suffixtree import learn, score
+
+    docs = table(spark, sf_dir, "documents")
+    remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5
+    model = learn(docs.where(remainder != 1))
+    tokens = F.lit(model["tree"].tokens).cast("long").alias("train_tokens")
+    return score(docs, model).select("doc_id", (remainder == 1).alias("held_out"), "n_tokens", "n_known", tokens, "base_score", "score")
