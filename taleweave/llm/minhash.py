@@ -13,11 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taleweave.llm import bytetext
 from taleweave.llm.components import connected_components
+from taleweave.llm.keyed import filtered
 from taleweave.llm.scratch import stored
 
 #: Places of the permutations (a power of two).
@@ -84,8 +86,9 @@ def _verify(size: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bytetext.slices(batches, 2, 4 << 20):
-            pivot = batch.column(1).to_numpy()
-            new = np.concatenate([[True], pivot[1:] != pivot[:-1]])  # rows of one pivot follow each other
+            pivot, text = batch.column(1).to_numpy(), pc.fill_null(batch.column(3), "")
+            # rows of one pivot follow each other, but a doc_id can have several texts
+            new = np.concatenate([[True], (pivot[1:] != pivot[:-1]) | pc.not_equal(text.slice(1), text.slice(0, len(text) - 1)).to_numpy(zero_copy_only=False)])
             sets = bytetext.shingle_numbers(*bytetext.raw_bytes(pa.concat_arrays([batch.column(2), batch.column(3).take(pa.array(np.flatnonzero(new)))])), size)
             linked = np.zeros(len(pivot), bool)
             for i, at in enumerate((len(pivot) + np.cumsum(new) - 1).tolist()):
@@ -100,15 +103,23 @@ def _verify(size: int, percent: int):
     return run
 
 
-def _different(texts: DataFrame, signed: DataFrame) -> DataFrame:
-    """``texts(doc_id, text)`` with rows equal in both once; those of doc_ids that stand alone aren't touched."""
-    again = stored(signed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+def _different(texts: DataFrame, again: DataFrame) -> DataFrame:
+    """``texts(doc_id, text)`` with rows equal in both once; those of doc_ids that stand alone, not in ``again``, aren't touched."""
     once = texts.join(again, "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text").alias("hash")).agg(F.any_value("text").alias("text"))
     return texts.join(again, "doc_id", "left_anti").unionByName(once.select("doc_id", "text"))
 
 
+def _ties(usable: DataFrame, classes: DataFrame, again: DataFrame) -> DataFrame:
+    """``(a, b)``: the classes that have a doc_id in common, as one with several texts is one node."""
+    own = usable.join(again, "doc_id", "left_semi").join(classes.select("k1", "k2", "n_shingles", "rep"), ["k1", "k2", "n_shingles"]).select("doc_id", "rep").distinct()
+    first = own.groupBy("doc_id").agg(F.min("rep").alias("b"))
+    return own.join(first, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+
+
 def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """``pairs(a, b)`` -> those whose texts are similar enough, stored."""
+    """``pairs(a, b)`` -> those whose texts are similar enough, stored. Only texts of documents in pairs are shuffled."""
+    named = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "named")
+    texts = filtered(texts, named, "doc_id", "left_semi")
     sides = [texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in ("a", "b")]
     rows = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b")
     return stored(rows.mapInArrow(_verify(size, percent), "a long, b long").distinct(), "links")
@@ -160,7 +171,8 @@ def _rare_shingles(size: int, percent: int, shipped):
 
 def _rare_pairs(rest: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """``rest(rep, label)`` -> ``(a, b)``: the pairs of different labels that share a rare shingle."""
-    rows = rest.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    named = stored(rest.select(F.col("rep").alias("doc_id")).distinct(), "named")
+    rows = rest.join(filtered(texts, named, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text"), "rep")
     counted = rows.select("text").mapInArrow(_count_shingles(size), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
     found = counted.toArrow()  # at most COUNTERS rows
     counts = np.zeros(COUNTERS, np.int32)
@@ -183,8 +195,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     or more; ``component_id`` is the smallest doc_id that links reach, ``kept`` marks it.
 
     Null or blank text: the empty set, linked with nothing. Fewer words than ``size``: the
-    whole sequence is the one shingle. Repeated doc_ids count as one node. A null doc_id
-    has a null component and is kept. Other columns, whatever their names, are not read.
+    whole sequence is the one shingle. Repeated doc_ids count as one node, with the links of each
+    of their texts. A null doc_id has a null component and is kept. Other columns, whatever their names, are not read.
 
     Documents whose sets are equal by a 128-bit digest are one class before any pair is
     formed, so a group of copies costs one row; links between classes are confirmed on the
@@ -196,7 +208,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(texts.mapInArrow(_sign(size, percent), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signed")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    texts = _different(texts, signed)
+    again = stored(signed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    texts = _different(texts, again)
     classes = stored(usable.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "classes")
 
     members = classes.select(F.explode("bands").alias("bucket"), "rep", "n_shingles")
@@ -209,7 +222,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     fits = f"100 * least(n_shingles, n_b) >= {percent} * greatest(n_shingles, n_b)"
     pairs = members.join(star, "bucket").where("rep <> first.id").where(fits).select(F.col("rep").alias("a"), F.col("first.id").alias("b"))
     checked = stored(pairs.distinct(), "pairs")
-    links = _links(checked, texts, size, percent)
+    links = stored(_links(checked, texts, size, percent).union(_ties(usable, classes, again)), "links")
     labels = connected_components(links)
 
     # members of the buckets that still hold several components
@@ -225,5 +238,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     whole = classes.select("k1", "k2", "n_shingles", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     whole = whole.select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     found = usable.select("doc_id", "n_shingles", "k1", "k2").join(whole, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", "component")
-    rest = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
+    # a blank row is in the component of its doc_id's other texts
+    named = found.join(again, "doc_id", "left_semi").select("doc_id", "component").distinct()
+    rest = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles").join(named, "doc_id", "left")
+    rest = rest.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
     return found.union(rest).select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
