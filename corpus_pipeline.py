@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from taleweave.llm.keyed import filtered
 from taleweave.llm.lines import dropped
 from taleweave.llm.minhash import near_duplicates
 from taleweave.llm.quality import passing
@@ -33,26 +35,28 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates, that with the smallest doc_id; a null one comes last.
 
-    A node is what has one doc_id and text, by 64-bit hash: rows that only share a doc_id, or
-    have none, are told apart, and of rows with both equal one (the least) stays. Texts without
-    a word are linked with nothing and all stay.
+    A node is what has one doc_id and text; rows that only share a doc_id, or have none, are told
+    apart, and of rows with both equal one (the least) stays. Nodes are numbered by a 64-bit hash;
+    where different rows have one number, a second hash gives them others. Texts without a word
+    are linked with nothing and all stay. What goes is decided on numbers alone.
     """
     text = F.col("text").cast("string")
     solid = F.coalesce(text.rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))  # stops at the first word
-    keyed = docs.select(F.xxhash64("doc_id", text).alias("node"), F.struct(*docs.columns).alias("row"), solid.alias("solid"))
-    solids = keyed.where("solid").select("node", "row")
+    keyed = docs.select(F.xxhash64("doc_id", text).alias("node"), F.xxhash64(F.lit("second"), "doc_id", text).alias("second"), F.struct(*docs.columns).alias("row"), solid.alias("solid"))
+    solids = keyed.where("solid").drop("solid")
     again = stored(solids.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "again")
-    single = stored(solids.join(again, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")), "single")
-    rows = solids.join(again, "node", "left_anti").union(single)
+    single = solids.join(again, "node", "left_semi").groupBy("node", "second").agg(F.min("row").alias("row"))
+    clash = F.count("*").over(Window.partitionBy("node")) > 1
+    single = stored(single.select(F.when(clash, F.xxhash64("node", "second")).otherwise(F.col("node")).alias("node"), "row"), "single")
+    rows = filtered(solids.select("node", "row"), again, "node", "left_anti").union(single)
     near = near_duplicates(rows.select(F.col("node").alias("doc_id"), F.col("row.text").alias("text")), SHINGLE_WORDS, SIMILAR_PERCENT)
     others = stored(near.where("not kept").select(F.col("doc_id").alias("node"), "component_id"), "others")
-    members = others.union(others.select(F.col("component_id").alias("node"), "component_id").distinct())
-    ranked = rows.select("node", F.struct(F.col("row.doc_id").isNull().alias("none"), "row.doc_id", "node").alias("rank")).join(members, "node")
+    members = stored(others.union(others.select(F.col("component_id").alias("node"), "component_id").distinct()), "members")
+    ranked = filtered(rows.select("node", F.struct(F.col("row.doc_id").isNull().alias("none"), "row.doc_id", "node").alias("rank")), members, "node", "left_semi").join(members, "node")
     ranked = stored(ranked.select("node", "component_id", "rank"), "ranked")
     best = ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank.node")
-    gone = ranked.select("node").join(best, "node", "left_anti")
-    # whole rows are shuffled at every size: a broadcast of what goes would hold on small tables only
-    return rows.join(gone.hint("merge"), "node", "left_anti").select("row.*").union(keyed.where("not solid").select("row.*"))
+    gone = stored(ranked.select("node").join(best, "node", "left_anti"), "gone")
+    return filtered(rows, gone, "node", "left_anti").select("row.*").union(keyed.where("not solid").select("row.*"))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
