@@ -37,6 +37,14 @@ RELATIONS = [
     ("biao_cousin", "表兄弟姐妹", 0, "cousin", "表", None, None, None),
 ]
 
+#: A relation that can't hold beside each one.
+CONTRARY = {
+    "father": "paternal_uncle", "mother": "maternal_aunt", "son": "nephew", "daughter": "niece",
+    "elder_brother": "younger_brother", "younger_brother": "elder_brother", "elder_sister": "younger_sister", "younger_sister": "elder_sister",
+    "paternal_uncle": "maternal_uncle", "maternal_uncle": "paternal_uncle", "paternal_aunt": "maternal_aunt", "maternal_aunt": "paternal_aunt",
+    "paternal_grandfather": "father", "maternal_grandfather": "father",
+}
+
 #: The words for each relation.
 TERMS = {
     "father": "父亲 父 爹 爹爹 阿爹 爸 爸爸 老爸 家父 生父 先父 令尊 父王 父皇 爹地",

@@ -40,6 +40,13 @@ def _said(statements: DataFrame, spans: DataFrame) -> DataFrame:
 _SUMS = ["years_lt", "years_le", "unknown_lt", "unknown_le", "spans_lt", "spans_le"]
 
 
+def age_verdict(gap: Column) -> tuple[Column, Column]:
+    """(mismatch in years, confidence or null) of two statements ``a`` and ``b`` with ``gap`` years between."""
+    present = ~F.col("a.is_flashback") & ~F.col("b.is_flashback")
+    mismatch = F.when(gap.isNotNull(), range_distance(F.col("a.low") + gap, F.col("a.high") + gap, F.col("b.low"), F.col("b.high")))
+    return mismatch, F.when(present & (F.col("b.high") < F.col("a.low")), "confirmed").when(mismatch > TOLERANCE_YEARS, "suspected_review")
+
+
 def age_pairs(ages: DataFrame, spans: DataFrame) -> DataFrame:
     """Neighbouring stated ages of a character that disagree.
 
@@ -52,10 +59,7 @@ def age_pairs(ages: DataFrame, spans: DataFrame) -> DataFrame:
     own = F.struct("pos", "char_start", "chapter", "low", "high", "is_flashback", "offset", *_SUMS)
     pairs = said.select("book", "character", F.lag(own).over(_per_character()).alias("a"), own.alias("b")).where("a is not null")
     pairs = pairs.withColumn("gap", gap("a", "b"))
-    present = ~F.col("a.is_flashback") & ~F.col("b.is_flashback")
-    mismatch = range_distance(F.col("a.low") + F.col("gap"), F.col("a.high") + F.col("gap"), F.col("b.low"), F.col("b.high"))
-    mismatch = F.when(F.col("gap").isNotNull(), mismatch)
-    confidence = F.when(present & (F.col("b.high") < F.col("a.low")), "confirmed").when(mismatch > TOLERANCE_YEARS, "suspected_review")
+    mismatch, confidence = age_verdict(F.col("gap"))
     found = pairs.withColumns({"mismatch": mismatch, "confidence": confidence}).where("confidence is not null")
     return found.select(
         "book", "character", F.col("a.pos").alias("a_pos"), F.col("b.pos").alias("b_pos"), F.col("a.chapter").alias("a_chapter"), F.col("b.chapter").alias("b_chapter"),
@@ -152,27 +156,41 @@ def kin_conflict(a: str, b: str) -> Column:
     )
 
 
-def kinship(statements: DataFrame, relations: DataFrame) -> DataFrame:
-    """Neighbouring kinship statements about a pair that contradict each other.
+def kin_described(statements: DataFrame) -> DataFrame:
+    """Statements joined with their relation's columns, turned to one direction: ``first`` is the smaller id as text.
 
-    ``statements(book, person, other, relation, pos, tie, is_speculative, address)``: person is
-    the relation of other; ``relations`` describes each relation. Statements are turned to one
-    direction (the smaller id as text first). Flashbacks count. Forms of address may blur
-    sibling, cousin and the kind of cousin.
+    Adds ``first``, ``second``, ``kin`` (what is said of the pair in that direction) and ``is_compared``.
     """
-    rows = statements.where(~F.col("is_speculative") & F.col("other").isNotNull() & (F.col("person") != F.col("other")))
-    rows = rows.join(F.broadcast(relations), "relation")  # the relation table is a fixed one
     swapped = F.col("person").cast("string") > F.col("other").cast("string")
     turn = lambda x, y: F.when(swapped, y).otherwise(x)
     kin = F.struct(
         turn(F.col("generations"), -F.col("generations")).alias("generations"), "link", "side", turn(F.col("sex_a"), F.col("sex_b")).alias("sex_a"),
         turn(F.col("sex_b"), F.col("sex_a")).alias("sex_b"), turn(F.col("a_older"), ~F.col("a_older")).alias("a_older"), "pos", "relation", "address",
     )
-    pairs = rows.select("book", turn(F.col("person"), F.col("other")).alias("first"), turn(F.col("other"), F.col("person")).alias("second"), kin.alias("b"), "pos", "tie")
-    w = Window.partitionBy("book", "first", "second").orderBy("pos", "tie")
-    pairs = pairs.withColumn("a", F.lag("b").over(w)).where("a is not null").withColumn("reason", kin_conflict("a", "b"))
+    compared = ~F.col("is_speculative") & F.col("other").isNotNull() & (F.col("person") != F.col("other"))
+    return statements.withColumns({"first": turn(F.col("person"), F.col("other")), "second": turn(F.col("other"), F.col("person")), "kin": kin, "is_compared": compared})
+
+
+def kin_issue(pairs: DataFrame) -> DataFrame:
+    """``pairs(a, b, ...)`` of neighbouring descriptions -> those that contradict each other, with ``reason``.
+
+    Forms of address may blur sibling, cousin and the kind of cousin.
+    """
+    pairs = pairs.withColumn("reason", kin_conflict("a", "b"))
     loose = (F.coalesce("a.address", F.lit(False)) | F.coalesce("b.address", F.lit(False))) & ((F.col("reason") == "cousin_kind") | ((F.col("reason") == "link") & (F.col("a.generations") == 0)))
-    return pairs.where(F.col("reason").isNotNull() & ~loose).select("book", "first", "second", F.col("a.pos").alias("a_pos"), F.col("b.pos").alias("b_pos"), F.col("a.relation").alias("a_relation"), F.col("b.relation").alias("b_relation"), "reason")
+    return pairs.where(F.col("reason").isNotNull() & ~loose)
+
+
+def kinship(statements: DataFrame, relations: DataFrame) -> DataFrame:
+    """Neighbouring kinship statements about a pair that contradict each other.
+
+    ``statements(book, person, other, relation, pos, tie, is_speculative, address)``: person is
+    the relation of other; ``relations`` describes each relation. Flashbacks count.
+    """
+    rows = kin_described(statements.join(F.broadcast(relations), "relation")).where("is_compared")  # the relation table is a fixed one
+    before = F.lag("kin").over(Window.partitionBy("book", "first", "second").orderBy("pos", "tie"))
+    pairs = rows.select("book", "first", "second", F.col("kin").alias("b"), before.alias("a")).where("a is not null")
+    return kin_issue(pairs).select("book", "first", "second", F.col("a.pos").alias("a_pos"), F.col("b.pos").alias("b_pos"), F.col("a.relation").alias("a_relation"), F.col("b.relation").alias("b_relation"), "reason")
 
 
 def revivals(deaths: DataFrame, presences: DataFrame) -> DataFrame:
