@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,10 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from taleweave.scratch import stored
+
 #: Candidates of each ranking, the constant of reciprocal rank fusion, the shortest quote (fixed values).
 CANDIDATES, RRF_K, QUOTE_CHARS = 50, 60, 6
 #: Vectors of a block of passages and of queries; characters of quotes that a task looks for at once.
 PASSAGE_BLOCK, QUERY_BLOCK, QUOTE_BLOCK = 4096, 1024, 8_000_000
+#: Cells that vectors are dealt to, at most.
+CENTRES = 256
 #: Words too frequent to match by (fixed values).
 STOP_WORDS = ["的", "了", "着", "是", "在", "和", "与", "也", "就", "都", "而", "及", "或", "一个", "这", "那", "他", "她", "它", "我", "你", "们", "吗", "呢", "吧", "啊"]
 LATIN_STOP_WORDS = ["the", "of", "and", "to", "in", "is", "de", "la", "le", "der", "die", "und", "el", "en"]
@@ -28,38 +32,100 @@ def _top(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
     return rows.withColumn("place", place).where(F.col("place") <= k)
 
 
-def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """``rows(key, vector)`` packed into rows of about ``size`` vectors each."""
-    n = rows.count() // size + 1
-    packed = rows.select(F.pmod(F.xxhash64(key), F.lit(n)).alias("block"), F.struct(F.col(key).cast("bigint").alias("id"), F.col("vector").cast("array<double>").alias("vector")).alias("v"))
-    return packed.groupBy("block").agg(F.collect_list("v").alias("vs")).select(F.col("vs.id").alias(f"{key}_ids"), F.flatten("vs.vector").alias(f"{key}_values"))
+def _unit(vectors: Iterable) -> np.ndarray:
+    """Rows scaled to length 1; zero stays zero."""
+    m = np.asarray(list(vectors), np.float64)
+    m = m.reshape(len(m), -1)
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return m / np.where(norm == 0, 1, norm)
 
 
-def vector_ranking(queries: DataFrame, passages: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """``queries(query, vector)``, ``passages(passage, vector)`` -> places by cosine, ties by passage.
+def _cells(passages: DataFrame, centres: np.ndarray) -> DataFrame:
+    """``(cell, block, ids, values, angle)``: unit vectors by their nearest centre, in blocks, with each block's widest angle from it."""
+    shipped = passages.sparkSession.sparkContext.broadcast(centres)
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                m = _unit(batch["vector"])
+                cosine = m @ shipped.value.T
+                cell = cosine.argmax(axis=1)
+                yield pd.DataFrame({"id": batch["id"], "vector": list(m), "cell": cell, "angle": np.arccos(np.clip(cosine[np.arange(len(m)), cell], -1, 1))})
+
+    rows = passages.select(F.col("passage").cast("bigint").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    placed = stored(rows.mapInPandas(nearest, "id long, vector array<double>, cell int, angle double"), "placed")
+    sizes = placed.groupBy("cell").agg(F.count("*").alias("n"))  # a row for each centre at most
+    split = placed.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.floor(F.col("n") / PASSAGE_BLOCK) + 1))
+    packed = split.groupBy("cell", "block").agg(F.collect_list(F.struct("id", "vector")).alias("vs"), F.max("angle").alias("angle"))
+    return stored(packed.select("cell", "block", F.col("vs.id").alias("ids"), F.flatten("vs.vector").alias("values"), "angle"), "cells")
+
+
+def _products(asked: DataFrame, cells: DataFrame, parts: int, k: int) -> DataFrame:
+    """``asked(query, vector, cell, block)`` -> the ``k`` nearest of each query in each block, ``(query, passage, cosine)``.
 
-    Both sides are packed into blocks of a fixed number of vectors, and each block of queries meets
-    each block of passages as one product of matrices, of which the best ``k`` of each query are
-    kept. So nothing grows with either side but the number of blocks. A zero vector has cosine 0.
+    Queries meet blocks by key; those of one block are packed in ``parts``, so a pair of blocks is one product of matrices.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for q_ids, q_values, p_ids, p_values in batch.itertuples(index=False):
-                sides = []
-                for ids, values in ((q_ids, q_values), (p_ids, p_values)):
-                    m = np.asarray(values, np.float64).reshape(len(ids), -1)
-                    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
-                    sides.append(m / np.where(norm == 0, 1, norm))
                 # rounded, so that sums taken in another order give the same places
-                cosine = np.round(sides[0] @ sides[1].T, 9)
+                cosine = np.round(np.asarray(q_values).reshape(len(q_ids), -1) @ np.asarray(p_values).reshape(len(p_ids), -1).T, 9)
                 for i, row in zip(q_ids, cosine):
                     best = np.lexsort((p_ids, -row))[:k]
                     yield pd.DataFrame({"query": i, "passage": np.asarray(p_ids)[best], "cosine": row[best]})
 
-    met = _blocks(queries, "query", QUERY_BLOCK).crossJoin(_blocks(passages, "passage", PASSAGE_BLOCK))
-    scored = met.select("query_ids", "query_values", "passage_ids", "passage_values").mapInPandas(run, "query long, passage long, cosine double")
-    return _top(scored, [F.col("cosine").desc(), F.col("passage")], k)
+    key = ["cell", "block"]
+    packed = asked.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts))).groupBy(*key, "part").agg(F.collect_list(F.struct("query", "vector")).alias("qs"))
+    met = packed.select(*key, F.col("qs.query").alias("q_ids"), F.flatten("qs.vector").alias("q_values")).join(cells, key)
+    return met.select("q_ids", "q_values", "ids", "values").mapInPandas(run, "query long, passage long, cosine double")
+
+
+def vector_ranking(queries: DataFrame, passages: DataFrame, k: int = CANDIDATES) -> DataFrame:
+    """``queries(query, vector)``, ``passages(passage, vector)`` -> places by cosine, ties by passage. Exact.
+
+    Passages lie in cells around ``CENTRES`` of their own number; a query first meets the cells
+    nearest to it, until they hold ``k`` passages. A cell whose widest angle keeps it below the
+    k-th of those is never met. A zero vector has cosine 0.
+    """
+    spark = passages.sparkSession
+    sample = passages.select(F.col("vector").cast("array<double>").alias("vector")).orderBy(F.xxhash64("vector")).limit(CENTRES).collect()
+    if not sample:
+        return spark.createDataFrame([], "query long, passage long, cosine double, place long")
+    centres = _unit(r["vector"] for r in sample)
+    cells = _cells(passages, centres)
+    blocks = cells.select("cell", "block", F.size("ids").alias("n"), "angle")
+    bounds = blocks.groupBy("cell").agg(F.sum("n").alias("n"), F.max("angle").alias("angle")).toPandas()  # a row for each centre at most
+    shipped = spark.sparkContext.broadcast((centres[bounds["cell"]], bounds["cell"].to_numpy(), bounds["n"].to_numpy(), bounds["angle"].to_numpy()))
+
+    def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        around, names, sizes, wide = shipped.value
+        for batch in batches:
+            if len(batch):
+                m = _unit(batch["vector"])
+                # no vector of a cell is nearer to the query than its centre less the cell's width
+                apart = np.arccos(np.clip(m @ around.T, -1, 1)) - wide[None, :]
+                top = np.where(~m.any(axis=1)[:, None], 1.0, np.cos(np.clip(apart, 0, np.pi)) + 1e-8)
+                for i, row in zip(batch["query"], top):
+                    order = np.argsort(-row, kind="stable")
+                    before = np.concatenate([[0], np.cumsum(sizes[order])[:-1]])
+                    yield pd.DataFrame({"query": i, "cell": names[order], "first": before < k, "most": row[order]})
+
+    own = queries.select(F.col("query").cast("bigint").alias("query"), F.col("vector").cast("array<double>").alias("vector"))
+    met = stored(own.mapInPandas(bounded, "query long, cell int, first boolean, most double"), "bounds")
+    scaled = lambda batches: (pd.DataFrame({"query": b["query"], "vector": list(_unit(b["vector"]))}) for b in batches if len(b))
+    units = stored(own.mapInPandas(scaled, "query long, vector array<double>"), "units")
+    parts = units.count() // QUERY_BLOCK + 1
+
+    def products(rows: DataFrame) -> DataFrame:
+        asked = rows.join(blocks.select("cell", "block"), "cell").select("query", "cell", "block").join(units, "query")
+        return _products(asked, cells, parts, k)
+
+    near = stored(products(met.where("first")), "near")
+    order = [F.col("cosine").desc(), F.col("passage")]
+    least = _top(near, order, k).where(F.col("place") == k).select("query", F.col("cosine").alias("least"))
+    rest = met.where("not first").join(least, "query", "left").where(F.col("least").isNull() | (F.col("most") >= F.col("least")))
+    return _top(near.unionByName(products(rest)), order, k)
 
 
 def embedded(rows: DataFrame, key: str, text: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:

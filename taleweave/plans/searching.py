@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taleweave import scratch
 from taleweave.catalog import query
-from taleweave.operators import evaluation, retrieval
+from taleweave.operators import evaluation, index, retrieval
 from taleweave.plans.projections import table
 
 #: The stated queries: every hundredth vector, and all benchmark items.
@@ -24,15 +25,18 @@ _K = f"""dt as (select doc_id as passage, unnest({_TOK.format(t="text")}) as tok
 h as (select query, passage, count(*) as hits from dt join qt using (token) group by all), kr as (select * from (select query, passage, row_number() over (partition by query order by hits desc, passage) as place from h) where place <= 50)"""
 
 
+def indexable(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").alias("passage"), index.source_key(F.col("text"), "whole").alias("source_key"), "text")
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return retrieval.vector_ranking(e.where("vec_id % 100 = 0").selectExpr("vec_id as query", "embedding as vector"), e.selectExpr("vec_id as passage", "embedding as vector"))
 
 
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage"), retrieval.tokens(F.col("text"), _NAMES).alias("tokens"))
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), retrieval.tokens(F.col("text"), _NAMES).alias("tokens"))
-    return retrieval.keyword_ranking(q, d)
+    return index.ranked(q, index.built(indexable(table(spark, sf_dir, "documents")), _NAMES).postings)[0]
 
 
 @query(f"with {_V} select query, passage, place from vr")
@@ -103,3 +107,35 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     ranked = vectors(spark, sf_dir).where("passage <> query").join(e.selectExpr("vec_id as passage", "label"), "passage").join(e.selectExpr("vec_id as query", "label as wanted"), "query")
     return evaluation.retrieval_metrics(ranked.select("query", "place", (F.col("label") == F.col("wanted")).alias("relevant")))
+
+
+_EDITED = "case when doc_id % 10 = 3 then concat(coalesce(text, ''), ' Alpha One again') else text end"
+_LEFT = "doc_id % 17 <> 5"
+
+
+@query(f"""with now as (select doc_id as passage, {_EDITED} as text from documents where {_LEFT}), dt as (select passage, unnest({_TOK.format(t="text")}) as token from now),
+n as (select count(*) filter (where doc_id % 17 = 5) as dropped, count(*) filter (where doc_id % 17 <> 5 and doc_id % 10 = 3) as rebuilt, count(*) filter (where doc_id % 17 <> 5 and doc_id % 10 <> 3) as kept from documents)
+select token, count(*) as passages, sum(passage)::bigint as checksum, any_value(kept) as kept, any_value(rebuilt) as rebuilt, any_value(dropped) as dropped from dt, n group by token""")
+def index_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyword index after some documents changed and some went: each word's passages, and how many were cut anew."""
+    documents = table(spark, sf_dir, "documents")
+    old = index.built(indexable(documents), _NAMES)
+    folder = scratch.new_folder(spark, "keyword-index")
+    index.save(old, folder)
+    now = indexable(documents.where(_LEFT).withColumn("text", F.expr(_EDITED)))
+    new, counts = index.refreshed(index.load(spark, folder), now, _NAMES)
+    index.save(new, folder)
+    words = index.load(spark, folder).postings.groupBy("token").agg(F.count("*").alias("passages"), F.sum("passage").alias("checksum"))
+    return words.select("*", *[F.lit(n).cast("bigint").alias(name) for name, n in counts.items()])
+
+
+_PLAIN_TOK = _TOK.replace(_HIDDEN, "lower({t})").replace("regexp_extract_all(lower({t}), 'alpha one|der|沈墨'), ", "")
+
+
+@query(f"""with b as (select doc_id as passage, list_sort({_PLAIN_TOK.format(t="text")}) as before, list_sort({_TOK.format(t="text")}) as tokens from documents)
+select passage, len(before) as n_before, len(tokens) as n_now, list_sort(list_filter(tokens, lambda x: not list_contains(before, x))) as added from b where before <> tokens""")
+def index_recut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages whose words change once names are known; only texts that hold one are cut again."""
+    documents = table(spark, sf_dir, "documents")
+    _, changed = index.recut(index.built(indexable(documents), []), indexable(documents).select("passage", "text"), _NAMES, _NAMES)
+    return changed.select("passage", F.size("before").cast("bigint").alias("n_before"), F.size("tokens").cast("bigint").alias("n_now"), F.sort_array(F.array_except("tokens", "before")).alias("added"))
