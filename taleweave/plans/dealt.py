@@ -170,17 +170,26 @@ def quotes_located(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.located(rows).select("doc_id", "quote", "at_start", "at_end")
 
 
-_PARTS = ["substr(text, 1, cast(floor(length(text) / 2) as int))", "substr(text, cast(floor(length(text) / 2) as int) + 1)"]
-
-
-@query(f"""with t as (select doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) as text from documents where text is not null),
-x as (select doc_id, 1 as n, '第一章 起' as title, trim({_PARTS[0]}, chr(10)) as content from t union all select doc_id, 2, '第2章 承', trim({_PARTS[1]}, chr(10)) from t)
-select doc_id as book, (row_number() over (partition by doc_id order by n))::integer as number, title, sha256(content) as content_sha256 from x where regexp_matches(content, '\\S')""")
+#: Each non-blank line of a document, from the k = 0th, becomes a chapter of a book: seven to a volume, of which
+#: the fifth skips two numbers and the sixth is misprinted as 3; two lines of text look like headings and aren't.
+_NUMBERED = "k % 7 + 1 + case when k % 7 >= 4 then 2 else 0 end"
+_HEAD = f"""case when k % 7 = 5 then concat('第3章 误', cast(k as {{s}})) when k % 3 = 0 then concat('第', cast({_NUMBERED} as {{s}}), '章 起', cast(k as {{s}}))
+ when k % 3 = 1 then concat('第', substr('一二三四五六七八九', cast({_NUMBERED} as int), 1), '回　承', cast(k as {{s}})) else concat('第', substr('一二三四五六七八九', cast({_NUMBERED} as int), 1), '章转', cast(k as {{s}})) end"""
+_VOLUME = "case when k > 0 and k % 7 = 0 then concat('第', cast(cast(floor(k / 7) as int) + 1 as {s}), '卷 风云', chr(10)) else '' end"
+_BODY = "concat(line, chr(10), '第九十章，他走了。', chr(10), '第二部电影上映那天，他没去。')"
+
+
+@query(rf"""with l as (select doc_id, unnest(list_filter(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: regexp_matches(x, '[^\s\p{{Z}}]'))) as line,
+ generate_subscripts(list_filter(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: regexp_matches(x, '[^\s\p{{Z}}]')), 1) - 1 as k from documents where text is not null)
+select doc_id as book, (k + 1)::integer as number, {_HEAD.format(s='varchar')} as title, sha256({_BODY}) as content_sha256 from l""")
 def chapters_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as a book of two chapters, cut at its headings again."""
-    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.normalize_newlines(F.col("text")).alias("text"))
-    books = rows.selectExpr("doc_id as book", f"concat('题\r\n第一章 起\r\n', {_PARTS[0]}, '\n第2章 承\n', {_PARTS[1]}) as text")
-    return text.split_books(books).select("book", "number", "title", F.sha2("content", 256).alias("content_sha256"))
+    """Each document as a book of many chapters and volumes, cut at its headings again."""
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.split(text.normalize_newlines(F.col("text")), "\n", -1).alias("lines"))
+    solid = F.filter("lines", lambda x: x.rlike(r"(?U)[^\s\p{Z}]"))
+    of = lambda sql: F.expr(f"transform(solid, (line, k) -> {sql})")
+    chapter = f"concat({_VOLUME.format(s='string')}, {_HEAD.format(s='string')}, chr(10), {_BODY})"
+    books = d.select("doc_id", solid.alias("solid")).select(F.col("doc_id").alias("book"), F.concat(F.lit("\ufeff题\r\n"), F.array_join(of(chapter), "\r\n")).alias("text"))
+    return text.split_books(books.where("text <> '\ufeff题\r\n'")).select("book", "number", "title", F.sha2("content", 256).alias("content_sha256"))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:

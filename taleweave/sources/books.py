@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from taleweave.functions.text import book_chapters
+from taleweave.functions.text import chapter_lists
 
 
 def decoded(content: bytes) -> str:
@@ -37,11 +37,8 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 def consistent(corpus: DataFrame) -> DataFrame:
     """``corpus(novel, chapters)`` without the novels whose joined text splits into another number of chapters."""
 
-    @F.pandas_udf("int")
-    def split_again(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: len(book_chapters(t)))
-
-    return corpus.where(split_again(F.array_join("chapters", "\n")) == F.size("chapters"))
+    again = chapter_lists(corpus.select(F.struct(*corpus.columns).alias("book"), F.array_join("chapters", "\n").alias("text")))
+    return again.where(F.size(F.coalesce("chapters", F.array().cast("array<struct<title:string,content:string>>"))) == F.size("book.chapters")).select("book.*")
 
 
 #: An annotated story: its characters with their names, and statements with quotes.
