@@ -18,16 +18,17 @@ from pyspark.sql import functions as F
 
 from taleweave.llm import bytetext, ragged
 
-#: Words of the sample above so many bytes are not learned from; longer ones are scored with a
-#: scale of their own at each byte.
+#: Words above so many bytes are learned from and scored with a scale of their own at each byte.
 MOST_BYTES = 32
 #: Probabilities are scaled by exp(SCALE) a byte, which keeps the sums of words that are not
 #: longer within a double's range.
 SCALE = 2.5
 #: Bytes of long words whose pieces are looked up at once.
 _WINDOW = 64
-#: Documents of each language, about and at most, that the probabilities are learned from.
-SAMPLE_DOCS, MOST_SAMPLE_DOCS = 200, 400
+#: Bytes of long words, padded, that are learned from at once.
+_LONG = 1 << 16
+#: Documents of each language, about and at most, that the probabilities are learned from, and the characters that such a document has at most.
+SAMPLE_DOCS, MOST_SAMPLE_DOCS, MOST_SAMPLE_CHARS = 200, 400, 100_000
 ROUNDS = 4
 _loaded: dict = {}
 
@@ -152,6 +153,77 @@ def _long_scores(pieces: Pieces, scaled: np.ndarray, data: np.ndarray, starts: n
     return out
 
 
+def _long_groups(starts: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
+    """Long words of about one length, ``_LONG`` bytes of them together or one."""
+    order = np.argsort(ends - starts, kind="stable")
+    order = order[(ends - starts)[order] > MOST_BYTES]
+    first = 0
+    for i in range(len(order)):
+        if i > first and (i - first + 1) * int(ends[order[i]] - starts[order[i]] + 1) > _LONG:
+            yield order[first:i]
+            first = i
+    if len(order):
+        yield order[first:]
+
+
+def _long_pieces(trie: Pieces, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, usable: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(start, stop, rows, nodes): the usable pieces at each place of words of different lengths, a space before each."""
+    sizes, rows, found = ends - starts + 1, np.arange(len(starts)), []
+    for start in range(int(sizes.max())):
+        alive = rows[sizes > start]
+        node = np.ones(len(alive), np.int64)
+        for stop in range(start + 1, start + trie.longest + 1):
+            there = stop <= sizes[alive]
+            alive, node = alive[there], node[there]
+            if not len(alive):
+                break
+            at = starts[alive] + stop - 2
+            node = trie.step[node, np.where(at < starts[alive], trie.classes[32], trie.classes[raw[np.maximum(at, 0)]])]
+            alive, node = alive[node > 0], node[node > 0]
+            good = usable[node]
+            if good.any():
+                found.append((start, stop, alive[good], node[good]))
+    return found
+
+
+def _expected_long(trie: Pieces, p: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, often: np.ndarray, counted: bool) -> np.ndarray:
+    """Expected counts of the pieces in long words, or how often each stands in one (``counted``).
+
+    Forward sums are scaled to 1 at each place, and a piece's share is taken with the scales of the places it spans.
+    """
+    out = np.zeros(len(trie.step))
+    steps = _long_pieces(trie, raw, starts, ends, p > 0)
+    if counted:
+        for _, _, at, node in steps:
+            out += np.bincount(node, often[at], len(out))
+        return out
+    n, sizes = len(starts), ends - starts + 1
+    width = int(sizes.max())
+    forward, scale = np.zeros((width + 1, n)), np.zeros((width + 1, n))
+    forward[0] = 1
+    ready = 0  # places whose forward sums are complete and scaled
+
+    def complete(upto: int) -> None:
+        nonlocal ready
+        while ready < upto:
+            ready += 1
+            top = np.where(forward[ready] > 0, forward[ready], 1.0)
+            scale[ready] = scale[ready - 1] + np.log(top)
+            forward[ready : ready + trie.longest] /= top
+
+    for start, stop, at, node in steps:
+        complete(start)
+        forward[stop, at] += forward[start, at] * p[node]
+    complete(width)
+    backward = np.zeros((width + 1, n))
+    backward[sizes, np.arange(n)] = 1
+    for start, stop, at, node in reversed(steps):
+        share = p[node] * backward[stop, at] * np.exp(scale[start, at] - scale[stop, at])
+        backward[start, at] += share
+        out += np.bincount(node, forward[start, at] * share * often[at], len(out))
+    return out
+
+
 def learn(words: dict[str, dict[bytes, int]], pieces: list[bytes], rounds: int = ROUNDS) -> dict:
     """Word counts by language -> the model: its languages, pieces and scaled probabilities.
 
@@ -176,7 +248,11 @@ def learn(words: dict[str, dict[bytes, int]], pieces: list[bytes], rounds: int =
         new = np.zeros_like(counts)
         for k, (raw, starts, ends, often) in enumerate(texts):
             p = scaled[:, k]
+            for group in _long_groups(starts, ends):
+                new[:, k] += _expected_long(trie, p / np.exp(SCALE * trie.lengths), raw, starts[group], ends[group], often[group], not turn)
             for size, rows in _by_length(ends - starts):
+                if size > MOST_BYTES:
+                    break
                 symbols = _symbols(trie, raw, starts[rows], size)
                 steps = list(trie.walk(symbols, p > 0))
                 if not turn:
@@ -211,10 +287,11 @@ def learn_from(docs: DataFrame, pieces: list[bytes], per_language: int = SAMPLE_
     """Learns from ``docs(doc_id, text, lang)`` with neither text nor lang null.
 
     ``per_language`` documents of each language, about, and never more than ``most``, are taken by
-    the hash of their doc_id and text: the model is a classifier fitted on a bounded sample. Only the
-    counts of their words of at most ``MOST_BYTES`` bytes come to the driver. A language without words isn't learned.
+    the hash of their doc_id and text, of those with ``MOST_SAMPLE_CHARS`` characters at most: the model is
+    a classifier fitted on a bounded sample. The counts of all their words, of any length, come to
+    the driver. A language without words isn't learned.
     """
-    usable = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    usable = docs.where("text is not null and lang is not null").where(F.length("text") <= MOST_SAMPLE_CHARS).select("doc_id", "text", "lang")
     totals = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     words: dict[str, dict[bytes, int]] = {}
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(17)), F.lit(1_000_000))
@@ -223,7 +300,7 @@ def learn_from(docs: DataFrame, pieces: list[bytes], per_language: int = SAMPLE_
         chosen = usable.where(draw < limits[F.col("lang")]).dropDuplicates(["lang", "doc_id", "text"])
         chosen = chosen.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct(draw.alias("draw"), "doc_id", "text"))), 1, most).alias("docs"))
         flat = chosen.select("lang", F.explode("docs").alias("d")).select("lang", F.explode(F.split(F.translate("d.text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[\\x20\\x09-\\x0D]+")).alias("word"))
-        for r in flat.where(F.octet_length("word").between(1, MOST_BYTES)).groupBy("lang", "word").count().collect():
+        for r in flat.where(F.octet_length("word") > 0).groupBy("lang", "word").count().collect():
             if r["word"] is not None:
                 words.setdefault(r["lang"], {})[r["word"].encode()] = r["count"]
     return learn(words, pieces) if words else {"languages": [], "pieces": None, "scaled": None}

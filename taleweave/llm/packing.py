@@ -34,42 +34,76 @@ def _fitting(lengths: list[int], room: int) -> int:
     return lengths[at - 1] if at else 0
 
 
+def _smaller_of_two(lengths: list[int], left: dict[int, int], room: int) -> int:
+    """The greatest length that can be the smaller of two items that fit in ``room`` together, or 0."""
+    at = bisect_left(lengths, room // 2 + 1)
+    for i in range(at - 1, -1, -1):
+        y = lengths[i]
+        if left[y] >= 2 or (i + 1 < len(lengths) and lengths[i + 1] <= room - y):
+            return y
+    return 0
+
+
+def _dominating(length: int, left: dict[int, int], order: list[int], capacity: int) -> tuple[tuple[int, ...], int] | None:
+    """The bin that dominates all bins with an item of this length, and how often it can be filled; None if none is found."""
+    room = capacity - length
+    left[length] -= 1  # an item isn't its own partner
+    lengths = order if left[length] else [x for x in order if x != length]
+    try:
+        best = _fitting(lengths, room)
+        if not best:
+            return (length,), left[length] + 1
+        smallest: list[int] = []
+        for x in lengths:
+            smallest += [x] * min(left[x], 3 - len(smallest))
+            if len(smallest) == 3:
+                break
+        partners: tuple[int, ...] | None = None
+        if best == room or sum(smallest[:2]) > room or len(smallest) < 2:
+            partners = (best,)
+        elif len(smallest) < 3 or sum(smallest) > room:  # two items at most fit beside this one
+            pair = _smaller_of_two(lengths, left, room)
+            left[best] -= 1
+            second = _fitting([x for x in lengths if left[x]], room - best)
+            left[best] += 1
+            if second and second >= pair:
+                partners = (best, second)
+        if partners is None:
+            return None
+    finally:
+        left[length] += 1
+    items = (length, *partners)
+    return items, min(left[x] // items.count(x) for x in set(items))
+
+
 def reduce_dominated(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
     """Martello-Toth reduction: (fixed bins with how often, the counts that remain).
 
-    Taken for each length from the greatest down. With room r beside it and k the greatest
-    other length that fits: nothing fits -> the item is alone in some best packing; k = r, or
-    no two items fit together -> {item, k} dominates each feasible set with the item, as its
-    other members together need no more than k. Otherwise the length is left.
+    Taken for each length from the greatest down, in passes until one fixes nothing. A bin with the
+    item that dominates all feasible ones is in some best packing, and is fixed: the item alone if
+    nothing fits beside it; with the greatest other item that fits, if that leaves no room or no two
+    items fit; with that and the greatest that then fits, if no three fit and no other pair has a
+    greater smaller item. For each other bin's items, larger ones of the fixed bin can stand in.
     """
     left = {k: n for k, n in histogram.items() if n > 0}
     order, fixed = sorted(left), []
-    for length in sorted(left, reverse=True):
-        while left.get(length):
-            n, room = left[length], capacity - length
-            best = _fitting(order, room)
-            if best == length and n == 1:  # an item can't be its own partner
-                below = order[: bisect_left(order, length)]
-                best = below[-1] if below else 0
-            if not best:
-                fixed.append(((length,), n))
-                used = {length: n}
-            else:
-                small = order[0]
-                lone = left[small] - (small == length)
-                second = small if lone >= 2 else next((x for x in order[1:] if left[x] - (x == length) > 0), capacity + 1)
-                first = small if lone >= 1 else second
-                if best != room and first + second <= room:
+    while True:
+        done = len(fixed)
+        for length in sorted(left, reverse=True):
+            while left.get(length):
+                found = _dominating(length, left, order, capacity)
+                if found is None:
                     break
-                times = n // 2 if best == length else min(n, left[best])
-                fixed.append(((length, best), times))
-                used = {length: 2 * times} if best == length else {length: times, best: times}
-            for k, m in used.items():
-                left[k] -= m
-                if not left[k]:
-                    del left[k]
-                    order.remove(k)
-    return fixed, left
+                items, times = found
+                fixed.append((items, times))
+                for k in items:
+                    left[k] -= times
+                for k in set(items):
+                    if not left[k]:
+                        del left[k]
+                        order.remove(k)
+        if len(fixed) == done:
+            return fixed, left
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
