@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taleweave import scratch
 from taleweave.catalog import query
-from taleweave.operators import core
+from taleweave.operators import core, snapshots
 from taleweave.operators.timeline import clock
 from taleweave.plans import projections as p
 from taleweave.plans.checking import BASE_SQL, spans, stage_table
+from taleweave.streaming import append
 
 _AT = """select x.*, (select count(*) from spans s where s.book = x.book and s.pos < x.pos and s.years is null) as epoch,
   (select coalesce(sum(s.years), 0.0) from spans s where s.book = x.book and s.pos < x.pos
@@ -112,3 +114,33 @@ def state_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("kept"), "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+_ASKED = "chapter % 5 = 2"
+
+
+def _fold_to(n: str) -> str:
+    """The fold's SQL over the chapters to each asked one, with (book, n) in the place of the book."""
+    return _FOLD.replace("select * from statements", "select * from asked_statements").replace(f"{BASE_SQL}, said", f"""{BASE_SQL},
+asked as (select distinct book, chapter as n from statements where {_ASKED}),
+asked_statements as (select s.* replace (s.book * 1000 + a.n as book) from statements s join asked a on a.book = s.book and s.chapter <= a.n), said""").replace("from spans s", "from asked_spans s").replace("from spans z", "from asked_spans z").replace("asked_statements as (", "asked_spans as (select s.* replace (s.book * 1000 + a.n as book) from spans s join asked a on a.book = s.book),\nasked_statements as (")
+
+
+@query(f"with {_fold_to('n')} select book // 1000 as book, book % 1000 as n, folded.* exclude (book) from folded")
+def core_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each character's state after every fifth chapter, from kept runs and the last run's chapters."""
+    own, years = scratch.stored(facts(spark, sf_dir), "facts"), spans(spark, sf_dir)
+    asked = p.statements(spark, sf_dir).where(_ASKED).select("book", F.col("chapter").alias("n")).distinct()
+    return snapshots.state_after(snapshots.summarised(own, years), own, years, asked)
+
+
+@query(f"with {_FOLD} select * from folded")
+def streamed_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold kept by a stream whose chapters come in no order (2.11, D5)."""
+    folder = scratch.new_folder(spark, "chapters")
+    own = facts(spark, sf_dir).select("book", "character", "chapter", "pos", "is_flashback", "is_speculative", "category", "attribute", "num", "num_max", "text", "own_look", F.lit(False).alias("is_span"), F.lit(None).cast("double").alias("years"))
+    rows = own.unionByName(spans(spark, sf_dir).withColumn("is_span", F.lit(True)), allowMissingColumns=True)
+    rows.repartition(6, F.xxhash64("book", "chapter")).write.parquet(f"{folder}/in")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    runs = append.run_core(append.arriving(spark, f"{folder}/in", "*.parquet", schema, 2), f"{folder}/core", f"{folder}/checkpoint")
+    return snapshots.state_now(runs)
