@@ -1,7 +1,6 @@
 """Queries: text functions over every row of a table, each row's input drawn from its columns.
 
-Words are dealt to the rows of ``lineitem`` by its keys, or written from its numbers; texts are the
-documents. The oracles state what must come out by other means than the functions.
+Numerals are written from the numbers of ``lineitem``; texts are the documents. The oracles state what must come out by other means than the functions.
 """
 
 from __future__ import annotations
@@ -18,30 +17,6 @@ from taleweave.plans.projections import table
 _ID = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 
 
-def _literal(v: object) -> str:
-    if v is None:
-        return "null"
-    if isinstance(v, bool):
-        return str(v).lower()
-    if isinstance(v, (list, tuple)):
-        return "[" + ", ".join(map(_literal, v)) + "]"
-    return str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
-
-
-def _dealt_sql(cases: tuple, columns: str) -> str:
-    """The cases, answers included, dealt to all rows of lineitem."""
-    rows = ", ".join("(" + ", ".join(map(_literal, (i, *c))) + ")" for i, c in enumerate(cases))
-    return f"select {_ID}, c.* exclude (i) from lineitem l join (values {rows}) c(i, {columns}) on c.i = (l_partkey * 7 + l_suppkey) % {len(cases)}"
-
-
-def _dealt(spark: SparkSession, sf_dir: str, cases: tuple, schema: str) -> DataFrame:
-    """The cases' questions, dealt as in ``_dealt_sql``."""
-    n = schema.count(",") + 1
-    asked = F.broadcast(spark.createDataFrame([(i, *c[:n]) for i, c in enumerate(cases)], f"i int, {schema}"))  # some ten rows
-    rows = table(spark, sf_dir, "lineitem").select(*_ID.split(", "), F.expr(f"cast((l_partkey * 7 + l_suppkey) % {len(cases)} as int)").alias("i"))
-    return rows.join(asked, "i").drop("i")
-
-
 _DIGIT = "substr('零一二三四五六七八九', cast({d} as int) + 1, 1)"
 _UNITS = [_DIGIT.format(d=d) for d in ("1 + l_partkey % 9", "1 + l_suppkey % 9", "1 + l_orderkey % 9", "1 + l_linenumber % 9")]
 #: A number's word, by the line: digits by place, digits, thousands to ones, or ten thousands; and one that is none.
@@ -70,98 +45,6 @@ def numbers_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(*_ID.split(", "), (F.col("l_partkey") % 1003).alias("n")).select("*", text.chinese(F.col("n")).alias("word"))
 
 
-_TERMS = (("爹爹", "father"), ("三舅舅", "maternal_uncle"), ("母亲的弟弟", "maternal_uncle"), ("小姐", None), ("九儿", None), ("儿", "son"), ("母女俩", None), ("女儿的儿子", "daughters_son"), ("母亲大人", "mother"), ("姐姐的父亲", None))
-
-
-@query(_dealt_sql(_TERMS, "term, relation"))
-def kin_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relations that every row's word names."""
-    return _dealt(spark, sf_dir, _TERMS, "term string").select("*", kin.term_relation(F.col("term")).alias("relation"))
-
-
-_MENTIONS = (("沈墨", False), ("她", True), ("那位老人", True), ("黑衣青年", True), ("你们", True), ("七夜和青鸾", True), ("十五岁的沈墨", True), ("三个男孩", True), ("堂妹", True), ("我爹", True), ("Anna Petrova", False), ("one two three four", True), ("白长老", False), ("", True), ("某书生", True))
-
-
-@query(_dealt_sql(_MENTIONS, "mention, generic"))
-def generic_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which of all rows' mentions can't be names."""
-    return _dealt(spark, sf_dir, _MENTIONS, "mention string").select("*", names.is_generic(F.col("mention")).alias("generic"))
-
-
-_PAIRS = (("青鸾", "沈青鸾", True), ("云海真人", "云海子", True), ("白长老", "白慕尘", True), ("周思远", "周采薇", False), ("青儿", "沈青", True), ("墨姑", "铁匠", False))
-
-
-@query(_dealt_sql(_PAIRS, "alias, name, same"))
-def shared_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether every row's two names are one person's by their form."""
-    return _dealt(spark, sf_dir, _PAIRS, "alias string, name string").select("*", names.shares_name(F.col("alias"), F.col("name")).alias("same"))
-
-
-_LOOKS = (("金发碧瞳", "eye_color", ["绿", "金"], True), ("红衣女人的眼睛", "eye_color", ["红"], False), ("雪白的脸，冷的眸子", "eye_color", ["白"], False), ("漆黑长发", "hair_color", ["黑"], True), ("异色双眸", "eye_color", ["异色"], False), ("没有颜色", "hair_color", [], False))
-
-
-@query(_dealt_sql(_LOOKS, "quote, part, colours, described"))
-def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Colours in every row's quote, and whose they are."""
-    rows = _dealt(spark, sf_dir, _LOOKS, "quote string, part string")
-    return rows.select("*", looks.colours_in(F.col("quote")).alias("colours"), looks.describes("quote", "part").alias("described"))
-
-
-_GUARDS = (
-    ("absolute_age", "沈墨已经二十岁", 20.0, None, "advance", 3.0, True, "advance"), ("absolute_age", "等了四十年", 40.0, None, "advance", 0.05, False, "short"), ("absolute_age", "连九百岁都不到", 900.0, None, "advance", 3.0, False, "advance"),
-    ("absolute_age", "不到五十岁", None, None, "advance", 1.0, False, "advance"), ("life_stage", "少女", None, "teen", "short", 0.01, True, "short"), ("life_stage", "y", None, None, "future", 1.0, False, "future"), ("birth_year", "再过五年", None, None, "advance", 5.0, True, "future"),
-    ("birth_year", "少说过去了六年", None, None, "advance", 6.0, True, "advance"), ("birth_year", "如果能在两年之内", None, None, "advance", 2.0, True, "future"),
-)
-
-
-@query(_dealt_sql(_GUARDS, "kind, quote, value, stage, span_kind, years, valid, relabelled").replace("c.* exclude (i)", "c.* exclude (i, value, years), value::double as value, years::double as years"))
-def statement_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row's statement kept or not, and its span relabelled."""
-    rows = _dealt(spark, sf_dir, _GUARDS, "kind string, quote string, value double, stage string, span_kind string, years double")
-    c = F.col
-    return rows.select("*", text.valid_age(c("kind"), c("quote"), c("value"), c("stage")).alias("valid"), text.span_kind(c("span_kind"), c("quote"), c("years")).alias("relabelled"))
-
-
-_MARKS = (("左手·刀疤", "左", "手", "刀疤"), ("右半边背·烙印", "右", "背", "烙印"), ("胸前·胎记", None, None, None), ("没有", None, None, None), (None, None, None, None), ("手右边·疤", "右", "手", "疤"))
-
-
-@query(_dealt_sql(_MARKS, "value, side, part, kind"))
-def mark_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Side, part and kind of every row's mark."""
-    return checks.marks(_dealt(spark, sf_dir, _MARKS, "value string"))
-
-
-#: attribute, value, quote -> whether the statement stands, and the colour stored.
-_TRAITS = (
-    ("eye_color", "绿", "她有一双碧绿的眼睛", True, "绿"), ("eye_color", "黑", "她有一双碧绿的眼睛", True, "绿"), ("hair_color", "黑", "精致的长发", False, None), ("hair_color", "橙", "一头红发", False, "红"), ("eye_color", "异色", "异色的双瞳", True, "异色"),
-    ("mark", "左手·刀疤", "左手有一道刀疤", True, None), ("mark", "刀疤", "左手有一道刀疤", False, None), ("hair_color", "银", "银发金瞳", True, "银"), ("eye_color", "蓝", "银发金瞳", True, None),
-)
-
-
-@query(_dealt_sql(_TRAITS, "attribute, value, quote, valid, colour"))
-def character_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether every row's statement about looks stands, and the colour that its quote gives (F16)."""
-    rows = _dealt(spark, sf_dir, _TRAITS, "attribute string, value string, quote string")
-    colour = F.when(F.col("attribute").isin("eye_color", "hair_color"), looks.named_colour(F.col("value"), F.col("quote")))
-    return rows.select("*", looks.valid_trait(F.col("attribute"), F.col("value"), F.col("quote"), F.lit(False)).alias("valid"), colour.alias("colour"))
-
-
-#: term, quote, both at once, mention, other -> the relation stated, and whether it stands.
-_KIN = (
-    ("哥哥", "沈墨的哥哥来了", False, "沈岳", "沈墨", "elder_brother", True), ("哥哥", "沈墨母亲的哥哥来了", False, "沈岳", "沈墨", None, False), ("父亲", "他是她父亲", False, "沈岳", "沈岳 ", "father", False),
-    ("父子", "父子二人", True, "沈岳", "沈墨", None, False), ("舅舅", "没有提到", False, "沈岳", "沈墨", None, False), ("父亲", "沈墨的父亲", False, "爹娘", "沈墨", "father", False),
-)
-
-
-@query(_dealt_sql(_KIN, "term, quote, collective, mention, other, relation, valid"))
-def kinship_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The relation that every row's statement gives, and whether it stands."""
-    rows = _dealt(spark, sf_dir, _KIN, "term string, quote string, collective boolean, mention string, other string")
-    c, none = F.col, F.lit(None).cast("string")
-    rows = rows.withColumn("relation", kin.stated_relation(c("term"), c("quote"), c("collective")))
-    return rows.select("*", kin.valid_kinship(c("relation"), F.lit(False), c("mention"), none, c("other"), none, c("quote")).alias("valid"))
-
-
 @query(r"""with q as (select doc_id, text, regexp_replace(substr(text, 1 + length(text) // 3, 40), '^\s+|\s+$', '', 'g') as quote from documents)
 select doc_id, quote, case when length(quote) > 0 then strpos(text, quote) - 1 end as at_start, case when length(quote) > 0 then strpos(text, quote) - 1 + length(quote) end as at_end from q""")
 def quotes_located(spark: SparkSession, sf_dir: str) -> DataFrame:

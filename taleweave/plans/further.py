@@ -102,18 +102,6 @@ def tolerant_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = (F.abs(F.col("l_discount") - F.col("l_tax")) <= 0.01 + 1e-9) & F.col("l_returnflag").eqNullSafe(F.when(F.col("l_linestatus") == "F", "A"))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", same.alias("same"))
 
-_CODES = "[429, 503, 401, 402, 403, 500, 404, 0, 1, 2]"
-_MESSAGE = "case code when 0 then 'connection reset by peer' when 1 then 'content_filter triggered' when 2 then 'Request timeout' else concat('Error ', cast(code as varchar(9)), ': ', l_shipmode) end"
-
-
-@query(f"""with m as (select l_orderkey, l_linenumber, l_partkey, ({_CODES})[l_partkey % 10 + 1] as code from (select *, 'x' as l_shipmode from lineitem)) select l_orderkey, l_linenumber, l_partkey,
-case when code = 1 then 'content_filter' when code = 429 then 'rate_limit' when code in (401, 402, 403) then 'auth' when code in (0, 2) then 'network' when code >= 500 then 'server' else 'bad_request' end as kind from m""")
-def error_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Provider errors by class."""
-    m = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", f"element_at(array{_CODES.replace('[', '(').replace(']', ')')}, cast(l_partkey % 10 + 1 as int)) as code", "'x' as l_shipmode")
-    return m.selectExpr("l_orderkey", "l_linenumber", "l_partkey", f"{_MESSAGE} as message").select("l_orderkey", "l_linenumber", "l_partkey", ledger.error_kind().alias("kind"))
-
-
 @query("with e as (select d.doc_id, text, greatest(0, doc_id % 700 - 220) as a, least(length(text), doc_id % 700 + 240) as b from documents d) select doc_id, substr(text, (a + 1)::bigint, greatest(b - a, 0)::bigint) as context from e")
 def review_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text around a place, for reading a report."""
