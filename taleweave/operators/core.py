@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from taleweave import scratch
+from taleweave.operators import records
 from taleweave.operators.timeline import clock
 
 
@@ -64,10 +65,9 @@ def last_before(statements: DataFrame, keys: list[str], value: str, order) -> Da
 
 
 def numbered(stored: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
-    """New events of each book with the numbers that follow the stored ones."""
+    """New events of each book with the numbers that follow the stored ones, given in ranges."""
     last = stored.groupBy("book").agg(F.max("seq").alias("last"))
-    n = F.row_number().over(Window.partitionBy("book").orderBy(*order)).cast("bigint")
-    return new.withColumn("n", n).join(last, "book", "left").withColumn("seq", F.coalesce("last", F.lit(0)) + F.col("n")).drop("n", "last")
+    return records.numbered(new, ["book"], order, "n").join(last, "book", "left").withColumn("seq", F.coalesce("last", F.lit(0)) + F.col("n")).drop("n", "last")
 
 
 def merged_into(merges: DataFrame) -> DataFrame:

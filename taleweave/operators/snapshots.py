@@ -94,6 +94,23 @@ def state_now(runs: Runs) -> DataFrame:
     return _put_together(pieces, _starts(runs.clocks, pieces.select("book", "run").distinct())).drop("n")
 
 
+def clock_after(runs: Runs, spans: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked(book, n)`` -> ``(book, n, epoch, story_time)``: each book's clock after chapter n; only the run that n lies in is read."""
+    want = asked.select("book", F.col("n").cast("long").alias("n")).distinct().withColumn("run", F.floor((F.col("n") + 1) / runs.every).cast("long"))
+    tail = spans.join(want, "book").where((F.col("chapter") >= F.col("run") * runs.every) & (F.col("chapter") <= F.col("n"))).withColumn("book", F.struct("book", "n"))
+    own = core.book_clock(tail).select("book.book", "book.n", "epoch", "story_time")
+    rows = want.join(_starts(runs.clocks, want.select("book", "run").distinct()), ["book", "run"]).join(own, ["book", "n"], "left").fillna({"epoch": 0, "story_time": 0.0})
+    time = F.when(F.col("epoch") > 0, F.col("story_time")).otherwise(F.col("time_before") + F.col("story_time"))
+    return rows.select("book", "n", (F.col("epoch_before") + F.col("epoch")).alias("epoch"), time.alias("story_time"))
+
+
+def ages_after(runs: Runs, facts: DataFrame, spans: DataFrame, asked: DataFrame) -> DataFrame:
+    """``state_after`` with ``low_now`` and ``high_now``: the age after chapter n, where the story's time since it was stated is known."""
+    states = state_after(runs, facts, spans, asked).join(clock_after(runs, spans, asked), ["book", "n"])
+    now = lambda c: F.when(F.col("age_epoch") == F.col("epoch"), F.col(c) + F.col("story_time") - F.col("age_time"))
+    return states.withColumns({"low_now": now("age_low"), "high_now": now("age_high")}).drop("epoch", "story_time")
+
+
 def _starts(clocks: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(book, run, epoch_before, time_before)``: the clock at the start of each wanted run."""
     rows = clocks.select("book", "run", "epoch", "story_time").join(wanted, ["book", "run"], "full_outer").fillna({"epoch": 0, "story_time": 0.0})

@@ -242,8 +242,7 @@ _TABLES = {
 def planned_corruptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every edit of the nine types of corruption that can be made."""
     s = p.statements(spark, sf_dir)
-    s.createOrReplaceTempView("corruptible")
-    return ev.corruptions({n: spark.sql(q.format(s="corruptible")) for n, q in _TABLES.items()})
+    return ev.corruptions({n: spark.sql(q, s=s) for n, q in _TABLES.items()})
 
 
 @query("""with a as (select o_orderpriority as metric, round(avg(o_totalprice), 2) as v from orders where o_orderstatus = 'O' group by 1), b as (select o_orderpriority as metric, round(avg(o_totalprice), 2) as v from orders where o_orderstatus = 'F' and o_orderpriority <> '5-LOW' group by 1)

@@ -126,12 +126,15 @@ asked as (select distinct book, chapter as n from statements where {_ASKED}),
 asked_statements as (select s.* replace (s.book * 1000 + a.n as book) from statements s join asked a on a.book = s.book and s.chapter <= a.n), said""").replace("from spans s", "from asked_spans s").replace("from spans z", "from asked_spans z").replace("asked_statements as (", "asked_spans as (select s.* replace (s.book * 1000 + a.n as book) from spans s join asked a on a.book = s.book),\nasked_statements as (")
 
 
-@query(f"with {_fold_to('n')} select book // 1000 as book, book % 1000 as n, folded.* exclude (book) from folded")
+@query(f"""with {_fold_to('n')}, marks as (select book, max(pos) as begun, count(*) as epoch from (select a.* from asked_spans a join asked k on k.book * 1000 + k.n = a.book where a.years is null and floor(a.pos / 4294967296) <= k.n) group by book),
+now as (select k.book * 1000 + k.n as book, coalesce(any_value(m.epoch), 0) as epoch, coalesce(sum(s.years) filter (where s.pos > coalesce(m.begun, -1)), 0.0) as story_time from asked k left join marks m on m.book = k.book * 1000 + k.n
+  left join asked_spans s on s.book = k.book * 1000 + k.n and floor(s.pos / 4294967296) <= k.n group by k.book, k.n)
+select f.book // 1000 as book, f.book % 1000 as n, f.* exclude (book), case when age_epoch = epoch then age_low + story_time - age_time end as low_now, case when age_epoch = epoch then age_high + story_time - age_time end as high_now from folded f join now using (book)""")
 def core_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each character's state after every fifth chapter, from kept runs and the last run's chapters."""
+    """Each character's state and age after every fifth chapter, from kept runs and the last run's chapters."""
     own, years = scratch.stored(facts(spark, sf_dir), "facts"), spans(spark, sf_dir)
     asked = p.statements(spark, sf_dir).where(_ASKED).select("book", F.col("chapter").alias("n")).distinct()
-    return snapshots.state_after(snapshots.summarised(own, years), own, years, asked)
+    return snapshots.ages_after(snapshots.summarised(own, years), own, years, asked)
 
 
 @query(f"with {_FOLD} select * from folded")

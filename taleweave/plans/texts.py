@@ -26,7 +26,7 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def passage_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every chapter's passages of about 500 characters (R1, D10); held against brute force in the tests."""
+    """Every chapter's passages of about 500 characters (R1, D10); held to their properties in the tests."""
     return text.with_spans(p.chapters(spark, sf_dir), ["book", "number"], "content", text.passages)
 
 

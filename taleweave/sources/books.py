@@ -78,18 +78,20 @@ def numbered_lines(lines: DataFrame) -> DataFrame:
     return lines.where(number != "").select(*[c for c in lines.columns if c != "value"], number.cast("int").alias("number"), F.regexp_replace("value", r"^\[\d+\]", "").alias("text"))
 
 
-#: The character references that pages of the corpus use.
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+@F.pandas_udf(StringType())
+def unescaped(texts: pd.Series) -> pd.Series:
+    """Character references, named and numeric, decoded once."""
+    import html
+
+    return texts.map(lambda t: None if t is None else html.unescape(t).replace("\xa0", " "))
 
 
 def page_text(html: Column) -> Column:
-    """A page's text in SQL: scripts and styles out, tags dropped, references decoded, lines trimmed and non-blank."""
+    """A page's text: scripts and styles out, tags dropped, references decoded, lines trimmed and non-blank."""
     text = F.regexp_replace(html, "(?is)<(script|style)[^>]*>.*?</\\1>", "")
     text = F.regexp_replace(text, "(?i)</(p|h1|div|li|title|footer)>|<br>", "\n")
     text = F.regexp_replace(text, "<[^>]+>", "")
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.when(F.contains(text, F.lit("&")), unescaped(text)).otherwise(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_join(lines, "\n")
 
 
