@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from taleweave.catalog import query
 from taleweave.functions import text
-from taleweave.operators import core, evaluation, ledger, records
+from taleweave.operators import core, evaluation, records
 from taleweave.plans import projections as p
 from taleweave.plans.checking import BASE_SQL, ages, spans
 from taleweave.plans.projections import table
