@@ -1,3 +1,3 @@
 """The registered queries, by area."""
 
-from taleweave.plans import checking, composed, dealt, further, measured, recorded, searching, state, supposed, texts  # noqa: F401
+from taleweave.plans import checking, composed, dealt, further, measured, recorded, scored, searching, state, supposed, texts  # noqa: F401
