@@ -24,7 +24,7 @@ _TOKEN = re.compile(r"[a-z]+")
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 _MAIN = {"article", "main"}
 _ASIDE = set("nav header footer aside form .ad .ads .advert .banner .sponsored .promo .sidebar .menu .navigation .comment .comments .commentlist .cookie .notice .newsletter .related .share".split())
-PATH_SIZE, WORD_SIZE = 128, 48
+PATH_SIZE, WORD_SIZE = 128, 128
 _NUMBERS = 10
 SIZE = 2 * PATH_SIZE + WORD_SIZE + _NUMBERS
 _buckets: dict[tuple[str, int], int] = {}
