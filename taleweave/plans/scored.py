@@ -83,3 +83,14 @@ select book, number, doc_id from c where book in (select book from b) or number
 def probed_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chapters that an exploratory reading takes: some books whole, drawn by lot, and the first chapters of the others."""
     return sampling.probed(p.chapter_numbers(spark, sf_dir), PROBED_BOOKS, PROBED_CHAPTERS, SEED).select("book", "number", "doc_id")
+
+
+@query(f"with {p.CHAPTERS_SQL} select book, number, length(content) as n_chars, md5(content) as digest from chapters")
+def chapters_exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters written as files of lines under one selection, and read back by byte ranges."""
+    from taleweave.scratch import new_folder
+    from taleweave.sources.chapterfiles import read_chapter_files, write_chapter_files
+
+    folder = new_folder(spark, "chapter-files")
+    write_chapter_files(p.chapters(spark, sf_dir), folder)
+    return read_chapter_files(spark, folder).select("book", "number", F.length("content").cast("long").alias("n_chars"), F.md5("content").alias("digest"))
