@@ -68,7 +68,8 @@ class _Reader(DataSourceReader):
         if not partition.file:
             return
         files, folder = _folder(self.path)
-        with files.open_input_stream(f"{folder}/{partition.file}", buffer_size=1 << 20) if not partition.start else files.open_input_file(f"{folder}/{partition.file}") as stream:
+        self._rest = b""
+        with files.open_input_file(f"{folder}/{partition.file}") as stream:
             at = partition.start
             if at:  # a line that starts at the range's first byte is its own
                 stream.seek(at - 1)
@@ -83,7 +84,7 @@ class _Reader(DataSourceReader):
 
     def _line(self, stream) -> list[bytes]:
         """The stream's next line in pieces, its end included; what was read beyond it is kept for the next."""
-        own, rest = [], getattr(self, "_rest", b"")
+        own, rest = [], self._rest
         while True:
             cut = rest.find(b"\n") + 1
             if cut:
