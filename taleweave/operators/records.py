@@ -120,13 +120,21 @@ def changes(before: DataFrame, after: DataFrame, key: str = "fingerprint") -> Da
 
 
 def placed_facts(evidence: DataFrame, facts: DataFrame, spans: DataFrame) -> DataFrame:
-    """Each evidence with the fact at its place, the issue's subject's first, else the span there."""
-    met = evidence.join(facts.select("chapter", "char_start", "char_end", F.col("fact_id"), F.col("character")), ["chapter", "char_start", "char_end"], "left")
-    w = Window.partitionBy("issue", "n").orderBy((F.coalesce(F.col("character") == F.col("subject"), F.lit(False))).desc(), F.col("fact_id").asc_nulls_last())
-    first = met.withColumn("place", F.row_number().over(w)).where("place = 1").drop("place")
-    one = spans.groupBy("chapter", "char_start", "char_end").agg(F.min("span_id").alias("span_id"))
-    joined = first.join(one, ["chapter", "char_start", "char_end"], "left")
-    return joined.select("issue", "n", "fact_id", F.when(F.col("fact_id").isNull(), F.col("span_id")).alias("span_id"))
+    """Each evidence with the fact at its place, the issue's subject's first, else the span there.
+
+    A place's facts are first reduced to the least of each character and the least of all, so that
+    evidence never meets all facts of a crowded place; it meets one row on each side.
+    """
+    at = ["chapter", "char_start", "char_end"]
+    least = facts.groupBy(*at, F.col("character").alias("subject")).agg(F.min("fact_id").alias("own"), F.lit(True).alias("is_own"))
+    any_one = least.groupBy(*at).agg(F.min("own").alias("least"))
+    one = spans.groupBy(*at).agg(F.min("span_id").alias("span_id"))
+    met = evidence.join(least, [*at, "subject"], "left").join(any_one, at, "left").join(one, at, "left")
+    is_own = F.coalesce("is_own", F.lit(False))
+    met = met.select("issue", "n", is_own.alias("is_own"), F.when(is_own, F.col("own")).otherwise(F.col("least")).alias("fact_id"), "span_id")
+    w = Window.partitionBy("issue", "n").orderBy(F.col("is_own").desc(), F.col("fact_id").asc_nulls_last(), F.col("span_id").asc_nulls_last())
+    first = met.withColumn("place", F.row_number().over(w)).where("place = 1")
+    return first.select("issue", "n", "fact_id", F.when(F.col("fact_id").isNull(), F.col("span_id")).alias("span_id"))
 
 
 def patched(chapters: DataFrame, book: str, number: int, old: str, new: str) -> DataFrame:
