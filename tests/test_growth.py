@@ -1,6 +1,9 @@
 """Work that must grow no faster than the rows: crowded places, few keys, long texts."""
 
-from taleweave.operators import records
+from pyspark.sql import functions as F
+
+from taleweave import catalog, plans  # noqa: F401
+from taleweave.operators import records, whatif
 from tests.growth import rows_out
 
 
@@ -21,3 +24,27 @@ def test_a_fact_without_an_id_is_the_subjects_all_the_same(spark):
     f = spark.createDataFrame([(None, 1, 2, 7, 4), (3, 1, 2, 7, 5)], "fact_id long, chapter int, char_start int, char_end int, character int")
     s = spark.createDataFrame([(8, 1, 2, 7)], "span_id long, chapter int, char_start int, char_end int")
     assert [tuple(r) for r in records.placed_facts(e, f, s).collect()] == [(1, 1, None, 8)]
+
+
+def test_pairs_across_unknown_time_meet_no_edits(spark):
+    ages = spark.range(600).selectExpr("id", "1 as book", "cast(id % 300 as int) as character", "if(id < 300, 1, 9) as chapter", "(if(id < 300, 1L, 9L)) * 4294967296 + id as pos", "id as char_start", "20D as low", "20D as high", "false as is_flashback", "false as is_speculative", "cast(null as double) as years_before")
+    spans = spark.range(200).selectExpr("id", "1 as book", "5 as chapter", "5L * 4294967296 + id as pos", "if(id % 100 < 2, null, 4D) as years", "if(id % 100 < 2, 'advance', 'future') as kind", "false as is_flashback")
+    change = lambda where, to: spans.where(where).selectExpr("concat('c', id) as case", "id", f"map({to}) as changes")
+    edits = change("kind = 'future'", "'kind', 'advance'").union(change("id = 0", "'kind', 'future'"))
+    found = whatif.span_changes(ages, spans, edits)
+    assert rows_out(spark, found, "Join") < 5000 and found.count() == 0
+    one = spans.where("id <> 1 and id < 100")  # one unknown span: taking it away, or years where there is none, tells
+    found = whatif.span_changes(ages, one, edits.where("id = 0"))
+    assert found.count() == 0 and whatif.span_changes(ages.withColumn("low", F.expr("low + if(chapter = 9, 5, 0)")).withColumn("high", F.col("low")), one, edits.where("id = 0")).where("change = 'added'").count() == 300
+    assert whatif.span_changes(ages, one.where("id > 0"), edits.where("id = 9")).where("change = 'added'").count() == 300
+
+
+def test_few_keys_gather_no_rows(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("call_costs", "last_relation"):
+            plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan, name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
