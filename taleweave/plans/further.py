@@ -46,7 +46,7 @@ def last_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last statement about each pair before a point."""
     k = table(spark, sf_dir, "lineitem").selectExpr("l_returnflag as book", "l_suppkey % 30 as a", "l_partkey % 30 as b", "l_orderkey as pos", "l_linenumber % 7 as relation", "l_partkey * 1000000 + l_suppkey as tie")
     last = k.groupBy("book").agg(F.max("pos").alias("last"))
-    return core.last_before(k.join(last, "book").where("pos < last"), ["book", "a", "b"], "relation", F.expr("pos * 100000000000 + tie % 100000000000"))
+    return core.last_before(k.join(F.broadcast(last), "book").where("pos < last"), ["book", "a", "b"], "relation", F.expr("pos * 100000000000 + tie % 100000000000"))
 
 
 @query(f"""with {p.STATEMENTS_SQL}, d as (select book, character, min(pos) as died from statements where {p.IS_DEATH} and not is_speculative group by all)
