@@ -24,7 +24,8 @@ def usage(calls: DataFrame) -> DataFrame:
 
 def costs(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """Cost of each call from its tokens; ``prices`` in USD per million. Cached input has its own price; unknown models cost 0."""
-    rows = calls.join(prices, "model", "left")
+    # by one hash of a few models, calls would gather in as few tasks
+    rows = calls.join(F.broadcast(prices), "model", "left")
     part = lambda n, price: F.col(n) * F.coalesce(F.col(price), F.lit(0.0)) / F.lit(1e6)
     fresh = (F.col("tokens_in") - F.col("tokens_cached")) * F.coalesce(F.col("price_in"), F.lit(0.0)) / F.lit(1e6)
     return rows.withColumn("cost", F.round(fresh + part("tokens_cached", "price_cached") + part("tokens_out", "price_out"), 6)).drop("price_in", "price_cached", "price_out")
