@@ -48,3 +48,14 @@ def test_few_keys_gather_no_rows(spark):
             assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan, name
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_a_sentence_far_into_a_text(spark):
+    import time
+
+    from taleweave.functions import text
+
+    rows = spark.range(8).select(F.concat(F.repeat(F.lit("word "), 20000), F.lit("end!tail of it! More")).alias("text"))
+    began = time.time()
+    got = rows.select(text.sentence_at(F.col("text"), F.lit(100009), F.lit(100011)).alias("s"), text.sentence_at(F.lit("a\nb。"), F.lit(2), F.lit(3)).alias("short")).collect()
+    assert {tuple(r) for r in got} == {("tail of it", "b")} and time.time() - began < 10
