@@ -59,3 +59,21 @@ def test_a_sentence_far_into_a_text(spark):
     began = time.time()
     got = rows.select(text.sentence_at(F.col("text"), F.lit(100009), F.lit(100011)).alias("s"), text.sentence_at(F.lit("a\nb。"), F.lit(2), F.lit(3)).alias("short")).collect()
     assert {tuple(r) for r in got} == {("tail of it", "b")} and time.time() - began < 10
+
+
+def test_a_task_takes_texts_a_few_at_a_time(spark):
+    import pyarrow as pa
+
+    from taleweave.functions import text
+
+    parts = list(text.by_size(pa.array(["x" * 500_000] * 90)))
+    assert sum(map(len, parts)) == 90 and max(map(len, parts)) <= 8 and list(text.by_size(pa.array([], pa.string()))) == []
+    rows = spark.createDataFrame([(i, None if i % 5 == 0 else "一句。" * 100_000) for i in range(40)], "id int, text string").coalesce(1)
+
+    def cut(t):
+        return [(0, len(t)), (1, 2)] if t else []
+
+    got = text.with_spans(rows, ["id"], "text", cut).groupBy().agg(F.count("*"), F.countDistinct("id"), F.sum("end")).first()
+    assert tuple(got) == (64, 32, 32 * 300_002)
+    read = text.read_passages(rows.where("text is not null").withColumns({"start": F.lit(4), "end": F.lit(5)}))
+    assert read.select("begin", "focus_start", "focus_end").distinct().count() == 1 and read.columns == ["id", "text", "start", "end", "begin", "stop", "focus_start", "focus_end"]
