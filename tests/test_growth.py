@@ -88,3 +88,13 @@ def test_one_chapter_of_very_many_spans(spark):
     began = time.time()
     got = evaluation.one_to_one(side(5), side(12)).where("expected = observed").count()
     assert got == 150_000 and time.time() - began < 15
+
+
+def test_texts_are_embedded_a_few_at_a_time(spark):
+    import inspect
+
+    from taleweave.operators import retrieval
+
+    assert "by_size" in inspect.getsource(retrieval.embedded) and "mapInPandas" not in inspect.getsource(retrieval._products)
+    rows = spark.createDataFrame([(1, "ab"), (2, "a"), (3, None), (4, "")], "id int, text string")
+    assert {r["id"]: sum(r["vector"]) for r in retrieval.embedded(rows, "id").collect()} == {1: 1.0, 2: 0.0, 3: 0.0, 4: 0.0}
