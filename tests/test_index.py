@@ -57,6 +57,25 @@ def test_a_changed_text_alone_is_cut_again(spark, tmp_path, monkeypatch):
     assert rows(index.load(spark, f"{tmp_path}/i", 1).postings) == rows(index.built(first, []).postings)
 
 
+def test_kept_postings_are_lists_of_passages(spark, tmp_path):
+    own = index.built(passages(spark).repartition(2), [])
+    index.save(own, f"{tmp_path}/i")
+    kept = index.load(spark, f"{tmp_path}/i")
+    rows = lambda df: sorted((r.token, r.passage, r.n) for r in df.collect())
+    assert rows(kept.postings) == rows(own.postings) and kept.lists.count() < own.postings.count() / 2
+    assert index.built(passages(spark, 5).where("passage < 0"), []).postings.count() == 0
+    index.save(index.built(passages(spark, 5).where("passage >= 5"), []), f"{tmp_path}/empty")
+    assert index.load(spark, f"{tmp_path}/empty").postings.count() == 0 and index.load(spark, f"{tmp_path}/empty").passages.count() == 2
+
+
+def test_few_changes_shuffle_no_words(spark, tmp_path):
+    index.save(index.built(passages(spark), []), f"{tmp_path}/i")
+    fresh, counts = index.refreshed(index.load(spark, f"{tmp_path}/i"), passages(spark).where("passage <> 3"), [])
+    plan = fresh.passages._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert counts == {"rebuilt": 0, "dropped": 1, "kept": 301} and fresh.passages.count() == 301
+
+
 def test_an_unfinished_version_is_not_read(spark, tmp_path):
     own = index.built(passages(spark, 20), [])
     with pytest.raises(LookupError):
