@@ -107,24 +107,43 @@ def _as_map(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
-def term_relation(term: Column) -> Column:
-    """The blood relation that a word names, chains ("母亲的哥哥") composed step by step; else null."""
-    words = _as_map({w: r for r, ws in TERMS.items() for w in ws.split()})
-    composed = _as_map(compositions())
+def _any_of(words: list[str]) -> str:
+    """A pattern that finds any of the words: a class for the first characters, then the words that hold no shorter one."""
+    least = sorted(w for w in set(words) if not any(v in w for v in set(words) - {w}))
+    return f"(?=[{''.join(sorted({w[0] for w in least}))}])(?:{'|'.join(least)})"
+
+
+_RELATION = {w: r for r, ws in TERMS.items() for w in ws.split()}
+_NO_TERM, _TWO, _KIN_TERM = _any_of(NOT_KIN + COLLECTIVE), _any_of(COLLECTIVE), _any_of(list(_RELATION))
+#: What (?U)\s is.
+_SPACES = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
 
-    def one(word: Column) -> Column:
-        word = F.regexp_replace(F.regexp_replace(word, "大人$", ""), "们$", "")
-        bare = F.ltrim(word, F.lit(RANK))
-        return F.coalesce(words[word], F.when(~(bare.isin("儿", "孙") & (bare != word)), words[bare]))
+def _known(word: Column) -> Column:
+    """The word of the list that a word without chains is, its ending and the ranks before it aside; else null. A hashed set tells, not a walk through the list."""
+    word = F.regexp_replace(word, "们?(?:大人)?$", "")
+    bare = F.ltrim(word, F.lit(RANK))
+    return F.when(word.isin(*_RELATION), word).when(bare.isin(*[w for w in _RELATION if w not in ("儿", "孙")]), bare)
 
-    trimmed = F.regexp_replace(term, r"(?U)^\s+|\s+$", "")
-    steps = F.transform(F.split(trimmed, "的", -1), one)
-    chain = F.aggregate(F.slice(steps, 2, 99), F.element_at(steps, 1), lambda a, x: composed[F.concat_ws("|", F.coalesce(a, F.lit("?")), F.coalesce(x, F.lit("?")))])
-    known = (F.length(trimmed) > 0) & ~trimmed.rlike("|".join(NOT_KIN + COLLECTIVE))
-    return F.when(known, chain)
+
+def _chain(term: Column) -> Column:
+    words, composed = _as_map(_RELATION), _as_map(compositions())
+    steps = F.transform(F.split(term, "的", -1), lambda word: words[_known(word)])
+    return F.aggregate(F.slice(steps, 2, 99), F.element_at(steps, 1), lambda a, x: composed[F.concat_ws("|", F.coalesce(a, F.lit("?")), F.coalesce(x, F.lit("?")))])
+
+
+def term_relation(term: Column) -> Column:
+    """The blood relation that a word names, chains ("母亲的哥哥") composed step by step; else null."""
+    trimmed = F.btrim(term, F.lit(_SPACES))
+    known = (F.length(trimmed) > 0) & ~trimmed.rlike(_NO_TERM)
+    return F.when(known, F.when(trimmed.contains("的"), _chain(trimmed)).otherwise(_as_map(_RELATION)[_known(trimmed)]))
 
 
-_KIN_TERM = "|".join(sorted({w for ws in TERMS.values() for w in ws.split()}, key=len, reverse=True))
+def names_kin(term: Column) -> Column:
+    """Whether a word names a blood relation; false for null."""
+    trimmed = F.btrim(term, F.lit(_SPACES))
+    found = F.when(trimmed.contains("的"), _chain(trimmed).isNotNull()).otherwise(_known(trimmed).isNotNull())
+    return F.coalesce(F.when(found, ~trimmed.rlike(_NO_TERM)), F.lit(False))
 
 
 def stated_relation(term: Column, quote: Column, collective: Column) -> Column:
@@ -136,18 +155,18 @@ def stated_relation(term: Column, quote: Column, collective: Column) -> Column:
     """
     relation = term_relation(F.trim(term))
     at = F.call_function("instr", quote, F.trim(term))
-    before = F.regexp_replace(F.substring(quote, F.lit(1), at - 1), f"[{RANK}]+$", "")
+    before = F.rtrim(F.substring(quote, F.lit(1), at - 1), F.lit(RANK))
     owner = F.regexp_replace(before, "的$", "")
     ends = [F.when(F.length(owner) >= n, F.substring(owner, -n, n)) for n in (2, 3, 4)]
     single = F.when((F.length(owner) == 1) | owner.rlike("[我你他她其咱俺].$"), F.substring(owner, -1, 1))
     chained = F.lit(False)
     for word in [*ends, single]:
-        chained = chained | term_relation(word).isNotNull()
+        chained = chained | names_kin(word)
     return F.when(~collective & (at > 0) & ~(before.endswith("的") & chained), relation)
 
 
 def valid_kinship(relation: Column, not_blood: Column, mention: Column, name: Column, other: Column, other_name: Column, quote: Column) -> Column:
     """Whether a kinship statement can stand: by blood, between two different people, in a quote with a kin word."""
-    people = lambda who, known: known.isNotNull() | ~(term_relation(who).isNotNull() | who.rlike("|".join(COLLECTIVE)))
+    people = lambda who, known: known.isNotNull() | ~(names_kin(who) | who.rlike(_TWO))
     plain = lambda x: F.lower(F.regexp_replace(x, "[\\s\\p{P}\\p{Z}\\p{C}]", ""))
     return relation.isNotNull() & ~not_blood & people(mention, name) & people(other, other_name) & (plain(mention) != plain(other)) & quote.rlike(_KIN_TERM)

@@ -98,3 +98,14 @@ def test_texts_are_embedded_a_few_at_a_time(spark):
     assert "by_size" in inspect.getsource(retrieval.embedded) and "mapInPandas" not in inspect.getsource(retrieval._products)
     rows = spark.createDataFrame([(1, "ab"), (2, "a"), (3, None), (4, "")], "id int, text string")
     assert {r["id"]: sum(r["vector"]) for r in retrieval.embedded(rows, "id").collect()} == {1: 1.0, 2: 0.0, 3: 0.0, 4: 0.0}
+
+
+def test_kin_words_are_looked_up_in_a_hashed_set(spark):
+    from taleweave.functions import kin
+
+    rows = spark.createDataFrame([("父亲", "他的父亲来了"), ("三叔大人", "三叔大人走了"), ("母亲的哥哥们", "母亲的哥哥们走了"), ("大儿", "大儿"), ("哥哥", "爸爸的大哥哥"), ("父母", "父母"), (None, "x"), ("　姐姐 ", "姐姐")], "term string, quote string")
+    found = rows.select("quote", kin.term_relation(F.col("term")).alias("t"), kin.stated_relation(F.col("term"), F.col("quote"), F.lit(False)).alias("s"))
+    assert "INSET" in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.quote: (r.t, r.s) for r in found.collect()}
+    assert got["他的父亲来了"] == ("father",) * 2 and got["三叔大人走了"] == ("paternal_uncle",) * 2 and got["母亲的哥哥们走了"] == ("maternal_uncle",) * 2
+    assert got["大儿"] == (None, None) and got["爸爸的大哥哥"] == ("elder_brother", None) and got["父母"] == got["x"] == (None, None) and got["姐姐"][0] == "elder_sister"
