@@ -68,6 +68,16 @@ def test_kept_postings_are_lists_of_passages(spark, tmp_path):
     assert index.load(spark, f"{tmp_path}/empty").postings.count() == 0 and index.load(spark, f"{tmp_path}/empty").passages.count() == 2
 
 
+def test_a_text_is_cut_once_and_ranked_by_numbers(spark):
+    own = index.built(passages(spark), [])
+    assert own.postings._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    queries = spark.createDataFrame([(1, ["w1", "w2", "w1"]), (2, ["w0"])], "query long, tokens array<string>")
+    plan = index.ranked(queries, own.postings, 5)[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "token" not in plan
+    ids, cosine = np.array([5, 3, 9, 1]), np.array([0.5, 0.7, 0.5, 0.5])
+    assert [retrieval._first(cosine, ids, k).tolist() for k in (1, 2, 4, 9)] == [[1], [1, 3], [1, 3, 0, 2], [1, 3, 0, 2]]
+
+
 def test_few_changes_shuffle_no_words(spark, tmp_path):
     index.save(index.built(passages(spark), []), f"{tmp_path}/i")
     fresh, counts = index.refreshed(index.load(spark, f"{tmp_path}/i"), passages(spark).where("passage <> 3"), [])
