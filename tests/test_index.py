@@ -108,6 +108,13 @@ def test_new_names_are_cut_in_texts_that_hold_them(spark):
     assert {(r.token, r.passage) for r in new.postings.collect()} == {(r.token, r.passage) for r in whole.postings.collect()}
 
 
+def test_a_recut_cuts_each_text_once_a_side(spark, monkeypatch):
+    monkeypatch.setattr(index.scratch, "stored", lambda df, name: df)
+    rows = passages(spark)
+    _, changed = index.recut(index.built(rows, []), rows.select("passage", "text"), ["w1 w"], ["w1 w"])
+    assert changed._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 2
+
+
 @pytest.mark.parametrize("centres, k", [(1, 3), (7, 5), (64, 50)])
 def test_vector_cells_lose_nothing(spark, monkeypatch, centres, k):
     monkeypatch.setattr(retrieval, "CENTRES", centres)
